@@ -1,8 +1,8 @@
 """Lexical (BM25 Okapi) retrieval as tables and joins.
 
-Index = postings(term, chunk_id, tf, dl) built per chunk row without a
-shuffle, plus a term table (term, df, idf) from one partial aggregation, plus
-two scalars (N, avgdl). A search broadcasts the question terms (a bounded,
+Index = postings(chunk_id, dl, term, tf) clustered by chunk and a term table
+(term, df, idf), both built once and materialised, plus the corpus scalars
+(N, avgdl, mean idf) as plain values. A search broadcasts the question terms (a bounded,
 size-checked side) into the postings scan, so postings are never shuffled;
 only matched (question, chunk) partial scores are, and the top-k cut runs as
 a WindowGroupLimit before the final exchange.
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import cut_lineage
 
 # BM25 Okapi parameters (defaults of the public BM25 package the
 # reference calls without arguments).
@@ -29,34 +30,60 @@ MAX_BROADCAST_QUESTION_TERMS = 2_000_000
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # term, chunk_id, tf, dl
-    terms: DataFrame     # term, df, idf
-    stats: DataFrame     # n_docs, total_tokens, avgdl, vocabulary, avg_idf
+    postings: DataFrame  # chunk_id, dl, term, tf   (materialised, clustered by chunk)
+    raw_terms: DataFrame  # term, df, raw_idf       (materialised)
+    n_docs: int
+    total_tokens: int
+    avgdl: float
+    vocabulary: int
+    avg_idf: float
+    epsilon: float = EPSILON
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, df, idf): negative idf replaced by epsilon x mean idf."""
+        return self.raw_terms.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(self.epsilon * self.avg_idf))
+                                    .otherwise(F.col("raw_idf")).alias("idf"))
+
+    @property
+    def stats(self) -> DataFrame:
+        spark = self.postings.sparkSession
+        return spark.createDataFrame(
+            [(self.n_docs, self.total_tokens, self.avgdl, self.vocabulary, self.avg_idf)],
+            "n_docs long, total_tokens long, avgdl double, vocabulary long, avg_idf double")
 
 
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
-                k1: float = K1, b: float = B, epsilon: float = EPSILON) -> LexicalIndex:
+                epsilon: float = EPSILON, num_partitions: int | None = None) -> LexicalIndex:
+    """Build the index once: one tokenising pass, term counts per chunk, and
+    the postings written clustered by ``chunk_id`` (so a search sums a chunk's
+    terms inside one task and only per-task top-k candidates are shuffled).
+
+    ``posexplode_outer`` keeps token-less chunks (term null) and marks each
+    chunk's first row, so N and the token total come from the postings
+    without another pass over the text. The term table (df, raw idf) is
+    small and written once; the epsilon floor is applied when it is read.
+    """
+    n = num_partitions or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     toks = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("_t"))
-    # term frequency counted inside the row: no shuffle to build postings
-    postings = toks.select(
-        "chunk_id", F.size("_t").alias("dl"),
-        F.explode(F.array_distinct("_t")).alias("term"), "_t"
-    ).select("term", "chunk_id",
-             F.size(F.filter("_t", lambda x: x == F.col("term"))).alias("tf"), "dl")
-    lens = toks.agg(F.count(F.lit(1)).alias("n_docs"),
-                    F.coalesce(F.sum(F.size("_t")), F.lit(0)).alias("total_tokens"))
-    n_docs = lens.select("n_docs").scalar()
-    total = lens.select("total_tokens").scalar()
-    df_terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df_terms.withColumn(
-        "raw_idf", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    avg_idf = raw.agg(F.avg("raw_idf")).scalar()
-    terms = raw.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(epsilon) * avg_idf)
-                       .otherwise(F.col("raw_idf")).alias("idf"))
-    stats = raw.agg(F.count(F.lit(1)).alias("vocabulary"), F.avg("raw_idf").alias("avg_idf")) \
-        .select(n_docs.alias("n_docs"), total.cast("long").alias("total_tokens"),
-                (total / n_docs).alias("avgdl"), "vocabulary", "avg_idf")
-    return LexicalIndex(postings, terms, stats)
+    postings = cut_lineage(
+        toks.select("chunk_id", F.size("_t").alias("dl"), F.posexplode_outer("_t").alias("_pos", "term"))
+        .repartition(n, "chunk_id")
+        .groupBy("chunk_id", "dl", "term")
+        .agg(F.count("_pos").alias("tf"), F.min(F.coalesce("_pos", F.lit(0))).alias("_first")),
+        "postings")
+    one = postings.agg(F.count_if(F.col("_first") == 0).alias("n"),
+                       F.coalesce(F.sum(F.when(F.col("_first") == 0, F.col("dl"))), F.lit(0)).alias("t")).first()
+    n_docs, total = int(one["n"]), int(one["t"])
+    raw = cut_lineage(
+        postings.filter(F.col("term").isNotNull()).groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"))
+        .withColumn("raw_idf", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)),
+        "terms")
+    two = raw.agg(F.count(F.lit(1)).alias("v"), F.avg("raw_idf").alias("a")).first()
+    avgdl = total / n_docs if n_docs else 0.0
+    return LexicalIndex(postings.filter(F.col("term").isNotNull()).drop("_first"), raw, n_docs, total,
+                        avgdl, int(two["v"]), float(two["a"] or 0.0), epsilon)
 
 
 def question_terms(questions: DataFrame, id_col: str = "question_id",
@@ -76,10 +103,9 @@ def score(index: LexicalIndex, questions: DataFrame, id_col: str = "question_id"
         raise ValueError(f"{n_qt} question terms exceed the broadcast bound; "
                          "score the questions in batches")
     qt = F.broadcast(qt.join(index.terms.select("term", "idf"), "term"))
-    avgdl = index.stats.select("avgdl").scalar()
     hits = index.postings.join(qt, "term")
     part = (F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
-            / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)))
+            / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl or 1.0))))
     return hits.groupBy("question_id", "chunk_id").agg(F.sum(part).alias("lexical_score"))
 
 
