@@ -28,7 +28,7 @@ def histogram(df: DataFrame, metric: str, bins: int = 25) -> DataFrame:
     bin_expr = F.least(
         F.floor(F.when(width == 0, F.lit(0.0)).otherwise((F.col("v") - lo) / width * bins))
         .cast("long") + 1, F.lit(bins))
-    counts = v.groupBy(bin_expr.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = v.select(bin_expr.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     grid = v.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"))
     return (grid.join(F.broadcast(counts), "bin", "left")
             .select("bin",
@@ -46,7 +46,9 @@ def box_summary(df: DataFrame, metric: str) -> DataFrame:
     q3 = q.select(F.col("q")[2]).scalar()
     iqr = q3 - q1
     lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
-    inside = (F.col("v") >= lo_f) & (F.col("v") <= hi_f)
+    # scalar subqueries stay in a projection; aggregates read plain columns
+    v = v.select("v", ((F.col("v") >= lo_f) & (F.col("v") <= hi_f)).alias("_in"))
+    inside = F.col("_in")
     return v.agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile("v", [0.25, 0.5, 0.75]).alias("_q"),
@@ -74,7 +76,7 @@ def density_grid(df: DataFrame, metric: str, points: int = 64, bins: int = 25) -
                         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     x = lo + F.col("point") * (hi - lo) / (points - 1)
     z = (x - F.col("center")) / h
-    return (pairs.groupBy("point")
-            .agg(F.sum(F.col("count") * F.exp(-0.5 * z * z)).alias("_k"))
+    kern = pairs.select("point", (F.col("count") * F.exp(-0.5 * z * z)).alias("_kv"))
+    return (kern.groupBy("point").agg(F.sum("_kv").alias("_k"))
             .select("point", (lo + F.col("point") * (hi - lo) / (points - 1)).alias("x"),
                     (F.col("_k") / (n * h * math.sqrt(2 * math.pi))).alias("density")))

@@ -45,8 +45,11 @@ def quarterly(spark: SparkSession, sf: str) -> DataFrame:
     return (o.groupBy((y * 10 + q).cast("long").alias("_ord"),
                       F.concat(y.cast("string"), F.lit("-q"), q.cast("string")).alias("period"))
             .agg(F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("orders"),
-                 F.avg("o_totalprice").alias("avg_price"),
-                 F.count_if(F.col("o_orderstatus") == "O").alias("open_orders")))
+                 # mean price from exact integer cents: identical in every engine
+                 F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("_cents"),
+                 F.count_if(F.col("o_orderstatus") == "O").alias("open_orders"))
+            .select("_ord", "period", "revenue", "orders",
+                    (F.expr("_cents div orders") / 100.0).alias("avg_price"), "open_orders"))
 
 
 def derived_claims(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +88,8 @@ def derived_claims(spark: SparkSession, sf: str) -> DataFrame:
 QUARTERLY_SQL = """
   SELECT CAST(year(o_orderdate) * 10 + quarter(o_orderdate) AS BIGINT) AS _ord,
          CAST(year(o_orderdate) AS VARCHAR) || '-q' || CAST(quarter(o_orderdate) AS VARCHAR) AS period,
-         sum(o_totalprice) AS revenue, count(*) AS orders, avg(o_totalprice) AS avg_price,
+         sum(o_totalprice) AS revenue, count(*) AS orders,
+         (sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*)) / 100.0 AS avg_price,
          count(*) FILTER (WHERE o_orderstatus = 'O') AS open_orders
   FROM orders GROUP BY 1, 2
 """
