@@ -40,10 +40,11 @@ def histogram(df: DataFrame, metric: str, bins: int = 25) -> DataFrame:
 def box_summary(df: DataFrame, metric: str) -> DataFrame:
     """Quartiles (linear interpolation), whiskers = extreme values inside
     the 1.5*IQR fences, and the number of points outside them."""
+    from .quantiles import exact_quantiles
+
     v = _vals(df, metric)
-    q = v.agg(F.percentile("v", [0.25, 0.5, 0.75]).alias("q"))
-    q1 = q.select(F.col("q")[0]).scalar()
-    q3 = q.select(F.col("q")[2]).scalar()
+    qs = exact_quantiles(v, ["v"], [0.25, 0.5, 0.75])
+    q1, med, q3 = (F.lit(qs[("v", p)]).cast("double") for p in (0.25, 0.5, 0.75))
     iqr = q3 - q1
     lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
     # scalar subqueries stay in a projection; aggregates read plain columns
@@ -51,12 +52,11 @@ def box_summary(df: DataFrame, metric: str) -> DataFrame:
     inside = F.col("_in")
     return v.agg(
         F.count(F.lit(1)).alias("n"),
-        F.percentile("v", [0.25, 0.5, 0.75]).alias("_q"),
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
-    ).select("n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-             F.col("_q")[2].alias("q3"), "whisker_low", "whisker_high", "outliers")
+    ).select("n", q1.alias("q1"), med.alias("median"), q3.alias("q3"),
+             "whisker_low", "whisker_high", "outliers")
 
 
 def density_grid(df: DataFrame, metric: str, points: int = 64, bins: int = 25) -> DataFrame:

@@ -132,24 +132,38 @@ def column_samples(df: DataFrame, order_col: str, n: int = 3) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str] | None = None,
                     limit: int = 8, exact_median: bool = True) -> DataFrame:
     """Count, mean, median, min, max, sample std for the first ``limit``
-    numeric columns, in one aggregation.
+    numeric columns.
 
-    ``exact_median=False`` switches to ``percentile_approx`` (bounded memory
-    per group) for very large tables.
+    One aggregation gives count/mean/min/max/std and a distinct-count sketch
+    for all columns; exact medians then come from ``quantiles``: Spark's
+    ``percentile`` for columns whose distinct count is bounded, a
+    bounded-memory selection for the others. ``exact_median=False`` uses
+    ``percentile_approx`` in the first pass instead.
     """
+    from .quantiles import exact_quantiles
+
     cols = (columns or numeric_columns(df))[:limit]
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`").cast("double")
-        med = F.percentile(x, 0.5) if exact_median else F.percentile_approx(x, 0.5, 100000)
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), med.alias(f"m{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.stddev_samp(x).alias(f"s{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.approx_count_distinct(x, 0.05).alias(f"d{i}")]
+        if not exact_median:
+            aggs.append(F.percentile_approx(x, 0.5, 100000).cast("double").alias(f"m{i}"))
     one = df.agg(*aggs)
+    if exact_median:
+        first = one.first()
+        counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+        distinct = {c: first[f"d{i}"] for i, c in enumerate(cols)}
+        med = exact_quantiles(df, cols, [0.5], counts=counts, distinct=distinct)
+        # the one-row result is already known: rebuild it without a rescan
+        one = df.sparkSession.createDataFrame([first]).select(
+            "*", *[F.lit(med[(c, 0.5)]).cast("double").alias(f"m{i}") for i, c in enumerate(cols)])
     return _long(one, [
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
                  F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
-                 F.col(f"m{i}").cast("double").alias("median"), F.col(f"lo{i}").alias("min"),
+                 F.col(f"m{i}").alias("median"), F.col(f"lo{i}").alias("min"),
                  F.col(f"hi{i}").alias("max"), F.col(f"s{i}").alias("std"))
         for i, c in enumerate(cols)])
 
@@ -165,7 +179,7 @@ def chart_categoricals(df: DataFrame, max_unique: int = 50) -> DataFrame:
     if not cats:
         return df.sparkSession.createDataFrame([], "column string, ordinal int, n_unique long")
     ordinals = {f.name: i for i, f in enumerate(visible_fields(df))}
-    approx = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.01).alias(f"d{i}")
+    approx = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}")
                       for i, c in enumerate(cats)]).first()
     candidates = [c for i, c in enumerate(cats) if approx[f"d{i}"] <= 2 * max_unique + 10]
     if not candidates:
