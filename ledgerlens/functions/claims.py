@@ -31,6 +31,10 @@ DIR_NUM_RE = (r"(?iU)\b(?:" + "|".join(V.DIRECTION_VERBS_WITH_NUMBER)
               + r")\s+(?:by\s+)?\d+(?:\.\d+)?(?!\s*%)")
 
 
+# A word list is tested as one regex alternation: compact generated code
+# (long OR chains of ``contains`` produce methods too large for the JIT).
+
+
 def direction(claim_lower: Column) -> Column:
     """C8: 'increase' if any increase word occurs, else 'decrease' if any
     decrease word occurs, else null."""
@@ -40,14 +44,19 @@ def direction(claim_lower: Column) -> Column:
 
 def qualifies(sentence: Column) -> Column:
     """(percent and direction) or multiplier or (dollar and direction) or
-    from-X-to-Y or direction verb + number."""
+    from-X-to-Y or direction verb + number.
+
+    The verbs of the last test are direction words, so the three tests that
+    need a direction word share one check; the percent and dollar regexes
+    only run when the sentence holds '%' or '$'.
+    """
     low = F.lower(sentence)
-    has_dir = low.rlike(DIR_RE)
-    return ((sentence.rlike(PCT_RE) & has_dir)
+    return ((low.rlike(DIR_RE)
+             & ((sentence.contains("%") & sentence.rlike(PCT_RE))
+                | (sentence.contains("$") & sentence.rlike(DOLLAR_RE))
+                | sentence.rlike(DIR_NUM_RE)))
             | low.rlike(MULT_RE)
-            | (sentence.rlike(DOLLAR_RE) & has_dir)
-            | sentence.rlike(FROM_TO_RE)
-            | sentence.rlike(DIR_NUM_RE))
+            | sentence.rlike(FROM_TO_RE))
 
 
 def change(claim: Column) -> Column:
@@ -58,7 +67,7 @@ def change(claim: Column) -> Column:
     """
     low = F.lower(claim)
     pct_re = r"(?U)(\d+(?:\.\d+)?)\s*%"
-    out = F.when(low.rlike(pct_re), F.struct(
+    out = F.when(claim.contains("%") & low.rlike(pct_re), F.struct(
         F.regexp_extract(low, pct_re, 1).cast("double").alias("pct"),
         direction(low).alias("direction"),
         F.lit(V.PERCENT_TOLERANCE).alias("tolerance"),
@@ -82,9 +91,14 @@ def time_window(claim: Column) -> Column:
     """struct(type, value) for the first quarter, else half, else year
     reference; null when there is none, or when the claim says "from" and has
     two or more references."""
-    q = F.regexp_extract_all(claim, F.lit(QUARTER_RE), 1)
-    h = F.regexp_extract_all(claim, F.lit(HALF_RE), 1)
-    y = F.regexp_extract_all(claim, F.lit(YEAR_RE), 2)
+    none = F.array().cast("array<string>")
+
+    def guarded(cond, pattern, group):
+        return F.when(cond, F.regexp_extract_all(claim, F.lit(pattern), group)).otherwise(none)
+
+    q = guarded(claim.rlike("(?i)q[1-4]"), QUARTER_RE, 1)
+    h = guarded(claim.rlike("(?i)h[12]"), HALF_RE, 1)
+    y = guarded(claim.contains("19") | claim.contains("20"), YEAR_RE, 2)
     n = F.size(q) + F.size(h) + F.size(y)
     has_from = claim.rlike(r"(?iU)\bfrom\b")
 

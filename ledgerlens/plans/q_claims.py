@@ -332,9 +332,10 @@ FROM s WHERE length(sentence) BETWEEN 15 AND 250
 """)
 def q_claim_change(spark, sf):
     s = _sentences(spark, sf)
-    c = CF.change(F.col("sentence"))
-    return s.select("doc_id", "pos", c["pct"].alias("pct"), c["direction"].alias("direction"),
-                    c["tolerance"].alias("tolerance"), c["mode"].alias("mode"))
+    # the struct is computed once; reading four fields off the expression
+    # itself would repeat the whole rule chain per field
+    c = s.select("doc_id", "pos", CF.change(F.col("sentence")).alias("_c"))
+    return c.select("doc_id", "pos", "_c.pct", "_c.direction", "_c.tolerance", "_c.mode")
 
 
 @query("claim_window", f"""
@@ -344,8 +345,8 @@ FROM s WHERE length(sentence) BETWEEN 15 AND 250
 """)
 def q_claim_window(spark, sf):
     s = _sentences(spark, sf)
-    w = CF.time_window(F.col("sentence"))
-    return s.select("doc_id", "pos", w["type"].alias("window_type"), w["value"].alias("window_value"))
+    w = s.select("doc_id", "pos", CF.time_window(F.col("sentence")).alias("_w"))
+    return w.select("doc_id", "pos", F.col("_w.type").alias("window_type"), F.col("_w.value").alias("window_value"))
 
 
 def _sentences(spark, sf):
@@ -363,10 +364,9 @@ SELECT claim_id, {sql_match('claim', METRIC_COLS)['column']} AS column,
        {sql_match('claim', METRIC_COLS)['method']} AS method FROM c
 """)
 def q_column_match(spark, sf):
-    c = derived_claims(spark, sf)
-    m = CL.match_column(F.col("claim"), METRIC_COLS)
-    return c.select("claim_id", m["column"].alias("column"), m["score_pct"].alias("score_pct"),
-                    m["method"].alias("method"))
+    c = derived_claims(spark, sf).select("claim_id", CL.match_column(F.col("claim"), METRIC_COLS).alias("_m"))
+    return c.select("claim_id", F.col("_m.column").alias("column"), F.col("_m.score_pct").alias("score_pct"),
+                    F.col("_m.method").alias("method"))
 
 
 _LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",

@@ -29,12 +29,12 @@ def document_stream(spark: SparkSession, path: str, schema: str = DOC_SCHEMA,
 def claim_candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, page_number, pos, sentence, pct, direction, window) per
     qualifying sentence; works on batch and streaming inputs alike."""
-    s = candidate_sentences(pages_from_documents(docs))
-    chg = CF.change(F.col("sentence"))
-    win = CF.time_window(F.col("sentence"))
-    return s.select("doc_id", "page_number", "pos", "sentence",
-                    chg["pct"].alias("pct"), chg["direction"].alias("direction"),
-                    win["type"].alias("window_type"), win["value"].alias("window_value"))
+    s = candidate_sentences(pages_from_documents(docs)).select(
+        "doc_id", "page_number", "pos", "sentence",
+        CF.change(F.col("sentence")).alias("_c"), CF.time_window(F.col("sentence")).alias("_w"))
+    return s.select("doc_id", "page_number", "pos", "sentence", F.col("_c.pct").alias("pct"),
+                    F.col("_c.direction").alias("direction"), F.col("_w.type").alias("window_type"),
+                    F.col("_w.value").alias("window_value"))
 
 
 def start(candidates: DataFrame, sink_path: str, checkpoint_location: str) -> StreamingQuery:
