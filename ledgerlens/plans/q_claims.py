@@ -20,6 +20,7 @@ from ..functions import claims as CF
 from ..functions import vocab as V
 from ..operators import claims as CL
 from ..operators.profile import numeric_columns
+from ..session import cut_lineage
 from ..sources.tables import Tables
 from .q_text import PAGES_SQL, SENTENCES_SQL, doc_pages
 from .registry import query
@@ -400,9 +401,10 @@ FROM t
 """)
 def q_window_fallback(spark, sf):
     claims = derived_claims(spark, sf)
-    w = claims.select("claim_id", CF.window_token(CF.time_window(F.col("claim"))).alias("token")) \
-        .filter(F.col("token").isNotNull())
-    stats = CL.window_stats(quarterly(spark, sf), "_ord", ["revenue"])
+    parsed = cut_lineage(claims.select("claim_id", CF.time_window(F.col("claim")).alias("_w")), "windows")
+    w = parsed.select("claim_id", CF.window_token(F.col("_w")).alias("token")).filter(F.col("token").isNotNull())
+    used = [r[0] for r in w.select("token").distinct().collect()]  # <= 206 by construction
+    stats = CL.window_stats(quarterly(spark, sf), "_ord", ["revenue"], tokens=used)
     total = stats.filter(F.col("token") == "*").select("rows").scalar()
     rows = F.broadcast(stats.filter(F.col("token") != "*").select("token", F.col("rows").alias("matched_rows")))
     out = w.join(rows, "token", "left").withColumn("matched_rows", F.coalesce("matched_rows", F.lit(0)))
