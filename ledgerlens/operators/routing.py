@@ -11,12 +11,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from .profile import categorical_columns, numeric_columns, visible_fields
-from .stats import grouped_top
 
 
 def keyword_regex(words: list[str]) -> str:
@@ -197,24 +196,33 @@ def answer_questions(questions: DataFrame, table: DataFrame, text_col: str = "qu
               .otherwise(F.lit(HELP_TEXT)))
     base = it.select("question_id", "intent", "metric", "group_key", value.alias("value"), answer.alias("answer"))
 
-    # grouped intents: one aggregation per distinct (key, metric) pair asked,
-    # a set bounded by (#categorical x #numeric) columns
-    pairs = [(r["group_key"], r["metric"]) for r in
-             it.filter(F.col("intent") == "grouped").select("group_key", "metric").distinct().collect()]
+    # grouped intents: every (key, metric) pair asked is answered by ONE
+    # aggregation with grouping sets (one set per key); the pair list is
+    # bounded by (#categorical x #numeric) columns
+    pairs = sorted((r["group_key"], r["metric"]) for r in
+                   it.filter(F.col("intent") == "grouped").select("group_key", "metric").distinct().collect())
     if not pairs:
         return base.withColumn("groups", F.lit(None).cast("array<struct<key:string,value:double>>"))
-    tables = []
-    for key, met in pairs:
-        top = grouped_top(table, key, met, "sum", top_n, "_v")
-        tables.append(top.groupBy().agg(F.array_sort(F.collect_list(F.struct(
-            (-F.col("_v")).alias("o"), F.col(f"`{key}`").cast("string").alias("key"),
-            F.col("_v").alias("value")))).alias("_g"))
-            .select(F.lit(key).alias("_k"), F.lit(met).alias("_mt"),
-                    F.transform("_g", lambda g: F.struct(g["key"].alias("key"), g["value"].alias("value")))
-                    .alias("groups")))
-    g = tables[0]
-    for t in tables[1:]:
-        g = g.unionByName(t)
+    keys = sorted({k for k, _ in pairs})
+    mets = sorted({m for _, m in pairs})
+    agg = table.groupingSets([[F.col(f"`{k}`")] for k in keys], *[F.col(f"`{k}`") for k in keys]).agg(
+        F.grouping_id().alias("_gid"),
+        *[F.coalesce(F.sum(F.col(f"`{m}`")), F.lit(0)).cast("double").alias(f"_s{j}") for j, m in enumerate(mets)])
+    n = len(keys)
+    entries = []
+    for p, (k, m) in enumerate(pairs):
+        gid = (1 << n) - 1 - (1 << (n - 1 - keys.index(k)))
+        kc = F.col(f"`{k}`")
+        entries.append(F.when((F.col("_gid") == gid) & kc.isNotNull(), F.struct(
+            F.lit(p).alias("pair"), kc.cast("string").alias("key"), F.col(f"_s{mets.index(m)}").alias("value"))))
+    flat = agg.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    w = Window.partitionBy("pair").orderBy(F.desc("value"), F.asc("key"))
+    top = flat.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= top_n)
+    pair_dim = spark.createDataFrame([(p, k, m) for p, (k, m) in enumerate(pairs)], "pair int, _k string, _mt string")
+    g = (top.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("_r", "key", "value"))).alias("_g"))
+         .join(pair_dim, "pair")
+         .select("_k", "_mt", F.transform("_g", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+                 .alias("groups")))
     return base.join(F.broadcast(g), (F.col("group_key") == F.col("_k")) & (F.col("metric") == F.col("_mt")),
                      "left").drop("_k", "_mt")
 
