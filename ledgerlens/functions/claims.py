@@ -47,16 +47,17 @@ def qualifies(sentence: Column) -> Column:
     from-X-to-Y or direction verb + number.
 
     The verbs of the last test are direction words, so the three tests that
-    need a direction word share one check; the percent and dollar regexes
-    only run when the sentence holds '%' or '$'.
+    need a direction word share one check; those three need a digit, and the
+    percent and dollar regexes only run when the sentence holds '%' or '$'.
     """
     low = F.lower(sentence)
-    return ((low.rlike(DIR_RE)
+    has_digit = sentence.rlike(r"(?U)\d")  # percent, dollar and verb+number all need one
+    return ((has_digit & low.rlike(DIR_RE)
              & ((sentence.contains("%") & sentence.rlike(PCT_RE))
                 | (sentence.contains("$") & sentence.rlike(DOLLAR_RE))
                 | sentence.rlike(DIR_NUM_RE)))
             | low.rlike(MULT_RE)
-            | sentence.rlike(FROM_TO_RE))
+            | ((has_digit | sentence.contains("$")) & sentence.rlike(FROM_TO_RE)))
 
 
 def change(claim: Column) -> Column:
@@ -72,14 +73,17 @@ def change(claim: Column) -> Column:
         direction(low).alias("direction"),
         F.lit(V.PERCENT_TOLERANCE).alias("tolerance"),
         F.lit(None).cast("string").alias("mode")))
+    nothing = F.struct(
+        F.lit(None).cast("double").alias("pct"), F.lit(None).cast("string").alias("direction"),
+        F.lit(V.PERCENT_TOLERANCE).alias("tolerance"), F.lit(None).cast("string").alias("mode"))
+    # every multiplier rule needs a multiplier word: one check skips all seven
+    out = out.when(~low.rlike(MULT_RE), nothing)
     for words, pct, dirn, tol, mode in V.MULTIPLIER_RULES:
         pat = r"(?U)\b" + r"\s+".join(words.split()) + r"\b"
         out = out.when(low.rlike(pat), F.struct(
             F.lit(pct).alias("pct"), F.lit(dirn).alias("direction"),
             F.lit(tol).alias("tolerance"), F.lit(mode).cast("string").alias("mode")))
-    return out.otherwise(F.struct(
-        F.lit(None).cast("double").alias("pct"), F.lit(None).cast("string").alias("direction"),
-        F.lit(V.PERCENT_TOLERANCE).alias("tolerance"), F.lit(None).cast("string").alias("mode")))
+    return out.otherwise(nothing)
 
 
 QUARTER_RE = r"(?iU)\bQ([1-4])\b"
