@@ -21,16 +21,19 @@ from ..sources.sinks import write_results
 
 def verify_cases(claim_cases: DataFrame, claim_values: DataFrame) -> DataFrame:
     """(id, verdict, csv_metric, actual_percent) for every claim case."""
-    schemas = (claim_values.groupBy("case_id").agg(F.array_sort(F.collect_set("metric")).alias("cols"))
-               .groupBy("cols").agg(F.collect_list("case_id").alias("cases")).collect())
+    signature = (claim_values.groupBy("case_id")
+                 .agg(F.array_join(F.array_sort(F.collect_set("metric")), "\u0001").alias("_schema")))
+    # distinct column sets are few (bounded by the schemas in the file)
+    schemas = [r[0] for r in signature.select("_schema").distinct().collect()]
     parts = []
-    for row in schemas:  # one verification job per distinct column set
-        cols, cases = list(row["cols"]), list(row["cases"])
-        wide = (claim_values.filter(F.col("case_id").isin(cases))
+    for sch in schemas:  # one verification job per distinct column set
+        cols = sch.split("\u0001")
+        members = signature.filter(F.col("_schema") == sch).select("case_id")
+        wide = (claim_values.join(members, "case_id", "left_semi")
                 .groupBy("case_id", F.col("row_id").alias("_row_id")).pivot("metric", cols)
                 .agg(F.first("value")))
-        cl = claim_cases.filter(F.col("id").isin(cases)).select(
-            F.col("id").alias("case_id"), F.lit(1).cast("long").alias("claim_id"), "claim")
+        cl = (claim_cases.select(F.col("id").alias("case_id"), F.lit(1).cast("long").alias("claim_id"), "claim")
+              .join(members, "case_id", "left_semi"))
         v = CL.verify(cl, wide, "_row_id", key="case_id")
         parts.append(v.select(F.col("case_id").alias("id"), "verdict", "csv_metric", "actual_percent"))
     out = parts[0]

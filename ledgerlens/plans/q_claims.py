@@ -19,10 +19,9 @@ from pyspark.sql import functions as F
 from ..functions import claims as CF
 from ..functions import vocab as V
 from ..operators import claims as CL
-from ..operators.profile import numeric_columns
 from ..session import cut_lineage
 from ..sources.tables import Tables
-from .q_text import PAGES_SQL, SENTENCES_SQL, doc_pages
+from .q_text import SENTENCES_SQL, doc_pages
 from .registry import query
 
 METRIC_COLS = ["revenue", "orders", "avg_price", "open_orders"]
@@ -377,15 +376,20 @@ _LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
            "l_discount", "l_tax"]
 
 
+# row order of lineitem: every column, since (l_orderkey, l_linenumber) repeats
+_LI_ORDER = _LI_NUM + ["l_returnflag", "l_linestatus", "l_shipdate"]
+_LI_KEY = "(" + ", ".join(_LI_ORDER) + ")"
+
+
 @query("first_last_change", " UNION ALL ".join(
-    f"SELECT '{c}' AS metric, round(CAST(arg_min({c}, (l_orderkey, l_linenumber)) AS DOUBLE), 4) AS first_val, "
-    f"round(CAST(arg_max({c}, (l_orderkey, l_linenumber)) AS DOUBLE), 4) AS last_val, count({c}) AS n_values, "
-    f"round(CASE WHEN count({c}) >= 2 AND arg_min({c}, (l_orderkey, l_linenumber)) <> 0 THEN "
-    f"(arg_max({c}, (l_orderkey, l_linenumber)) - arg_min({c}, (l_orderkey, l_linenumber))) "
-    f"/ abs(arg_min({c}, (l_orderkey, l_linenumber))) * 100 END, 4) AS pct_change FROM lineitem"
+    f"SELECT '{c}' AS metric, round(CAST(arg_min({c}, {_LI_KEY}) AS DOUBLE), 4) AS first_val, "
+    f"round(CAST(arg_max({c}, {_LI_KEY}) AS DOUBLE), 4) AS last_val, count({c}) AS n_values, "
+    f"round(CASE WHEN count({c}) >= 2 AND arg_min({c}, {_LI_KEY}) <> 0 THEN "
+    f"(arg_max({c}, {_LI_KEY}) - arg_min({c}, {_LI_KEY})) "
+    f"/ abs(arg_min({c}, {_LI_KEY})) * 100 END, 4) AS pct_change FROM lineitem"
     for c in _LI_NUM))
 def q_first_last_change(spark, sf):
-    li = Tables(spark, sf).lineitem.withColumn("_ord", F.struct("l_orderkey", "l_linenumber"))
+    li = Tables(spark, sf).lineitem.withColumn("_ord", F.struct(*_LI_ORDER))
     out = CL.first_last_change(li, "_ord", _LI_NUM)
     return out.select("metric", *[F.round(c, 4).alias(c) for c in ("first_val", "last_val")], "n_values",
                       F.round("pct_change", 4).alias("pct_change"))

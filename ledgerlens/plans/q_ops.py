@@ -26,8 +26,8 @@ from ..sources.metrics_csv import read_metrics
 from ..sources.tables import Tables
 from .q_claims import CLAIMS_SQL, VERIFY_SQL, _sq, derived_claims, verified
 from .q_metrics import CUSTOMER_ACTIVITY_SQL, customer_activity
-from .q_text import (CHUNKS_SQL, HYB_CORPUS, HYB_QUESTIONS, PAGES_SQL, TOKENS_SQL, bm25_sql, doc_chunks,
-                     doc_pages, hybrid_corpus, hybrid_questions, hybrid_sql)
+from .q_text import (CHUNKS_SQL, PAGES_SQL, TOKENS_SQL, bm25_sql, doc_chunks, doc_pages, hybrid_corpus,
+                     hybrid_questions, hybrid_sql)
 from .registry import query
 
 # Fixed templates: (template id, text with {name}, expected route).
@@ -431,15 +431,18 @@ def q_document_preview(spark, sf):
     return d.select("doc_id", F.substring("text", 1, 3000).alias("preview"), F.length("text").alias("n_chars"))
 
 
-@query("table_preview", """
-SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag FROM lineitem
-ORDER BY l_orderkey, l_linenumber LIMIT 10
+# (l_orderkey, l_linenumber) repeats in the given lineitem, so the preview
+# orders by every shown column: a total order, the same rows in any engine
+PREVIEW_COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
+
+
+@query("table_preview", f"""
+SELECT {', '.join(PREVIEW_COLS)} FROM lineitem ORDER BY {', '.join(PREVIEW_COLS)} LIMIT 10
 """)
 def q_table_preview(spark, sf):
-    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
-                                           "l_returnflag")
+    li = Tables(spark, sf).lineitem.select(*PREVIEW_COLS)
     from ..operators.stats import truncate_rows
-    return truncate_rows(li, ["l_orderkey", "l_linenumber"], 10)
+    return truncate_rows(li, PREVIEW_COLS, 10)
 
 
 TRUNC_MARKER = "\n... (truncated)"
