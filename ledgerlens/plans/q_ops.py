@@ -21,7 +21,7 @@ from ..operators import chunking as C
 from ..operators import claims as CL
 from ..operators import evaluation as E
 from ..operators import fusion, lexical, profile, report, routing
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.metrics_csv import read_metrics
 from ..sources.tables import Tables
 from .q_claims import CLAIMS_SQL, VERIFY_SQL, _sq, derived_claims, verified
@@ -256,7 +256,8 @@ HIT_SQL = f"""
 
 
 def retrieval_hits(spark, sf):
-    ch = doc_chunks(spark, sf)
+    # the chunk table feeds the index and the text look-up: computed once
+    ch = cut_lineage(doc_chunks(spark, sf).select("chunk_id", "text"), "chunks")
     qs = Tables(spark, sf).benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     hits = lexical.lexical_topk(lexical.build_index(ch), qs, 4)
     with_text = hits.join(ch.select("chunk_id", "text"), "chunk_id").select(
