@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
-from .ordering import with_running_offset
+from .ordering import SMALL_LIMIT, with_running_offset
 
 
 def _check(size: int, overlap: int) -> int:
@@ -35,10 +35,12 @@ def chunk_counts(pages: DataFrame, size: int = 800, overlap: float = 150) -> Dat
                     F.ceil(F.length("text") / F.lit(step)).cast("long").alias("n_chunks")))
 
 
-def page_offsets(pages: DataFrame, size: int = 800, overlap: int = 150) -> DataFrame:
+def page_offsets(pages: DataFrame, size: int = 800, overlap: int = 150,
+                 small_limit: int | None = SMALL_LIMIT) -> DataFrame:
     """(doc_id, page_number, n_chunks, chunk_id_start, chunk_index_start)."""
     counts = chunk_counts(pages, size, overlap)
-    glob = with_running_offset(counts, ["doc_id", "page_number"], "n_chunks", "chunk_id_start")
+    glob = with_running_offset(counts, ["doc_id", "page_number"], "n_chunks", "chunk_id_start",
+                               small_limit=small_limit)
     # a document's chunks are contiguous, so its first global id is a min
     # (partial aggregate, safe for a document holding many pages)
     first = glob.groupBy("doc_id").agg(F.min("chunk_id_start").alias("_doc_start"))
@@ -47,14 +49,15 @@ def page_offsets(pages: DataFrame, size: int = 800, overlap: int = 150) -> DataF
             .drop("_doc_start"))
 
 
-def chunk_pages(pages: DataFrame, size: int = 800, overlap: int = 150) -> DataFrame:
+def chunk_pages(pages: DataFrame, size: int = 800, overlap: int = 150,
+                small_limit: int | None = SMALL_LIMIT) -> DataFrame:
     """C1 + T4: (doc_id, page_number, chunk_index, chunk_id, start, text).
 
     The chunk texts are built inside one array per page (``transform`` over the
     start positions), so the page text is not copied once per chunk row.
     """
     step = _check(size, overlap)
-    offsets = page_offsets(pages, size, overlap).select(
+    offsets = page_offsets(pages, size, overlap, small_limit).select(
         "doc_id", "page_number", "chunk_id_start", "chunk_index_start")
     body = pages.filter(~is_blank(F.col("text"))).select("doc_id", "page_number", "text")
     pieces = F.transform(

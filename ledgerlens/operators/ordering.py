@@ -14,7 +14,10 @@ The range-partitioned key table is checkpointed (reliable checkpoint into
 from sampling, and two evaluations could otherwise assign different partition
 ids. Callers pass a narrow frame (keys + weight), never wide text.
 
-Used for sequential chunk ids (T4) and series positions (T7).
+Tables counted at or below ``SMALL_LIMIT`` rows take one ordered window
+instead (bounded by the count, deterministic on unique keys).
+
+Used for sequential chunk ids (T4), series positions (T7) and report lines.
 """
 
 from __future__ import annotations
@@ -31,12 +34,25 @@ def _partitions_for(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+SMALL_LIMIT = 1_000_000
+
+
 def with_running_offset(df: DataFrame, order_cols: list[str], weight: str | None = None,
-                        out: str = "_offset", num_partitions: int | None = None) -> DataFrame:
+                        out: str = "_offset", num_partitions: int | None = None,
+                        small_limit: int | None = SMALL_LIMIT) -> DataFrame:
     """Add ``out`` = sum of ``weight`` (1 per row if None) over all rows strictly
-    before this row in ``order_cols`` order. ``order_cols`` must be unique."""
-    n = _partitions_for(df, num_partitions)
+    before this row in ``order_cols`` order. ``order_cols`` must be unique.
+
+    Tables of at most ``small_limit`` rows (counted first) use one ordered
+    window; larger ones the distributed prefix sum below."""
     w_col = F.col(weight) if weight else F.lit(1)
+    if small_limit and df.count() <= small_limit:
+        # size-checked small case: one ordered window over at most
+        # ``small_limit`` narrow rows; unique keys make it deterministic, so
+        # no materialisation is needed
+        return df.withColumn(out, F.coalesce(F.sum(w_col.cast("long")).over(
+            Window.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = _partitions_for(df, num_partitions)
     ranged = cut_lineage(df.withColumn("_w", w_col.cast("long"))
                          .repartitionByRange(n, *order_cols)
                          .withColumn("_part", F.spark_partition_id()))
@@ -56,6 +72,6 @@ def with_running_offset(df: DataFrame, order_cols: list[str], weight: str | None
 
 
 def with_row_index(df: DataFrame, order_cols: list[str], out: str = "_idx",
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, small_limit: int | None = SMALL_LIMIT) -> DataFrame:
     """0-based position of each row in ``order_cols`` order."""
-    return with_running_offset(df, order_cols, None, out, num_partitions)
+    return with_running_offset(df, order_cols, None, out, num_partitions, small_limit)
