@@ -21,7 +21,7 @@ from ..functions import vocab as V
 from ..operators import claims as CL
 from ..session import cut_lineage
 from ..sources.tables import Tables
-from .q_text import SENTENCES_SQL, doc_pages
+from .q_text import PAGES_SQL, SENTENCES_SQL, doc_pages
 from .registry import query
 
 METRIC_COLS = ["revenue", "orders", "avg_price", "open_orders"]
@@ -313,8 +313,8 @@ def sql_qualifies(s: str) -> str:
             f" OR regexp_matches({s}, {_sq(dir_num)}))")
 
 
-@query("extract_claims", f"""
-WITH s AS ({SENTENCES_SQL}),
+EXTRACT_SQL_TEMPLATE = f"""
+WITH s AS ({SENTENCES_SQL.replace(PAGES_SQL, "__PAGES__")}),
 f AS (SELECT *, regexp_replace(lower(sentence), '\\s+', ' ', 'g') AS norm FROM s
       WHERE length(sentence) BETWEEN 15 AND 250 AND {sql_qualifies('sentence')}),
 d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, norm ORDER BY page_number, pos) = 1),
@@ -322,7 +322,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, pos
 SELECT doc_id, CAST(claim_id AS BIGINT) AS claim_id, page_number, CAST(pos AS BIGINT) AS pos,
        upper(substr(sentence, 1, 1)) || substr(sentence, 2) AS claim
 FROM r WHERE claim_id <= 8
-""")
+"""
+
+
+@query("extract_claims", EXTRACT_SQL_TEMPLATE.replace("__PAGES__", PAGES_SQL))
 def q_extract_claims(spark, sf):
     return CL.extract_claims(doc_pages(spark, sf))
 
@@ -480,3 +483,35 @@ def q_cross_check(spark, sf):
     return _round_verdicts(verdicts.select("question_id", "fallback", "claim_id", "claim", "verdict", "csv_metric",
                                            "actual_percent", "first_val", "last_val", "window_type",
                                            "window_value", "match_method", "confidence", "confidence_band", "reason"))
+
+
+def report_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a report written from the derived claims: one page per year
+    (its claims as sentences, the first repeated at the end) and one page 0
+    holding every generated claim. Exercises dedup and the cap of 8."""
+    c = derived_claims(spark, sf).filter(F.col("claim_id") >= 10).select(
+        (F.col("claim_id") / 10).cast("long").alias("yr"), "claim_id", "claim")
+    per_year = c.groupBy("yr").agg(F.array_sort(F.collect_list(F.struct("claim_id", "claim"))).alias("_c"))
+    year_pages = per_year.select(
+        F.lit(1).cast("long").alias("doc_id"), (F.col("yr") - 1990).cast("int").alias("page_number"),
+        F.concat(F.array_join(F.transform("_c", lambda x: x["claim"]), ". "), F.lit(". "),
+                 F.col("_c")[0]["claim"], F.lit(".")).alias("text"))
+    everything = c.agg(F.array_sort(F.collect_list(F.struct("claim_id", "claim"))).alias("_c")).select(
+        F.lit(2).cast("long").alias("doc_id"), F.lit(1).alias("page_number"),
+        F.concat(F.array_join(F.transform("_c", lambda x: x["claim"]), ". "), F.lit(".")).alias("text"))
+    return year_pages.unionByName(everything)
+
+
+REPORT_PAGES_SQL = f"""
+  WITH c AS (SELECT claim_id // 10 AS yr, claim_id, claim FROM ({CLAIMS_SQL}) WHERE claim_id >= 10)
+  SELECT CAST(1 AS BIGINT) AS doc_id, CAST(yr - 1990 AS INTEGER) AS page_number,
+         string_agg(claim, '. ' ORDER BY claim_id) || '. ' || arg_min(claim, claim_id) || '.' AS text
+  FROM c GROUP BY yr
+  UNION ALL
+  SELECT CAST(2 AS BIGINT), 1, string_agg(claim, '. ' ORDER BY claim_id) || '.' FROM c
+"""
+
+
+@query("report_claims", EXTRACT_SQL_TEMPLATE.replace("__PAGES__", REPORT_PAGES_SQL))
+def q_report_claims(spark, sf):
+    return CL.extract_claims(report_pages(spark, sf))
