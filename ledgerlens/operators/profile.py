@@ -158,7 +158,7 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None,
         distinct = {c: first[f"d{i}"] for i, c in enumerate(cols)}
         med = exact_quantiles(df, cols, [0.5], counts=counts, distinct=distinct)
         # the one-row result is already known: rebuild it without a rescan
-        one = df.sparkSession.createDataFrame([first]).select(
+        one = df.sparkSession.createDataFrame([first], schema=one.schema).select(
             "*", *[F.lit(med[(c, 0.5)]).cast("double").alias(f"m{i}") for i, c in enumerate(cols)])
     return _long(one, [
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),

@@ -109,3 +109,10 @@ def test_insights_and_report(sample, spark):
     lines = [r["line"] for r in RP.report_lines("today", None, sample, None).orderBy("line_no").collect()]
     assert lines[0] == "# Executive Report"
     assert "| revenue | 3,857,000.00 | 214,277.78 | 480,000.00 |" in lines
+
+
+def test_numeric_summary_all_null_column(spark):
+    t = spark.createDataFrame([(1.0, None), (2.0, None), (4.0, None)], "a double, b double")
+    got = {r["column"]: r for r in P.numeric_summary(t).collect()}
+    assert got["a"]["median"] == 2.0 and got["a"]["count"] == 3
+    assert got["b"]["count"] == 0 and got["b"]["median"] is None and got["b"]["mean"] is None
