@@ -4,15 +4,13 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from ledgerlens.plans.catalog import ORACLES, QUERIES
 from ledgerlens.sources.tables import TABLES
 from scripts.oracle_check import digest
 
 from .conftest import SF_SMALL
 
-QUERIES = queries()
-ORACLES = oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck():
