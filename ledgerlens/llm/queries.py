@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import decontaminate as dec
 from . import language_id as lid
+from . import packing as pk
+from . import prefix_free as pf
 from . import topk as tk
 from .common import held_out
 
@@ -90,3 +90,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = lid.train(docs)
     return (lid.identify(docs.select("doc_id", "text"), model)
             .select("doc_id", held_out().alias("held_out"), "lang_pred", "score"))
+
+
+#: The vocabulary file that the packing query counts tokens with.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pk.pack(pk.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
+@query("op10_prefix_free")
+def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.dedup(read_table(spark, sf_dir, "documents")).drop("kept")
