@@ -43,13 +43,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import add_columns, n_input_partitions, write_table
 from .language_id import _joined
 
 LENGTH = 50
 TRIGGER = 32
-SLICE = 1 << 19
+SLICE = 1 << 20
 FLAG_BUCKETS = 1 << 20
 LAST = 2**63 - 1
 
@@ -188,38 +189,35 @@ def repeated_triggers(docs: DataFrame, buckets: int, length: int = LENGTH, trigg
 
 
 def _phrase_parts(docs: DataFrame, buckets: int, length: int, trigger: int) -> DataFrame:
-    """Step 2, before the shuffle: the phrases whose trigger is in the row's ``hs``."""
-    names = ["bucket", "d", "k", "start", "shift", "size", "body"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    """Step 2, before the shuffle: the phrases whose trigger is in ``hs``, packed by bucket."""
+    names = ["bucket", "docs", "keys", "counts", "start", "shift", "extra", "body"]
+    kinds = [pa.int32(), *[pa.binary()] * 7]
 
     def run(batches):
         for batch in batches:
-            d, k = batch.column("d").to_pylist(), batch.column("k").to_pylist()
+            ids, keys = batch.column("d").to_numpy(), batch.column("k").to_numpy()
             known = batch.column("hs")
-            rows = []
-            data, offsets = _joined(batch.column("text"))
-            for i in range(batch.num_rows):
-                own = data[offsets[i]:offsets[i + 1]]
-                h, at, first, last, _ = phrases(own, np.array([0, len(own)]), length, trigger)
-                wanted = np.isin(h.view(np.int64), np.asarray(known[i].values))
-                h, at, first, last = h[wanted], at[wanted], first[wanted], last[wanted]
-                bucket = _bucket(h, buckets)
+            for base, data, offsets in slices(*_joined(batch.column("text"))):
+                h, at, first, last, doc = phrases(data, offsets, length, trigger)
+                # a hash kept for one document of the slice is repeated, whichever document has it
+                wanted = np.flatnonzero(np.isin(h.view(np.int64), known.slice(base, len(offsets) - 1).flatten().to_numpy()))
+                bucket = _bucket(h[wanted], buckets)
                 order = np.argsort(bucket, kind="stable")
-                cut = _runs(bucket[order])
-                raw = own.tobytes()
+                bucket, order = bucket[order], wanted[order]
+                rows, cut, raw = [], _runs(bucket), data.tobytes()
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     p = order[a:b]
-                    rows.append((int(bucket[p[0]]), d[i], k[i], first[p].astype("<u4").tobytes(), (at[p] - first[p]).astype("<u1").tobytes(),
-                                 (last[p] - first[p]).astype("<u1").tobytes(),
+                    of = _runs(doc[p])
+                    one = doc[p[of[:-1]]]
+                    rows.append((int(bucket[a]), ids[base + one].astype("<i8").tobytes(), keys[base + one].astype("<i8").tobytes(),
+                                 np.diff(of).astype("<u4").tobytes(), (first[p] - offsets[doc[p]]).astype("<u4").tobytes(),
+                                 (at[p] - first[p]).astype("<u1").tobytes(), (last[p] - first[p]).astype("<u1").tobytes(),
                                  b"".join(raw[x:y + length] for x, y in zip(first[p].tolist(), last[p].tolist(), strict=True))))
-                if len(rows) > 20_000:
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.select("d", "k", "text", "hs").mapInArrow(
-        run, "bucket int, d long, k long, start binary, shift binary, size binary, body binary")
+        run, "bucket int, docs binary, keys binary, counts binary, start binary, shift binary, extra binary, body binary")
 
 
 def _windows(body: np.ndarray, begin: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,11 +232,10 @@ def removable_spans(docs: DataFrame, buckets: int, length: int = LENGTH, trigger
     """(d, k, start, end): spans of windows whose smallest document is not their own."""
 
     def run(table: pa.Table) -> pa.Table:
-        per_row = np.array([len(x) for x in table.column("size").to_pylist()], np.int64)
-        d = np.repeat(table.column("d").to_numpy(), per_row)
-        k = np.repeat(table.column("k").to_numpy(), per_row)
+        per_doc = _bytes_of(table.column("counts"), "<u4")
+        d, k = (np.repeat(_bytes_of(table.column(x), "<i8"), per_doc) for x in ("docs", "keys"))
         start = _bytes_of(table.column("start"), "<u4").astype(np.int64)
-        shift, extra = _bytes_of(table.column("shift"), "u1"), _bytes_of(table.column("size"), "u1").astype(np.int64)
+        shift, extra = _bytes_of(table.column("shift"), "u1"), _bytes_of(table.column("extra"), "u1").astype(np.int64)
         body = _bytes_of(table.column("body"), "u1")
         begin = np.cumsum(extra + length) - (extra + length)
         # the dictionary: distinct phrases, padded to one width, with size and trigger place as part of the key
@@ -271,9 +268,7 @@ def removable_spans(docs: DataFrame, buckets: int, length: int = LENGTH, trigger
     return _phrase_parts(docs, buckets, length, trigger).groupBy("bucket").applyInArrow(run, "d long, k long, start long, end long")
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    from pyspark.sql import types as T
-
+def _cut(docs: DataFrame, with_kept: bool) -> DataFrame:
     def make():
         def compute(batch):
             data, offsets = _joined(batch.column("text"))
@@ -291,8 +286,9 @@ def _cut(docs: DataFrame) -> DataFrame:
                     runs.append(0)
                 sizes.append(int(offsets[i + 1] - offsets[i]))
                 removed.append(sizes[-1] - len(own))
-                left.append(own.tobytes())
-                digests.append(hashlib.sha256(left[-1]).hexdigest())
+                raw = own.tobytes()
+                digests.append(hashlib.sha256(raw).hexdigest())
+                left.append(raw if with_kept else None)
             return [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()),
                     pa.array(digests, pa.string()), pa.array(left, pa.binary())]
 
@@ -304,23 +300,23 @@ def _cut(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-          trigger: int = TRIGGER) -> DataFrame:
+          trigger: int = TRIGGER, with_kept: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is what is
-    left, as bytes (a cut may fall inside a character)."""
-    buckets = 2 * n_input_partitions(docs)
+    left, as bytes (a cut may fall inside a character); null if not asked for."""
+    buckets = n_input_partitions(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"))
     rows = rows.withColumn("k", F.xxhash64("doc_id", "text")).withColumn("flag", F.pmod(F.xxhash64("d"), F.lit(FLAG_BUCKETS)))
-    found = write_table(repeated_triggers(rows, buckets, length, trigger)
+    found = write_table(repeated_triggers(rows, 2 * buckets, length, trigger)
                         .groupBy("d").agg(F.collect_set("h").alias("hs")), "triggers")
     # at most FLAG_BUCKETS rows
     flags = F.broadcast(found.select(F.pmod(F.xxhash64("d"), F.lit(FLAG_BUCKETS)).alias("flag")).distinct())
     moved = rows.join(flags, "flag", "left_semi")
-    spans = write_table(removable_spans(moved.join(found, "d"), buckets, length, trigger)
+    spans = write_table(removable_spans(moved.join(found, "d"), 8 * buckets, length, trigger)
                         .groupBy("d", "k").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     still = rows.join(flags, "flag", "left_anti")
     kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     whole = still.select("doc_id", F.octet_length(kept).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-                         F.lit(0).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), kept.alias("kept"))
-    cut = _cut(moved.join(spans, ["d", "k"], "left").select("doc_id", "text", "spans"))
+                         F.lit(0).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), (kept if with_kept else F.lit(None).cast("binary")).alias("kept"))
+    cut = _cut(moved.join(spans, ["d", "k"], "left").select("doc_id", "text", "spans"), with_kept)
     return whole.unionByName(cut.select(*whole.columns))

@@ -105,4 +105,4 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_prefix_free")
 def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+    return pf.dedup(read_table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
