@@ -52,6 +52,7 @@ LENGTH = 50
 TRIGGER = 32
 SLICE = 1 << 20
 FLAG_BUCKETS = 1 << 20
+PART = 1 << 20
 LAST = 2**63 - 1
 
 _MULT = 0x9E3779B97F4A7C15 | 1
@@ -228,6 +229,37 @@ def _windows(body: np.ndarray, begin: np.ndarray, count: np.ndarray, length: int
     return np.ascontiguousarray(view[begin[of] + j]).view(f"V{length}").ravel(), of
 
 
+def _spans_of(d: np.ndarray, start: np.ndarray, shift: np.ndarray, extra: np.ndarray, body: np.ndarray,
+              begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, start, end) of the removable runs of windows of some phrases."""
+    # the dictionary: distinct phrases, padded to one width, with size and trigger place as part of the key
+    wide = int(extra.max()) + length
+    key = np.zeros((len(extra), wide + 2), np.uint8)
+    cell = np.repeat(np.arange(len(extra)), extra + length)
+    column = np.arange(len(cell)) - np.repeat(np.cumsum(extra + length) - (extra + length), extra + length)
+    key[cell, column] = body[np.repeat(begin, extra + length) + column]
+    key[:, wide], key[:, wide + 1] = extra, shift
+    _, one, entry = np.unique(key.view(f"V{wide + 2}").ravel(), return_index=True, return_inverse=True)
+    least = np.full(len(one), LAST, np.int64)
+    np.minimum.at(least, entry, d)
+    # its suffixes in order of their first ``length`` bytes
+    windows, of = _windows(body, begin[one], extra[one] + 1, length)
+    _, same = np.unique(windows, return_inverse=True)
+    smallest = np.full(int(same.max()) + 1, LAST, np.int64)
+    np.minimum.at(smallest, same, least[of])
+    source = smallest[same]
+    window_at = np.cumsum(extra[one] + 1) - (extra[one] + 1)
+    # the parse: each occurrence looks up its phrase's windows
+    n = extra + 1
+    who = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+    gone = source[window_at[entry[who]] + j] < d[who]
+    who, j = who[gone], j[gone]
+    new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (j[1:] != j[:-1] + 1)]) if len(who) else np.zeros(0, np.int64)
+    end = np.r_[new[1:], len(who)] - 1 if len(who) else new
+    return who[new], start[who[new]] + j[new], start[who[end]] + j[end] + length
+
+
 def removable_spans(docs: DataFrame, buckets: int, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """(d, k, start, end): spans of windows whose smallest document is not their own."""
 
@@ -238,32 +270,18 @@ def removable_spans(docs: DataFrame, buckets: int, length: int = LENGTH, trigger
         shift, extra = _bytes_of(table.column("shift"), "u1"), _bytes_of(table.column("extra"), "u1").astype(np.int64)
         body = _bytes_of(table.column("body"), "u1")
         begin = np.cumsum(extra + length) - (extra + length)
-        # the dictionary: distinct phrases, padded to one width, with size and trigger place as part of the key
-        wide = int(extra.max()) + length
-        key = np.zeros((len(extra), wide + 2), np.uint8)
-        cell = np.repeat(np.arange(len(extra)), extra + length)
-        key[cell, np.arange(len(body)) - np.repeat(begin, extra + length)] = body
-        key[:, wide], key[:, wide + 1] = extra, shift
-        _, one, entry = np.unique(key.view(f"V{wide + 2}").ravel(), return_index=True, return_inverse=True)
-        least = np.full(len(one), LAST, np.int64)
-        np.minimum.at(least, entry, d)
-        # its suffixes in order of their first ``length`` bytes
-        windows, of = _windows(body, begin[one], extra[one] + 1, length)
-        _, same = np.unique(windows, return_inverse=True)
-        smallest = np.full(int(same.max()) + 1, LAST, np.int64)
-        np.minimum.at(smallest, same, least[of])
-        source = smallest[same]
-        window_at = np.cumsum(extra[one] + 1) - (extra[one] + 1)
-        # the parse: each occurrence looks up its phrase's windows
-        n = extra + 1
-        who = np.repeat(np.arange(len(n)), n)
-        j = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-        gone = source[window_at[entry[who]] + j] < d[who]
-        who, j = who[gone], j[gone]
-        new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (j[1:] != j[:-1] + 1)]) if len(who) else np.zeros(0, np.int64)
-        end = np.r_[new[1:], len(who)] - 1 if len(who) else new
-        return pa.table({"d": d[who[new]], "k": k[who[new]], "start": start[who[new]] + j[new],
-                         "end": start[who[end]] + j[end] + length})
+        # phrases of one trigger stay together in parts of about PART bytes, one after the other
+        words = np.lib.stride_tricks.sliding_window_view(body, 8)[begin + shift + trigger // 2]
+        mixed = np.ascontiguousarray(words).view("<u8").ravel() * np.uint64(_MULT)
+        part = _bucket(mixed, -(-len(body) // PART))
+        found = []
+        order = np.argsort(part, kind="stable")
+        cut = _runs(part[order])
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            p = order[a:b]
+            who, first, last = _spans_of(d[p], start[p], shift[p], extra[p], body, begin[p], length)
+            found.append((d[p[who]], k[p[who]], first, last))
+        return pa.table({name: np.concatenate([x[i] for x in found]) for i, name in enumerate(("d", "k", "start", "end"))})
 
     return _phrase_parts(docs, buckets, length, trigger).groupBy("bucket").applyInArrow(run, "d long, k long, start long, end long")
 
