@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import decontaminate as dec
+from . import jaccard_join as jj
 from . import language_id as lid
 from . import packing as pk
 from . import prefix_free as pf
@@ -106,3 +107,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_prefix_free")
 def op10_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.dedup(read_table(spark, sf_dir, "documents"), with_kept=False).drop("kept")
+
+
+SQL_JACCARD = rf"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, least(3, len(w)) AS k, unnest(generate_series(1, len(w) - least(3, len(w)) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_in AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (
+  SELECT x, y FROM both_in JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)
+  UNION SELECT y, x FROM both_in JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+r(doc_id, o) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(o) FROM r WHERE r.doc_id = w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op4_jaccard_join", SQL_JACCARD)
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jj.join(read_table(spark, sf_dir, "documents"))
