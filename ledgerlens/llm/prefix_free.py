@@ -22,8 +22,8 @@ phrases; the dictionary holds the distinct ones.
 
 Hashes only propose; windows are compared byte by byte, so results are exact.
 
-Scale. What is shuffled are packed arrays: about 7 bytes a trigger (a tenth of
-the bytes have one), and the phrases of repeated triggers. A text that cannot
+Scale. What is shuffled are packed arrays: about 7 bytes a trigger (one byte in
+fourteen has one), and the phrases of repeated triggers. A text that cannot
 hold a repeated trigger never moves (a table of at most 2**20 flagged id hashes
 is broadcast). Buckets follow the number of input partitions. A trigger that
 many documents of one batch share is settled there and sends two entries, so a
@@ -38,6 +38,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ from .common import add_columns, n_input_partitions, write_table
 from .language_id import _joined
 
 LENGTH = 50
-TRIGGER = 32
+TRIGGER = 24
 SLICE = 1 << 20
 FLAG_BUCKETS = 1 << 20
 PART = 1 << 20
@@ -213,7 +214,7 @@ def _phrase_parts(docs: DataFrame, buckets: int, length: int, trigger: int) -> D
                     rows.append((int(bucket[a]), ids[base + one].astype("<i8").tobytes(), keys[base + one].astype("<i8").tobytes(),
                                  np.diff(of).astype("<u4").tobytes(), (first[p] - offsets[doc[p]]).astype("<u4").tobytes(),
                                  (at[p] - first[p]).astype("<u1").tobytes(), (last[p] - first[p]).astype("<u1").tobytes(),
-                                 b"".join(raw[x:y + length] for x, y in zip(first[p].tolist(), last[p].tolist(), strict=True))))
+                                 zlib.compress(b"".join(raw[x:y + length] for x, y in zip(first[p].tolist(), last[p].tolist(), strict=True)), 1)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -268,7 +269,7 @@ def removable_spans(docs: DataFrame, buckets: int, length: int = LENGTH, trigger
         d, k = (np.repeat(_bytes_of(table.column(x), "<i8"), per_doc) for x in ("docs", "keys"))
         start = _bytes_of(table.column("start"), "<u4").astype(np.int64)
         shift, extra = _bytes_of(table.column("shift"), "u1"), _bytes_of(table.column("extra"), "u1").astype(np.int64)
-        body = _bytes_of(table.column("body"), "u1")
+        body = np.frombuffer(b"".join(map(zlib.decompress, table.column("body").to_pylist())), np.uint8)
         begin = np.cumsum(extra + length) - (extra + length)
         # phrases of one trigger stay together in parts of about PART bytes, one after the other
         words = np.lib.stride_tricks.sliding_window_view(body, 8)[begin + shift + trigger // 2]
