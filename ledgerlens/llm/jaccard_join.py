@@ -415,24 +415,21 @@ def _settle(links: DataFrame, wanted: DataFrame, docs: DataFrame, sets: DataFram
     flags = [r[0] for r in left.select(F.explode(F.array("a", "b")).alias("f"))
              .select(F.shiftrightunsigned("f", 44).alias("x")).distinct().collect()]  # at most FLAGS small integers
     if not flags:
-        return links, roots
+        return links, components(links) if roots is None else roots
     texts = write_table(_texts_of(docs, docs.sparkSession.sparkContext.broadcast(np.array(flags, np.int64))), "wanted-texts")
-    share = 1
-    while True:
-        # the most alike pairs of each set first, twice as many each time
-        first = Window.partitionBy("a").orderBy("apart", "b")
-        batch = write_table(left.withColumn("i", F.row_number().over(first)), "batch")
-        found = write_table(_compare(batch.filter(F.col("i") <= share).select("a", "b"), texts, percent), "links")
-        links = found if links is None else links.unionByName(found)
+    # the most alike pair of each set first, then what is still across components
+    best = Window.partitionBy("a").orderBy("apart", "b")
+    batch = write_table(left.withColumn("i", F.row_number().over(best)), "batch")
+    for first in (True, False):
+        now = batch.filter("i = 1") if first else write_table(_across(batch.filter("i > 1"), roots), "wanted")
+        if not first and now.isEmpty():
+            break
+        links = links.unionByName(write_table(_compare(now.select("a", "b"), texts, percent), "links"))
         roots = components(links)
-        rest = write_table(_across(batch.filter(F.col("i") > share).select("a", "b", "apart"), roots), "wanted")
-        drop_table(left)
-        drop_table(batch)
-        left = rest
-        if left.isEmpty():
-            drop_table(texts)
-            return links, roots
-        share *= 2
+    drop_table(left)
+    drop_table(batch)
+    drop_table(texts)
+    return links, roots
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -449,8 +446,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     light = boundary(np.array([r["n"] for r in sizes], np.int64), np.array([r["count"] for r in sizes], np.float64), percent) if sizes else 0
     found = write_table(proposals(postings(rows, order, light, percent, buckets), percent), "proposals")
     links = found.filter("kind = 0").select("a", "b")
-    roots = components(links)
-    links, roots = _settle(links, found.filter("kind = 1").select("a", "b").distinct(), rows, sets, percent, roots)
+    links, roots = _settle(links, found.filter("kind = 1").select("a", "b").distinct(), rows, sets, percent, None)
     # long lists that still hold several components: the pairs between them
     long = found.filter("kind = 2").select(F.col("a").alias("f"), F.col("b").alias("key"), "n", "place")
     long = long.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
