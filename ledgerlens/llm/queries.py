@@ -9,6 +9,7 @@ from ..sources.tables import read_table
 from . import decontaminate as dec
 from . import jaccard_join as jj
 from . import language_id as lid
+from . import line_dedup as ld
 from . import packing as pk
 from . import prefix_free as pf
 from . import topk as tk
@@ -30,6 +31,31 @@ def query(name: str, sql: str | None = None):
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+SQL_LINE_DEDUP = """
+WITH l AS MATERIALIZED (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+p AS MATERIALIZED (SELECT doc_id, unnest(generate_series(1, len(ls))) AS i, unnest(ls) AS x FROM l),
+r AS MATERIALIZED (
+  SELECT doc_id, i, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y,
+         lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM p),
+f AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, i) AS nth FROM r WHERE j IS NOT NULL) WHERE nth > 1),
+g AS MATERIALIZED (SELECT doc_id, i FROM f UNION SELECT doc_id, i + 1 FROM f),
+k AS (SELECT doc_id, count(g.i) AS n_removed,
+             sum(CASE WHEN g.i IS NOT NULL AND (doc_id, p.i - 1) NOT IN (SELECT (doc_id, i) FROM g) THEN 1 ELSE 0 END) AS n_runs,
+             string_agg(x, chr(10) ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS kept
+      FROM p LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op1_line_dedup", SQL_LINE_DEDUP)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ld.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 SQL_DECONTAMINATE = rf"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
