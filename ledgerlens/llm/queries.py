@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import decontaminate as dec
+from . import host_trust as ht
 from . import jaccard_join as jj
 from . import language_id as lid
+from . import license_scan as ls
 from . import line_dedup as ld
 from . import packing as pk
 from . import prefix_free as pf
@@ -155,3 +157,66 @@ FROM w LEFT JOIN n USING (doc_id)
 @query("op4_jaccard_join", SQL_JACCARD)
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jj.join(read_table(spark, sf_dir, "documents"))
+
+
+def sql_host_trust() -> str:
+    """The rules and the propagation with one CTE a round."""
+    fits = []
+    for verdict, host, path in sorted(ht.RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block")):
+        fits.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')", host + path, verdict))
+    rule = " ".join(f"WHEN {c} THEN '{r}'" for c, r, _ in fits)
+    ruling = " ".join(f"WHEN {c} THEN '{v}'" for c, _, v in fits)
+    rounds = ["r0 AS MATERIALIZED (SELECT host, t0, d0, t0 AS t, d0 AS d FROM seeds)"]
+    for i in range(ht.ROUNDS):
+        rounds.append(f"""r{i + 1} AS MATERIALIZED (
+  SELECT s.host, s.t0, s.d0, {1 - ht.DAMPING!r} * s.t0 + {ht.DAMPING} * coalesce(ti, 0) AS t, {1 - ht.DAMPING!r} * s.d0 + {ht.DAMPING} * coalesce(di, 0) AS d
+  FROM seeds s
+  LEFT JOIN (SELECT dst, sum(t / deg) AS ti FROM e JOIN od USING (src) JOIN r{i} ON host = src GROUP BY dst) a ON a.dst = s.host
+  LEFT JOIN (SELECT src, sum(d / deg) AS di FROM e JOIN id USING (dst) JOIN r{i} ON host = dst GROUP BY src) b ON b.src = s.host)""")
+    return rf"""
+WITH u AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWERED}'), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+p AS MATERIALIZED (SELECT *, CASE {rule} END AS rule, CASE {ruling} END AS ruling FROM h),
+seeds AS MATERIALIZED (
+  SELECT host, CASE WHEN avg(CASE WHEN ruling = 'allow' THEN 1.0 ELSE 0.0 END) > {ht.SEED_SHARE} THEN 1.0::DOUBLE ELSE 0.0 END AS t0,
+         CASE WHEN avg(CASE WHEN ruling = 'block' THEN 1.0 ELSE 0.0 END) > {ht.SEED_SHARE} THEN 1.0::DOUBLE ELSE 0.0 END AS d0
+  FROM p WHERE host <> '' GROUP BY host),
+x AS (SELECT host AS src, unnest(regexp_extract_all(html, 'href\s*=\s*["'']((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]*)', 1, 'i')) AS href FROM p WHERE host <> ''),
+up AS (SELECT host AS src, substr(host, instr(host, '.') + 1) AS dst FROM seeds WHERE instr(host, '.') > 0),
+e AS MATERIALIZED (
+  SELECT DISTINCT src, dst FROM (
+    SELECT src, translate(regexp_extract(substr(href, instr(href, '//') + 2), '^([^/?#]*)', 1), '{UPPER}', '{LOWERED}') AS dst FROM x
+    UNION ALL SELECT src, dst FROM up UNION ALL SELECT dst, src FROM up)
+  WHERE src <> dst AND src IN (SELECT host FROM seeds) AND dst IN (SELECT host FROM seeds)),
+od AS (SELECT src, count(*) AS deg FROM e GROUP BY src),
+id AS (SELECT dst, count(*) AS deg FROM e GROUP BY dst),
+{(","+chr(10)).join(rounds)}
+SELECT page_id, host, path, rule,
+       coalesce(ruling, CASE WHEN d > 0 AND d >= {ht.THRESHOLD} * (t + d) THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN r{ht.ROUNDS} USING (host)
+"""
+
+
+@query("op2_host_trust", sql_host_trust())
+def op2_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ht.judge(read_table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
+def sql_licenses() -> str:
+    """Containment of at least 80 % of a template's shingles in a document."""
+    rows = ", ".join(f"('{name}', {len(ls.template_shingles(t))}, '{s}')" for name, t in ls.TEMPLATES for s in ls.template_shingles(t))
+    return rf"""
+WITH t(name, m, s) AS (VALUES {rows}),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9.]+') AS w FROM documents),
+k AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d)),
+f AS (SELECT doc_id, name FROM k JOIN t USING (s) GROUP BY doc_id, name, m HAVING 100 * count(*) >= {ls.CONTAINMENT} * m)
+SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses
+FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op7_license_scan", sql_licenses())
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ls.scan(read_table(spark, sf_dir, "documents"))
