@@ -1,10 +1,82 @@
-"""Corpus pipeline: stages over ``documents``, each stage one operator of ledgerlens.llm."""
+"""Corpus pipeline: language ID, line dedup, Jaccard join, decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir), applies one operator of ledgerlens.llm
+to all of ``docs`` and returns a DataFrame; the stages between are written as
+Parquet and read again. All but the last return the columns of ``documents``;
+the last returns the packed pieces.
+
+* language_id drops documents without a language (no text, no letter, or no
+  language that is likelier than the others together).
+* line_dedup deletes later copies of runs of lines; documents of which nothing
+  is left go.
+* jaccard_join keeps one document of every group of linked ones: the smallest
+  doc_id (of rows of one id, one).
+* decontaminate drops documents that hold a window of a benchmark item.
+* packing packs what is left.
+
+ORACLE_SQL is None: the byte trees and the local search have no SQL form; the
+stages are tested against brute force in tests/llm.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import decontaminate as dec
+from ledgerlens.llm import jaccard_join, language_id, line_dedup, packing
+from ledgerlens.llm.common import write_table
+from ledgerlens.llm.queries import TOKENIZER
+from ledgerlens.sources.tables import read_table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A language must hold at least this share of the likelihoods.
+MIN_SCORE = 0.5
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = language_id.identify(docs.select(*COLUMNS), language_id.train(docs))
+    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(docs.select(*COLUMNS))
+    left = out.filter((F.col("n_removed") == 0) | (F.length("text") > 0))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = write_table(jaccard_join.join(docs), "alike")
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    # texts whose id hash is not touched do not move (at most FLAG_BUCKETS rows are broadcast)
+    flag = F.pmod(F.xxhash64("doc_id"), F.lit(line_dedup.FLAG_BUCKETS)).alias("_flag")
+    flags = F.broadcast(gone.unionByName(again).select(flag).distinct())
+    keyed = docs.select(*COLUMNS, flag)
+    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
+    one = (keyed.join(flags, "_flag", "left_semi").join(gone, "doc_id", "left_anti")
+           .withColumn("_i", F.row_number().over(first)).filter("_i = 1").select(*COLUMNS))
+    return keyed.join(flags, "_flag", "left_anti").select(*COLUMNS).unionByName(one)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = dec.decontaminate(docs.select(*COLUMNS), read_table(spark, sf_dir, "benchmark"))
+    return out.filter(~F.col("contaminated")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(packing.pieces(docs, public_tokenizers.path(TOKENIZER)))
+
+
+STAGES = [("language_id", identify), ("line_dedup", drop_repeated_lines), ("jaccard_join", keep_one_of_alike),
+          ("decontaminate", drop_contaminated), ("packing", pack)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

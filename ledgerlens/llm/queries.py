@@ -15,6 +15,7 @@ from . import line_dedup as ld
 from . import packing as pk
 from . import prefix_free as pf
 from . import topk as tk
+from . import toxicity as tx
 from .common import held_out
 
 QUERIES: dict = {}
@@ -220,3 +221,10 @@ FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id
 @query("op7_license_scan", sql_licenses())
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ls.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tx.score(docs, tx.train(docs, read_table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
