@@ -307,8 +307,9 @@ def proposals(posts: DataFrame, percent: int) -> DataFrame:
             long = np.flatnonzero(length > SHORT)
             if len(long):
                 q = p[long]
-                # hubs: the set of least hash, and the one of least hash for this list
-                for h in (mix(f[q]), mix(f[q] ^ key[q])):
+                # hubs: the set of least hash under one hash for all lists and under one of four;
+                # lists of the same group choose the same few hubs
+                for h in (mix(f[q]), mix(f[q] + (key[q] & np.uint64(3)) * np.uint64(_MULT) + np.uint64(1))):
                     o = np.lexsort((h, key[q]))
                     e = _runs(key[q][o])
                     hub = np.repeat(q[o][e[:-1]], np.diff(e))
