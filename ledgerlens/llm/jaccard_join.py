@@ -410,6 +410,20 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, apart long")
 
 
+def _with_words(rows: DataFrame) -> DataFrame:
+    """The bitmap as long columns x0, x1, ..., so that a join condition can compare two."""
+    words = BITS // 64
+
+    def run(batches):
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("bits").to_pylist()), "<i8").reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(np.ascontiguousarray(x[:, i])) for i in range(words)]],
+                                             names=[*batch.schema.names[:-1], *[f"x{i}" for i in range(words)]])
+
+    kept = rows.select("f", "key", "n", "place", "root", "bits")
+    return kept.mapInArrow(run, "f long, key long, n long, place long, root long, " + ", ".join(f"x{i} long" for i in range(words)))
+
+
 def _settle(links: DataFrame, wanted: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, roots: DataFrame | None):
     """Compare the wanted pairs until none across components is left: (links, roots)."""
     left = write_table(_alike(_across(wanted, roots), sets, percent), "wanted")
@@ -452,12 +466,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     long = found.filter("kind = 2").select(F.col("a").alias("f"), F.col("b").alias("key"), "n", "place")
     long = long.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     mixed = long.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    open_lists = write_table(long.join(mixed, "key"), "lists")
+    open_lists = write_table(_with_words(long.join(mixed, "key").join(sets.select("f", "bits"), "f")), "lists")
     if not open_lists.isEmpty():
         # texts that share only a rare passage: bounds on size and place, then the bitmap, cut the pairs
         a, b = open_lists.alias("a"), open_lists.alias("b")
         fits = (f"a.key = b.key AND a.f < b.f AND a.root <> b.root AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) "
-                f"AND least(a.n - a.place, b.n - b.place) * {100 + percent} >= {percent} * (a.n + b.n)")
+                f"AND least(a.n - a.place, b.n - b.place) * {100 + percent} >= {percent} * (a.n + b.n) "
+                f"AND ({' + '.join(f'bit_count(a.x{i} ^ b.x{i})' for i in range(BITS // 64))}) * {100 + percent} <= {100 - percent} * (a.n + b.n)")
         more = a.join(b, F.expr(fits)).select(F.col("a.f").alias("a"), F.col("b.f").alias("b")).distinct()
         links, roots = _settle(links, more, rows, sets, percent, roots)
     named = sets.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
