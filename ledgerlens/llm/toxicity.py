@@ -3,8 +3,8 @@
 Examples are a bounded sample of labelled rows (``per_class`` toxic and as many
 clean ones, and ``calibration`` others to calibrate on; the first by the hash
 of their id, of at most ``sample_bytes`` bytes; never a held-out id). Terms are
-the words whose share of toxic examples differs from the average by ``Z``
-standard errors (at most ``MAX_TERMS``, the strongest); their document
+the words that are ``ODDS`` times as frequent in one class as in the other and
+whose share of toxic examples differs from the average by ``Z`` standard errors (in ``MIN_EXAMPLES`` examples at least; at most ``MAX_TERMS``, the strongest); their document
 frequencies are counted over all documents. A text's vector holds
 ``(1 + log tf) * idf`` of its terms, at length 1.
 
@@ -30,6 +30,7 @@ other columns pass through, those named like an output are replaced.
 from __future__ import annotations
 
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ PER_CLASS = 1500
 CALIBRATION = 3000
 SAMPLE_BYTES = 20_000
 Z = 5.0
+ODDS = 4.0
+MIN_EXAMPLES = 5
 MAX_TERMS = 1024
 BLOCK = 64
 K = 16
@@ -55,11 +58,11 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, calibration: int)
              .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id")).groupBy("id").agg(F.max("y").alias("y")))
     small = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").cast("long").alias("id")).distinct()
     ranked = (known.join(small, "id", "left_semi").withColumn("h", F.xxhash64("id"))
-              .withColumn("i", F.row_number().over(Window.partitionBy("y", F.pmod("h", F.lit(2)) == 0).orderBy("h", "id"))))
-    even = F.pmod("h", F.lit(2)) == 0
-    # examples from the even hashes, class by class; calibration rows from the odd ones, as they come
-    examples = ranked.filter(even & (F.col("i") <= per_class)).select("id", "y", F.lit(0).alias("use"))
-    others = ranked.filter(~even).orderBy("h", "id").limit(calibration).select("id", "y", F.lit(1).alias("use"))
+              .withColumn("i", F.row_number().over(Window.partitionBy("y", F.pmod("h", F.lit(4)) > 0).orderBy("h", "id"))))
+    fit = F.pmod("h", F.lit(4)) > 0
+    # examples from three quarters of the rows, class by class; calibration rows from the last, as they come
+    examples = ranked.filter(fit & (F.col("i") <= per_class)).select("id", "y", F.lit(0).alias("use"))
+    others = ranked.filter(~fit).orderBy("h", "id").limit(calibration).select("id", "y", F.lit(1).alias("use"))
     chosen = F.broadcast(examples.unionByName(others))
     rows = (docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
             .join(chosen, "id").groupBy("id", "y", "use").agg(F.min("text").alias("text")).orderBy("id").collect())
@@ -68,16 +71,28 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, calibration: int)
 
 def choose_terms(examples: list) -> list[bytes]:
     """Words tied to a label by at least Z standard errors, the strongest first."""
-    n, toxic = Counter(), Counter()
+    n, toxic, known = Counter(), Counter(), set()
     for _, y, text in examples:
         seen = set(alnum_words(text))
+        # of a group of near copies one speaks: their own words are no sign of the label
+        copy = tuple(sorted(map(crc32, seen))[:2])
+        if copy in known:
+            continue
+        known.add(copy)
         n.update(seen)
         if y:
             toxic.update(seen)
     share = sum(y for _, y, _ in examples) / max(1, len(examples))
     if not 0 < share < 1:
         return []
-    z = {w: (toxic[w] - c * share) / (c * share * (1 - share)) ** 0.5 for w, c in n.items() if c >= 5}
+    bad = sum(y for _, y, _ in examples)
+    good = len(examples) - bad
+
+    def lift(w):
+        return (toxic[w] + 0.5) / (bad + 1) * (good + 1) / (n[w] - toxic[w] + 0.5)
+
+    z = {w: (toxic[w] - c * share) / (c * share * (1 - share)) ** 0.5 for w, c in n.items()
+         if c >= MIN_EXAMPLES and not 1 / ODDS < lift(w) < ODDS}
     return sorted((w for w in z if abs(z[w]) >= Z), key=lambda w: (-abs(z[w]), w))[:MAX_TERMS]
 
 
