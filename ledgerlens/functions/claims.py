@@ -8,6 +8,8 @@ Unicode-aware like Python's regexes.
 
 from __future__ import annotations
 
+import unicodedata
+
 import re
 
 from pyspark.sql import Column
@@ -60,16 +62,26 @@ def qualifies(sentence: Column) -> Column:
             | ((has_digit | sentence.contains("$")) & sentence.rlike(FROM_TO_RE)))
 
 
+#: Decimal digits of all scripts, and the ASCII digit that each stands for.
+_DIGITS = [chr(c) for c in range(128, 0x20000) if unicodedata.category(chr(c)) == "Nd"]
+_ASCII_OF = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+
+
+def ascii_digits(text: Column) -> Column:
+    """Digits of any script as ASCII digits; only texts that hold one pay for it."""
+    return F.when(text.rlike(r"(?U)[^\P{Nd}0-9]"), F.translate(text, "".join(_DIGITS), _ASCII_OF)).otherwise(text)
+
+
 def change(claim: Column) -> Column:
     """struct(pct double, direction string, tolerance double, mode string).
 
     The first ``N%`` wins with tolerance 5; otherwise the multiplier rules in
     order; otherwise pct null with tolerance 5.
     """
-    low = F.lower(claim)
+    low = ascii_digits(F.lower(claim))
     pct_re = r"(?U)(\d+(?:\.\d+)?)\s*%"
     out = F.when(claim.contains("%") & low.rlike(pct_re), F.struct(
-        F.regexp_extract(low, pct_re, 1).cast("double").alias("pct"),
+        F.regexp_extract(low, pct_re, 1).try_cast("double").alias("pct"),
         direction(low).alias("direction"),
         F.lit(V.PERCENT_TOLERANCE).alias("tolerance"),
         F.lit(None).cast("string").alias("mode")))
@@ -96,6 +108,7 @@ def time_window(claim: Column) -> Column:
     reference; null when there is none, or when the claim says "from" and has
     two or more references."""
     none = F.array().cast("array<string>")
+    claim = ascii_digits(claim)
 
     def guarded(cond, pattern, group):
         return F.when(cond, F.regexp_extract_all(claim, F.lit(pattern), group)).otherwise(none)
@@ -107,7 +120,7 @@ def time_window(claim: Column) -> Column:
     has_from = claim.rlike(r"(?iU)\bfrom\b")
 
     def win(kind: str, arr: Column) -> Column:
-        return F.struct(F.lit(kind).alias("type"), F.get(arr, 0).cast("int").alias("value"))
+        return F.struct(F.lit(kind).alias("type"), F.get(arr, 0).try_cast("int").alias("value"))
 
     return (F.when(has_from & (n >= 2), F.lit(None))
             .when(F.size(q) > 0, win("quarter", q))

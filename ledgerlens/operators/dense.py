@@ -22,6 +22,9 @@ from .lexical import top_k
 MAX_QUESTION_BYTES = 64 * 1024 * 1024
 DIGITS = 6
 
+#: Vectors that are null or hold null or NaN are nobody's neighbour.
+_usable = "vector IS NOT NULL AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x))"
+
 _OUT = "question_id long, chunk_id long, dense_distance double"
 
 
@@ -53,9 +56,9 @@ def nearest(corpus: DataFrame, questions: DataFrame, k: int = 4,
     """J2 + T1: (question_id, chunk_id, dense_distance, dense_rank) for the k
     nearest corpus vectors of every question; rank ties broken by chunk_id."""
     c = corpus.select(F.col(corpus_id).cast("long").alias("chunk_id"),
-                      F.col(corpus_vec).alias("vector"))
+                      F.col(corpus_vec).alias("vector")).filter(_usable)
     q = questions.select(F.col(question_id).cast("long").alias("question_id"),
-                         F.col(question_vec).alias("vector"))
+                         F.col(question_vec).alias("vector")).filter(_usable)
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     n_q, dim = stats["n"], stats["dim"] or 0
     if n_q == 0:

@@ -21,14 +21,13 @@ def class_accuracy(results: DataFrame, expected: str, actual: str, suite: str) -
     """Overall accuracy (slice 'all') and accuracy per expected class."""
     ok = (F.col(expected) == F.col(actual)).cast("long")
     g = (results.rollup(expected)
-         .agg(F.coalesce(F.sum(ok), F.lit(0)).alias("hits"), F.count(F.lit(1)).alias("total")))
-    out = g.select(F.lit(suite).alias("suite"),
-                   F.coalesce(F.col(expected).cast("string"), F.lit("all")).alias("slice"),
-                   _rate(F.col("hits"), F.col("total")).alias("value"),
-                   F.col("hits").cast("long").alias("hits"), F.col("total").cast("long").alias("total"))
-    # rollup over an empty input yields no grand-total row: add the zero row
-    empty = results.sparkSession.createDataFrame([(suite, "all", 0.0, 0, 0)], _OUT)
-    return out.unionByName(empty.join(out.filter(F.col("slice") == "all").select("suite"), "suite", "left_anti"))
+         .agg(F.coalesce(F.sum(ok), F.lit(0)).alias("hits"), F.count(F.lit(1)).alias("total"), F.grouping_id().alias("_all")))
+    part = g.select(F.when(F.col("_all") == 1, F.lit("all"))
+                    .otherwise(F.coalesce(F.col(expected).cast("string"), F.lit("unlabelled"))).alias("slice"), "hits", "total")
+    # rollup over an empty input yields no grand-total row: a zero row is added to it
+    zero = results.sparkSession.createDataFrame([("all", 0, 0)], "slice string, hits long, total long")
+    both = part.unionByName(zero).groupBy("slice").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
+    return both.select(F.lit(suite).alias("suite"), "slice", _rate(F.col("hits"), F.col("total")).alias("value"), "hits", "total")
 
 
 def route_accuracy(results: DataFrame) -> DataFrame:

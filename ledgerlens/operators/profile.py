@@ -134,29 +134,24 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None,
     """Count, mean, median, min, max, sample std for the first ``limit``
     numeric columns.
 
-    One aggregation gives count/mean/min/max/std and a distinct-count sketch
-    for all columns; exact medians then come from ``quantiles``: Spark's
-    ``percentile`` for columns whose distinct count is bounded, a
-    bounded-memory selection for the others. ``exact_median=False`` uses
-    ``percentile_approx`` in the first pass instead.
+    One aggregation gives count/mean/min/max/std of all columns (NaN counts as
+    missing); exact medians come from ``quantiles``. ``exact_median=False``
+    uses ``percentile_approx`` in the first pass instead.
     """
     from .quantiles import exact_quantiles
 
     cols = (columns or numeric_columns(df))[:limit]
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(f"`{c}`").cast("double")
+        x = F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.approx_count_distinct(x, 0.05).alias(f"d{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.stddev_samp(x).alias(f"s{i}")]
         if not exact_median:
             aggs.append(F.percentile_approx(x, 0.5, 100000).cast("double").alias(f"m{i}"))
     one = df.agg(*aggs)
     if exact_median:
         first = one.first()
-        counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
-        distinct = {c: first[f"d{i}"] for i, c in enumerate(cols)}
-        med = exact_quantiles(df, cols, [0.5], counts=counts, distinct=distinct)
+        med = exact_quantiles(df, cols, [0.5])
         # the one-row result is already known: rebuild it without a rescan
         one = df.sparkSession.createDataFrame([first], schema=one.schema).select(
             "*", *[F.lit(med[(c, 0.5)]).cast("double").alias(f"m{i}") for i, c in enumerate(cols)])

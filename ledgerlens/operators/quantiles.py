@@ -1,152 +1,67 @@
-"""Exact quantiles with bounded memory (used by P7 median and A17 quartiles).
-
-Spark's exact ``percentile`` keeps every distinct value of a column in one
-map during the final merge, which does not survive a 100 TB column. Here the
-k-th smallest value is found by selection:
-
-1. one aggregation gives count/min/max per column;
-2. each round splits the current candidate range into ``buckets`` equal
-   widths and counts values per bucket for every column and every wanted
-   rank at once (a partial aggregate: at most columns x ranks x buckets rows
-   leave the tasks); the bucket holding the rank becomes the new range;
-3. when a candidate range holds at most ``max_collect`` values (or a single
-   distinct value) those values are fetched sorted and the rank is read.
-
-Rounds needed are about log_buckets(N / max_collect); every round is one
-scan. Quantiles use linear interpolation between the two neighbouring ranks
-(the pandas, Spark ``percentile`` and DuckDB ``quantile_cont`` rule).
+"""Exact quantiles of any number of columns (used by P7 median and A17 quartiles).
+
+One path for every size. Values are counted per (column, value) (partial
+aggregation, so a hot value is one row), range-partitioned by column and value
+and written once; the totals per partition and column (a few numbers each)
+tell in which partition a rank lies, and a running sum inside that partition
+finds its value. NaN counts as missing; infinities are ordinary values.
+Quantiles interpolate linearly between the two neighbouring ranks (the pandas,
+Spark ``percentile`` and DuckDB ``quantile_cont`` rule).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 12
-
-
-def _bucket(v, lo: float, width: float, buckets: int):
-    if width == 0:
-        return F.lit(0)
-    return F.least(F.floor((v - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(buckets - 1))
-
-
-def kth_smallest(df: DataFrame, wanted: dict[str, list[int]], buckets: int = 1024,
-                 max_collect: int = 20_000) -> dict[tuple[str, int], float]:
-    """Exact k-th smallest non-null value (0-based k) for every (column, k)."""
-    cols = list(wanted)
-    if not cols:
-        return {}
-    vals = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    one = vals.agg(*[x for i in range(len(cols)) for x in
-                     (F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"))]).first()
-    # state per item: list of (lo, width) rounds taken, rank remaining within range
-    items = {}
-    for i, c in enumerate(cols):
-        for k in sorted(set(wanted[c])):
-            items[(c, k)] = {"i": i, "path": [], "rank": k, "lo": one[f"lo{i}"], "hi": one[f"hi{i}"],
-                             "done": None}
-            if one[f"lo{i}"] is not None and one[f"lo{i}"] == one[f"hi{i}"]:
-                items[(c, k)]["done"] = float(one[f"lo{i}"])
+from ..session import cut_lineage
 
-    def member(it):
-        """Predicate: the value lies in every bucket chosen so far."""
-        v = F.col(f"c{it['i']}")
-        cond = v.isNotNull()
-        for lo, width, b in it["path"]:
-            cond = cond & (_bucket(v, lo, width, buckets) == b)
-        return cond
 
-    for _ in range(MAX_ROUNDS):
-        pending = [(key, it) for key, it in items.items() if it["done"] is None]
-        if not pending:
-            break
-        # items of one column on the same path share one entry per row
-        groups: dict[tuple, int] = {}
-        tagged = []
-        for key, it in pending:
-            gkey = (it["i"], tuple(it["path"]), it["lo"], it["hi"])
-            if gkey not in groups:
-                groups[gkey] = len(groups)
-                width = (it["hi"] - it["lo"]) / buckets
-                v = F.col(f"c{it['i']}")
-                tagged.append(F.when(member(it), F.struct(F.lit(groups[gkey]).alias("item"),
-                                                          _bucket(v, it["lo"], width, buckets).alias("b"),
-                                                          v.alias("v"))))
-            it["width"] = (it["hi"] - it["lo"]) / buckets
-            it["group"] = groups[gkey]
-        rows = vals.select(F.explode(F.filter(F.array(*tagged), lambda x: x.isNotNull())).alias("t"))
-        counts = (rows.groupBy("t.item", "t.b")
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("t.v").alias("mn"), F.max("t.v").alias("mx"))
-                  .collect())
-        by_item: dict[int, list] = {}
-        for r in counts:
-            by_item.setdefault(r["item"], []).append(r)
-        fetch = []
-        for key, it in pending:
-            seen = 0
-            for r in sorted(by_item.get(it["group"], []), key=lambda r: r["b"]):
-                if seen + r["n"] > it["rank"]:
-                    it["path"].append((it["lo"], it["width"], r["b"]))
-                    it["rank"] -= seen
-                    it["lo"], it["hi"] = r["mn"], r["mx"]
-                    it["count"] = r["n"]
-                    break
-                seen += r["n"]
-            if it["lo"] == it["hi"]:
-                it["done"] = float(it["lo"])
-            elif it["count"] <= max_collect:
-                fetch.append((key, it))
-        if fetch:
-            # one job fetches every small candidate range (each <= max_collect values)
-            picks = [F.when(member(it), F.struct(F.lit(n).alias("item"), F.col(f"c{it['i']}").alias("v")))
-                     for n, (key, it) in enumerate(fetch)]
-            got: dict[int, list] = {}
-            for r in vals.select(F.explode(F.filter(F.array(*picks), lambda x: x.isNotNull())).alias("t")) \
-                    .select("t.item", "t.v").collect():
-                got.setdefault(r["item"], []).append(r["v"])
-            for n, (key, it) in enumerate(fetch):
-                it["done"] = float(sorted(got[n])[it["rank"]])
-    return {key: it["done"] for key, it in items.items()}
-
-
-# Columns whose distinct count (HyperLogLog estimate, 5% error, 25% margin)
-# is below this use Spark's exact ``percentile``: its value->count map then
-# holds at most this many entries per column. Larger columns use selection.
-MAP_LIMIT = 1_000_000
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    counts: dict[str, int] | None = None, distinct: dict[str, int] | None = None,
-                    map_limit: int = MAP_LIMIT, **kw) -> dict[tuple[str, float], float | None]:
-    """Linear-interpolated quantiles per (column, prob); None for empty columns."""
-    if counts is None or distinct is None:
-        row = df.agg(*[x for i, c in enumerate(columns) for x in
-                       (F.count(F.col(f"`{c}`")).alias(f"n{i}"),
-                        F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}"))]).first()
-        counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-        distinct = {c: row[f"d{i}"] for i, c in enumerate(columns)}
-    small = [c for c in columns if counts[c] and distinct[c] * 1.25 <= map_limit]
-    large = [c for c in columns if counts[c] and c not in small]
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[tuple[str, float], float | None]:
+    """Quantiles per (column, prob); None for columns without values."""
     out: dict[tuple[str, float], float | None] = {(c, p): None for c in columns for p in probs}
-    if small:
-        row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), probs).alias(f"q{i}")
-                       for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            for j, p in enumerate(probs):
-                out[(c, p)] = row[f"q{i}"][j]
-    wanted, plan = {}, {}
-    for c in large:
-        n = counts[c]
-        for p in probs:
-            pos = p * (n - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            plan[(c, p)] = (lo, hi, pos - lo)
-            wanted.setdefault(c, []).extend([lo, hi])
-    kth = kth_smallest(df, wanted, **kw)
-    for (c, p), (lo, hi, frac) in plan.items():
-        a, b = kth[(c, lo)], kth[(c, hi)]
-        out[(c, p)] = a if lo == hi else a + (b - a) * frac
+    if not columns:
+        return out
+    cells = [F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)]
+    counted = (df.select(F.inline(F.array(*cells))).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+               .groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = cut_lineage(counted.repartitionByRange(parts, "c", "v").withColumn("part", F.spark_partition_id()), "quantiles")
+    # partitions x columns numbers
+    totals = ranged.groupBy("c", "part").agg(F.sum("n").alias("n")).orderBy("c", "part").collect()
+    wanted: dict[tuple[int, int], list[int]] = {}
+    plan = {}
+    for i, c in enumerate(columns):
+        own = [(r["part"], r["n"]) for r in totals if r["c"] == i]
+        size = sum(n for _, n in own)
+        for p in probs if size else ():
+            place = p * (size - 1)
+            plan[c, p] = (i, math.floor(place), math.ceil(place))
+            for rank in plan[c, p][1:]:
+                below = 0
+                for part, n in own:
+                    if rank < below + n:
+                        wanted.setdefault((i, part), []).append(rank - below)
+                        plan[i, rank] = (i, part, rank - below)
+                        break
+                    below += n
+    if not wanted:
+        return out
+    upto = F.sum("n").over(Window.partitionBy("c", "part").orderBy("v"))
+    spots = df.sparkSession.createDataFrame(
+        [(i, part, rank) for (i, part), ranks in wanted.items() for rank in sorted(set(ranks))], "c int, part int, rank long")
+    ends = (ranged.join(F.broadcast(spots.select("c", "part").distinct()), ["c", "part"], "left_semi")
+            .withColumn("upto", upto).join(F.broadcast(spots), ["c", "part"]).filter("rank < upto"))
+    value = {(r["c"], r["part"], r["rank"]): r["v"] for r in ends.groupBy("c", "part", "rank").agg(F.min("v").alias("v")).collect()}
+    for c, p in out:
+        if (c, p) in plan:
+            i, lo, hi = plan[c, p]
+            a, b = value[plan[i, lo]], value[plan[i, hi]]
+            out[c, p] = a if lo == hi or a == b else a + (b - a) * (p * _last(totals, i) - lo)
     return out
+
+
+def _last(totals, column: int) -> int:
+    return sum(r["n"] for r in totals if r["c"] == column) - 1

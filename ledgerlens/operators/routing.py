@@ -238,14 +238,17 @@ def clean_route_responses(responses: DataFrame, question_col: str = "question",
                           raw_col: str = "raw") -> DataFrame:
     """Stored model routing replies -> (intent, confidence, reasoning).
 
-    Valid JSON object: intent lower-cased and kept if pdf/csv/both, else the
-    keyword route; confidence default 0.8 clamped to [0,1]; reasoning default
-    ''. Anything unparseable: keyword route, 0.5, fallback reasoning.
+    Valid JSON object: intent lower-cased and kept if pdf/csv/both, else (null
+    too) the keyword route; confidence default 0.8 clamped to [0,1]; reasoning
+    default ''. Anything unparseable, also a confidence of null: keyword route,
+    0.5, fallback reasoning.
     """
     v = F.try_parse_json(strip_fences(F.col(raw_col)))
     is_obj = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
-    intent_raw = F.lower(F.coalesce(F.try_variant_get(v, "$.intent", "string"), F.lit("pdf")))
-    conf_present = F.try_variant_get(v, "$.confidence", "string").isNotNull()
+    given = {k: F.try_variant_get(v, f"$.{k}", "variant") for k in ("intent", "confidence")}
+    intent_raw = F.lower(F.coalesce(F.try_variant_get(v, "$.intent", "string"),
+                                    F.when(given["intent"].isNull(), F.lit("pdf")).otherwise(F.lit("none"))))
+    conf_present = given["confidence"].isNotNull()
     conf_num = F.try_variant_get(v, "$.confidence", "double")
     parse_ok = is_obj & (~conf_present | conf_num.isNotNull())
     kw = route(F.col(question_col))

@@ -188,7 +188,7 @@ def sql_match(claim: str, cols: list[str]) -> dict[str, str]:
     words = f"list_filter(regexp_split_to_array({norm}, '\\s+'), lambda t: t <> '')"
     scores = []
     for col in cols:
-        target = " ".join(CL._norm(col).split())
+        target = " ".join(CL.plain_name(col).split())
         k = max(1, len(target.split()))
         win = f"array_to_string({words}[s:s + {k - 1}], ' ')"
         scores.append(

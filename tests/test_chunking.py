@@ -60,12 +60,11 @@ def test_short_page_single_chunk(spark):
     assert len(_chunks(spark, ["Short text."])) == 1
 
 
-@pytest.mark.parametrize("small_limit", [None, 1_000_000])
-def test_matches_python_over_many_documents(spark, small_limit):
+def test_matches_python_over_many_documents(spark):
     rows = [(d, p, ("word%d " % d) * (d * 37 % 400) if (d + p) % 7 else "")
             for d in range(30) for p in range(1, 4)]
     pages = spark.createDataFrame(rows, "doc_id long, page_number int, text string").repartition(5)
-    got = C.chunk_pages(pages, 120, 30, small_limit=small_limit).orderBy("chunk_id").collect()
+    got = C.chunk_pages(pages, 120, 30).orderBy("chunk_id").collect()
     want = python_chunks(sorted(rows), 120, 30)
     assert [(r["doc_id"], r["page_number"], r["text"]) for r in got] == want
     assert [r["chunk_id"] for r in got] == list(range(len(want)))
@@ -85,7 +84,4 @@ def test_corpus_counts(spark):
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_row_index_independent_of_partitions(spark, parts):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k")).repartition(parts)
-    for limit in (None, 10_000_000):  # distributed path and small path
-        got = with_row_index(df, ["k"], "i", num_partitions=parts, small_limit=limit) \
-            .filter(F.col("i") != F.col("k")).count()
-        assert got == 0
+    assert with_row_index(df, ["k"], "i", num_partitions=parts).filter(F.col("i") != F.col("k")).count() == 0
