@@ -1,16 +1,19 @@
 """Exact nearest neighbours by squared L2 distance.
 
-A flat exact scan, distributed: the question vectors (a size-checked side,
-split into batches above the bound) travel to every task; each task turns its
-Arrow batch of corpus vectors into a matrix, computes all its distances with
-one matrix product and keeps only the k nearest per question (plus ties at
-the k-th distance). Only those candidates are shuffled; the final rank is a
-WindowGroupLimit over at most k x tasks rows per question. No pairs table is
-ever materialised.
+A flat exact scan in tiles. The corpus is packed into blocks of rows where it
+lies, the questions into blocks by hash of their id; every corpus block meets
+every question block by an equi-join on the question block's number (Spark
+broadcasts the questions while they are small, and shuffles blocks otherwise).
+One task step holds one tile: it finds the k nearest by one matrix product
+within its rounding error, computes those distances exactly, and returns
+exactly k rows a question, ties to the smaller id. The final rank is a
+WindowGroupLimit over them. Nothing passes through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .lexical import top_k
 
-# Question vectors shipped to each task per pass (rows x dim x 8 bytes).
-MAX_QUESTION_BYTES = 64 * 1024 * 1024
+# Rows of a corpus block and, about, of a question block.
+CORPUS_BLOCK = 4096
+QUESTION_BLOCK = 1024
 DIGITS = 6
 
 #: Vectors that are null or hold null or NaN are nobody's neighbour.
@@ -28,24 +32,44 @@ _usable = "vector IS NOT NULL AND forall(vector, x -> x IS NOT NULL AND NOT isna
 _OUT = "question_id long, chunk_id long, dense_distance double"
 
 
-def _nearest(questions: np.ndarray, qids: np.ndarray, k: int):
-    qn = (questions * questions).sum(axis=1)
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of at most CORPUS_BLOCK vectors of one length: ids and components as bytes."""
+    for pdf in batches:
+        for dim, same in pdf.groupby(pdf["vector"].str.len()):
+            for a in range(0, len(same), CORPUS_BLOCK):
+                part = same.iloc[a:a + CORPUS_BLOCK]
+                yield pd.DataFrame({"dim": [dim], "ids": [part["id"].to_numpy(np.int64).tobytes()],
+                                    "data": [np.stack(part["vector"].to_numpy()).astype(np.float64).tobytes()]})
+
+
+def _tile(corpus: np.ndarray, ids: np.ndarray, questions: np.ndarray, qids: np.ndarray, k: int) -> pd.DataFrame:
+    cn, qn = (corpus * corpus).sum(axis=1), (questions * questions).sum(axis=1)
+    d = cn[:, None] + qn[None, :] - 2.0 * (corpus @ questions.T)
+    # what rounding may take from or add to the product form
+    slack = (cn.max() + qn) * 1e-12 * corpus.shape[1] + 10.0 ** -DIGITS
+    kk = min(k, len(ids))
+    kth = np.partition(d, kk - 1, axis=0)[kk - 1]
+    rows, cols = np.nonzero(d <= (kth + 2 * slack)[None, :])
+    exact = np.empty(len(rows))
+    for a in range(0, len(rows), 1 << 16):
+        gap = corpus[rows[a:a + (1 << 16)]] - questions[cols[a:a + (1 << 16)]]
+        exact[a:a + (1 << 16)] = (gap * gap).sum(axis=1)
+    exact = np.round(exact, DIGITS) + 0.0
+    order = np.lexsort((ids[rows], exact, cols))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    place = np.arange(len(cols)) - np.searchsorted(cols, cols)
+    keep = place < kk
+    return pd.DataFrame({"question_id": qids[cols[keep]], "chunk_id": ids[rows[keep]], "dense_distance": exact[keep]})
+
 
-    def run(batches):
+def _tiles(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            corpus = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            ids = pdf["chunk_id"].to_numpy()
-            cn = (corpus * corpus).sum(axis=1)
-            d = cn[:, None] + qn[None, :] - 2.0 * (corpus @ questions.T)
-            d = np.round(np.maximum(d, 0.0), DIGITS) + 0.0
-            kk = min(k, d.shape[0])
-            # k-th smallest per question; keep everything up to it (ties included)
-            kth = np.partition(d, kk - 1, axis=0)[kk - 1]
-            rows, cols = np.nonzero(d <= kth[None, :])
-            yield pd.DataFrame({"question_id": qids[cols], "chunk_id": ids[rows],
-                                "dense_distance": d[rows, cols]})
+            for r in pdf.itertuples():
+                corpus = np.frombuffer(r.data).reshape(-1, r.dim)
+                questions = np.array([q["vector"] for q in r.asked], dtype=np.float64)
+                qids = np.array([q["id"] for q in r.asked], dtype=np.int64)
+                yield _tile(corpus, np.frombuffer(r.ids, np.int64), questions, qids, k)
 
     return run
 
@@ -54,26 +78,16 @@ def nearest(corpus: DataFrame, questions: DataFrame, k: int = 4,
             corpus_id: str = "chunk_id", corpus_vec: str = "vector",
             question_id: str = "question_id", question_vec: str = "vector") -> DataFrame:
     """J2 + T1: (question_id, chunk_id, dense_distance, dense_rank) for the k
-    nearest corpus vectors of every question; rank ties broken by chunk_id."""
-    c = corpus.select(F.col(corpus_id).cast("long").alias("chunk_id"),
-                      F.col(corpus_vec).alias("vector")).filter(_usable)
-    q = questions.select(F.col(question_id).cast("long").alias("question_id"),
-                         F.col(question_vec).alias("vector")).filter(_usable)
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    n_q, dim = stats["n"], stats["dim"] or 0
-    if n_q == 0:
-        return corpus.sparkSession.createDataFrame([], _OUT + ", dense_rank int")
-    per_pass = max(1, MAX_QUESTION_BYTES // max(1, dim * 8))
-    n_pass = -(-n_q // per_pass)
-    parts = []
-    for p in range(n_pass):
-        # each pass ships a bounded slice of questions (hash slices, no ordering)
-        sl = q if n_pass == 1 else q.filter(F.pmod(F.hash("question_id"), F.lit(n_pass)) == p)
-        rows = sl.collect()
-        mat = np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows]).reshape(len(rows), dim)
-        qids = np.array([r["question_id"] for r in rows], dtype=np.int64)
-        parts.append(c.mapInPandas(_nearest(mat, qids, k), _OUT))
-    cand = parts[0]
-    for more in parts[1:]:
-        cand = cand.unionByName(more)
-    return top_k(cand, k, "dense_distance", "dense_rank", ascending=True, digits=DIGITS)
+    nearest corpus vectors of every question; rank ties broken by chunk_id.
+    Vectors of another length than the question's are not compared with it."""
+    c = corpus.select(F.col(corpus_id).cast("long").alias("id"),
+                      F.col(corpus_vec).cast("array<double>").alias("vector")).filter(_usable)
+    q = questions.select(F.col(question_id).cast("long").alias("id"),
+                         F.col(question_vec).cast("array<double>").alias("vector")).filter(_usable)
+    blocks = -(-q.count() // QUESTION_BLOCK) or 1
+    asked = (q.groupBy(F.size("vector").cast("long").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+             .agg(F.collect_list(F.struct("id", "vector")).alias("asked")))
+    tiles = (c.mapInPandas(_pack, "dim long, ids binary, data binary")
+             .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+             .join(asked, ["dim", "block"]))
+    return top_k(tiles.mapInPandas(_tiles(k), _OUT), k, "dense_distance", "dense_rank", ascending=True, digits=DIGITS)

@@ -1,11 +1,12 @@
 """Lexical (BM25 Okapi) retrieval as tables and joins.
 
-Index = postings(chunk_id, dl, term, tf) clustered by chunk and a term table
-(term, df, idf), both built once and materialised, plus the corpus scalars
-(N, avgdl, mean idf) as plain values. A search broadcasts the question terms (a bounded,
-size-checked side) into the postings scan, so postings are never shuffled;
-only matched (question, chunk) partial scores are, and the top-k cut runs as
-a WindowGroupLimit before the final exchange.
+Index = postings(chunk_id, dl, term, tf), written bucketed by chunk, and a term
+table (term, df, idf), plus the corpus scalars (N, avgdl, mean idf) as plain
+values. Terms are counted inside the chunk's row, without a shuffle. A search
+joins the question terms to the postings (broadcast while they are small, else
+Spark chooses); as all postings of a chunk are in one bucket, the score of a
+(question, chunk) is summed in its task, and only k rows a question and task
+go to the final ranking.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, write_bucketed
 
 # BM25 Okapi parameters (defaults of the public BM25 package the
 # reference calls without arguments).
@@ -24,13 +25,15 @@ K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-# Question-side broadcast bound: question-term rows.
-MAX_BROADCAST_QUESTION_TERMS = 2_000_000
+# Question-side broadcast bound: bytes of the (question, term) rows.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# A bucket of the index holds about so many tokens.
+BUCKET_TOKENS = 50_000_000
 
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # chunk_id, dl, term, tf   (materialised, clustered by chunk)
+    postings: DataFrame  # chunk_id, dl, term, tf   (materialised, bucketed by chunk)
     raw_terms: DataFrame  # term, df, raw_idf       (materialised)
     n_docs: int
     total_tokens: int
@@ -53,37 +56,48 @@ class LexicalIndex:
             "n_docs long, total_tokens long, avgdl double, vocabulary long, avg_idf double")
 
 
+def _held(value: F.Column, use) -> F.Column:
+    """``use(value)`` with ``value`` computed once: a lambda's variable is not computed again at each mention."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _counted(t: F.Column) -> F.Column:
+    """[(term, tf)] of a token array: the runs of equal tokens in it, sorted."""
+    def runs(s):
+        ends = F.filter(F.sequence(F.lit(1), F.size(s)),
+                        lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+        return _held(ends, lambda e: F.transform(e, lambda x, j: F.struct(
+            F.get(s, x - 1).alias("term"),
+            (x - F.when(j > 0, F.get(e, j - 1)).otherwise(0)).cast("long").alias("tf"))))
+    return _held(F.sort_array(t), lambda s: F.when(F.size(s) > 0, runs(s)))
+
+
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
-                epsilon: float = EPSILON, num_partitions: int | None = None) -> LexicalIndex:
-    """Build the index once: one tokenising pass, term counts per chunk, and
-    the postings written clustered by ``chunk_id`` (so a search sums a chunk's
-    terms inside one task and only per-task top-k candidates are shuffled).
-
-    ``posexplode_outer`` keeps token-less chunks (term null) and marks each
-    chunk's first row, so N and the token total come from the postings
-    without another pass over the text. The term table (df, raw idf) is
-    small and written once; the epsilon floor is applied when it is read.
+                epsilon: float = EPSILON, num_buckets: int | None = None) -> LexicalIndex:
+    """Build the index once: one pass over the text writes each chunk's distinct
+    terms with their counts in one row; from there come N, the token total, the
+    terms' document counts and the postings bucketed by ``chunk_id``. There are
+    ``num_buckets`` of them, or as many as the token total asks for.
+
+    A null or empty chunk counts in N and has no postings.
     """
-    n = num_partitions or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    toks = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("_t"))
-    postings = cut_lineage(
-        toks.select("chunk_id", F.size("_t").alias("dl"), F.posexplode_outer("_t").alias("_pos", "term"))
-        .repartition(n, "chunk_id")
-        .groupBy("chunk_id", "dl", "term")
-        .agg(F.count("_pos").alias("tf"), F.min(F.coalesce("_pos", F.lit(0))).alias("_first")),
-        "postings")
-    one = postings.agg(F.count_if(F.col("_first") == 0).alias("n"),
-                       F.coalesce(F.sum(F.when(F.col("_first") == 0, F.col("dl"))), F.lit(0)).alias("t")).first()
+    spark = chunks.sparkSession
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), _counted(tokens(F.col(text_col))).alias("terms"))
+    rows = cut_lineage(rows.withColumn("dl", F.coalesce(F.aggregate(
+        "terms", F.lit(0).cast("long"), lambda a, x: a + x["tf"]), F.lit(0))), "index-rows")
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
     n_docs, total = int(one["n"]), int(one["t"])
+    buckets = num_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // BUCKET_TOKENS))
+    postings = write_bucketed(
+        rows.repartition(buckets, "chunk_id").select("chunk_id", "dl", F.inline("terms")), "chunk_id", buckets, "postings")
     raw = cut_lineage(
-        postings.filter(F.col("term").isNotNull()).groupBy("term")
+        rows.select(F.explode("terms.term").alias("term")).groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("raw_idf", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)),
         "terms")
     two = raw.agg(F.count(F.lit(1)).alias("v"), F.avg("raw_idf").alias("a")).first()
     avgdl = total / n_docs if n_docs else 0.0
-    return LexicalIndex(postings.filter(F.col("term").isNotNull()).drop("_first"), raw, n_docs, total,
-                        avgdl, int(two["v"]), float(two["a"] or 0.0), epsilon)
+    return LexicalIndex(postings, raw, n_docs, total, avgdl, int(two["v"]), float(two["a"] or 0.0), epsilon)
 
 
 def question_terms(questions: DataFrame, id_col: str = "question_id",
@@ -98,11 +112,9 @@ def score(index: LexicalIndex, questions: DataFrame, id_col: str = "question_id"
           text_col: str = "question", k1: float = K1, b: float = B) -> DataFrame:
     """M2 + J3: BM25 score of every chunk sharing a term with a question."""
     qt = question_terms(questions, id_col, text_col)
-    n_qt = qt.count()
-    if n_qt > MAX_BROADCAST_QUESTION_TERMS:
-        raise ValueError(f"{n_qt} question terms exceed the broadcast bound; "
-                         "score the questions in batches")
-    qt = F.broadcast(qt.join(index.terms.select("term", "idf"), "term"))
+    weighted = qt.join(index.terms.select("term", "idf"), "term")
+    held = qt.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    qt = F.broadcast(weighted) if held <= MAX_BROADCAST_BYTES else weighted
     hits = index.postings.join(qt, "term")
     part = (F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
             / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl or 1.0))))

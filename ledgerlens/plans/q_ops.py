@@ -243,9 +243,8 @@ def q_route_accuracy(spark, sf):
 HIT_SQL = f"""
   WITH {bm25_sql(f'SELECT chunk_id, text FROM ({CHUNKS_SQL})',
                  'SELECT item_id AS question_id, text AS question FROM benchmark', 4)},
-  ch AS ({CHUNKS_SQL}),
-  joined AS (SELECT question_id, lower(string_agg(ch.text, ' ' ORDER BY lexical_rank)) AS al
-             FROM lex JOIN ch USING (chunk_id) GROUP BY question_id),
+  joined AS (SELECT question_id, lower(string_agg(corp.text, ' ' ORDER BY lexical_rank)) AS al
+             FROM lex JOIN corp USING (chunk_id) GROUP BY question_id),
   ex AS (SELECT question_id, list_filter({TOKENS_SQL.format(x='question')}, lambda t: length(t) >= 8) AS kws FROM qs),
   per AS (SELECT ex.question_id, coalesce(len(list_filter(kws, lambda k: contains(coalesce(al, ''), lower(k)))) > 0,
                                           false) AS hit
@@ -451,7 +450,7 @@ TRUNC_MARKER = "\n... (truncated)"
 
 @query("truncated_context", f"""
 {hybrid_sql(4)},
-cx AS (SELECT question_id, string_agg('[Page 1]' || chr(10) || corp.text, chr(10) || chr(10) ORDER BY rank) AS context
+cx AS (SELECT question_id, string_agg('[Page ' || corp.page_number || ']' || chr(10) || corp.text, chr(10) || chr(10) ORDER BY rank) AS context
        FROM hy JOIN corp USING (chunk_id) GROUP BY question_id)
 SELECT question_id, CASE WHEN length(context) > 1500 THEN substr(context, 1, 1500) || {_sq(TRUNC_MARKER)}
                          ELSE context END AS context FROM cx
@@ -459,8 +458,7 @@ SELECT question_id, CASE WHEN length(context) > 1500 THEN substr(context, 1, 150
 def q_truncated_context(spark, sf):
     corpus = hybrid_corpus(spark, sf)
     hits = fusion.hybrid(corpus, hybrid_questions(spark, sf), 4)
-    chunks = corpus.select("chunk_id", F.col("chunk_id").alias("doc_id"), F.lit(1).alias("page_number"), "text")
-    cx = fusion.context_blocks(fusion.with_chunks(hits, chunks))
+    cx = fusion.context_blocks(fusion.with_chunks(hits, corpus))
     return cx.select("question_id", F.when(F.length("context") > 1500, F.concat(
         F.substring("context", 1, 1500), F.lit(TRUNC_MARKER))).otherwise(F.col("context")).alias("context"))
 

@@ -1,11 +1,13 @@
 """Registered queries: pages, chunks, tokens, sentences and retrieval.
 
 Corpora (all rows of the given tables):
-* pages = every ``documents`` row as page 1 of itself; chunks 800/150.
+* pages = every ``documents`` row cut into pages of 2,000 characters; chunks 800/150.
 * lexical search: every ``benchmark`` item as a question over every chunk.
 * dense search: every ``embeddings`` vector as a question over all vectors.
-* hybrid: documents that have a vector (``doc_id = vec_id``) form the corpus;
-  benchmark items with a vector (``item_id = vec_id``) are the questions.
+* hybrid: every chunk of every document is searched by words; a document's
+  vector (``doc_id = vec_id``), if it has one, stands at its first chunk and is
+  searched too. Every benchmark item is a question, with its vector
+  (``item_id = vec_id``) if there is one.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import dense, fusion, lexical
 from ..sources.pages import assemble_documents, pages_from_documents
+from ..session import cut_lineage
 from ..sources.tables import Tables
 from .registry import query
 
 SIZE, OVERLAP = 800, 150
 STEP = SIZE - OVERLAP
+PAGE_CHARS = 2000
 
 
 def doc_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return pages_from_documents(Tables(spark, sf).documents)
+    return pages_from_documents(Tables(spark, sf).documents, page_chars=PAGE_CHARS)
 
 
 def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,21 +37,27 @@ def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    t = Tables(spark, sf)
-    return t.documents.select(F.col("doc_id").alias("chunk_id"), "text") \
-        .join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")),
-              "chunk_id")
+    """(doc_id, page_number, chunk_id, text, vector), written once: both searches
+    and the look-up of the hits read it."""
+    vectors = Tables(spark, sf).embeddings.select(F.col("vec_id").alias("doc_id"),
+                                                  F.lit(0).cast("long").alias("chunk_index"),
+                                                  F.col("embedding").alias("vector"))
+    chunks = doc_chunks(spark, sf).join(vectors, ["doc_id", "chunk_index"], "left")
+    return cut_lineage(chunks.select("doc_id", "page_number", "chunk_id", "text", "vector"), "hybrid-corpus")
 
 
 def hybrid_questions(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
     return t.benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question")) \
         .join(t.embeddings.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")),
-              "question_id")
+              "question_id", "left")
 
 
 # ---------------------------------------------------------------- SQL pieces
-PAGES_SQL = "SELECT doc_id, 1 AS page_number, text FROM documents"
+PAGES_SQL = f"""SELECT doc_id, CAST(p AS INTEGER) AS page_number,
+    substr(text, (p - 1) * {PAGE_CHARS} + 1, {PAGE_CHARS}) AS text
+  FROM (SELECT doc_id, text, unnest(generate_series(1,
+          greatest(1, coalesce(CAST(ceil(length(text) / {PAGE_CHARS}) AS BIGINT), 1)))) AS p FROM documents)"""
 TOKENS_SQL = "list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda t: t <> '')"
 CHUNKS_SQL = f"""
   WITH p AS ({PAGES_SQL}),
@@ -66,9 +76,9 @@ CHUNKS_SQL = f"""
 def bm25_sql(corpus: str, questions: str, k: int) -> str:
     """SQL BM25 top-k: ``corpus`` has (chunk_id, text), ``questions`` (question_id, question)."""
     return f"""
-  corp AS ({corpus}),
-  tok AS (SELECT chunk_id, {TOKENS_SQL.format(x='text')} AS t FROM corp),
-  post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM tok) GROUP BY ALL),
+  corp AS MATERIALIZED ({corpus}),
+  tok AS MATERIALIZED (SELECT chunk_id, {TOKENS_SQL.format(x='text')} AS t FROM corp),
+  post AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS term FROM tok) GROUP BY ALL),
   dl AS (SELECT chunk_id, len(t) AS dl FROM tok),
   st AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM tok),
   dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -97,15 +107,17 @@ def dense_sql(corpus: str, questions: str, k: int) -> str:
           FROM dd QUALIFY dense_rank <= {k})"""
 
 
-HYB_CORPUS = "SELECT doc_id AS chunk_id, text, embedding AS vector FROM documents JOIN embeddings ON doc_id = vec_id"
+HYB_CORPUS = f"""SELECT doc_id, page_number, chunk_id, text, embedding AS vector
+  FROM ({CHUNKS_SQL}) LEFT JOIN embeddings ON doc_id = vec_id AND chunk_index = 0"""
 HYB_QUESTIONS = ("SELECT item_id AS question_id, text AS question, embedding AS vector "
-                 "FROM benchmark JOIN embeddings ON item_id = vec_id")
+                 "FROM benchmark LEFT JOIN embeddings ON item_id = vec_id")
 
 
 def hybrid_sql(k: int) -> str:
     return f"""
   WITH {bm25_sql(HYB_CORPUS, HYB_QUESTIONS, 3 * k)},
-  {dense_sql('SELECT chunk_id, vector FROM corp', 'SELECT question_id, vector FROM qs', 3 * k)},
+  {dense_sql('SELECT chunk_id, vector FROM corp WHERE vector IS NOT NULL',
+             'SELECT question_id, vector FROM qs WHERE vector IS NOT NULL', 3 * k)},
   fu AS (SELECT coalesce(den.question_id, lex.question_id) AS question_id,
                 coalesce(den.chunk_id, lex.chunk_id) AS chunk_id,
                 dense_distance, dense_rank, lexical_score, lexical_rank,
@@ -187,8 +199,10 @@ def q_corpus_counts(spark, sf):
 
 # ---------------------------------------------------------------- retrieval
 @query("lexical_stats", f"""
-WITH {bm25_sql(f'SELECT chunk_id, text FROM ({CHUNKS_SQL})', 'SELECT 0 AS question_id, NULL AS question', 1)}
-SELECT raw.term, raw.df, round(idf.idf, 6) AS idf FROM raw JOIN idf USING (term)
+WITH tok AS MATERIALIZED (SELECT {TOKENS_SQL.format(x='text')} AS t FROM ({CHUNKS_SQL})),
+  dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY term),
+  raw AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM tok) - df + 0.5) - ln(df + 0.5) AS r FROM dfs)
+SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END, 6) AS idf FROM raw
 """)
 def q_lexical_stats(spark, sf):
     idx = lexical.build_index(doc_chunks(spark, sf))
@@ -235,30 +249,28 @@ def q_hybrid_topk(spark, sf):
 
 @query("evidence_pages", f"""
 {hybrid_sql(3)},
-ht AS (SELECT hy.*, corp.text, 1 AS page_number FROM hy JOIN corp USING (chunk_id))
-SELECT question_id, chunk_id AS doc_id, page_number, list(text ORDER BY rank) AS texts,
+ht AS (SELECT hy.*, corp.text, corp.doc_id, corp.page_number FROM hy JOIN corp USING (chunk_id))
+SELECT question_id, doc_id, page_number, list(text ORDER BY rank) AS texts,
   min(dense_distance) AS best_distance,
   CASE WHEN min(dense_distance) IS NULL THEN 'unscored'
        WHEN 1.0 / (1.0 + min(dense_distance)) >= 0.45 THEN 'high relevance'
        WHEN 1.0 / (1.0 + min(dense_distance)) >= 0.30 THEN 'medium relevance'
        ELSE 'low relevance' END AS label,
   count(*) AS n_chunks
-FROM ht GROUP BY question_id, chunk_id, page_number
+FROM ht GROUP BY question_id, doc_id, page_number
 """)
 def q_evidence_pages(spark, sf):
     corpus = hybrid_corpus(spark, sf)
     hits = fusion.hybrid(corpus, hybrid_questions(spark, sf), 3)
-    chunks = corpus.select("chunk_id", F.col("chunk_id").alias("doc_id"), F.lit(1).alias("page_number"), "text")
-    return fusion.evidence_pages(fusion.with_chunks(hits, chunks))
+    return fusion.evidence_pages(fusion.with_chunks(hits, corpus))
 
 
 @query("context_blocks", f"""
 {hybrid_sql(4)}
-SELECT question_id, string_agg('[Page 1]' || chr(10) || corp.text, chr(10) || chr(10) ORDER BY rank) AS context
+SELECT question_id, string_agg('[Page ' || corp.page_number || ']' || chr(10) || corp.text, chr(10) || chr(10) ORDER BY rank) AS context
 FROM hy JOIN corp USING (chunk_id) GROUP BY question_id
 """)
 def q_context_blocks(spark, sf):
     corpus = hybrid_corpus(spark, sf)
     hits = fusion.hybrid(corpus, hybrid_questions(spark, sf), 4)
-    chunks = corpus.select("chunk_id", F.col("chunk_id").alias("doc_id"), F.lit(1).alias("page_number"), "text")
-    return fusion.context_blocks(fusion.with_chunks(hits, chunks))
+    return fusion.context_blocks(fusion.with_chunks(hits, corpus))

@@ -65,3 +65,14 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def write_bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder as a table bucketed by
+    ``key``: sums by the key, or by it and more columns, need no exchange. The
+    table is external, and known to this session's catalog only by its name."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = os.path.join(ensure_checkpoint_dir(spark), table)
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)

@@ -1,8 +1,8 @@
 """Page source (S2) and document assembly (S3).
 
 A page table is ``(doc_id, page_number int 1-based, text)``. PDF byte decoding
-is not built; any table of page texts is a page source, and a table of whole
-documents is a page source with one page per document.
+is not built; any table of page texts is a page source, and whole documents
+are cut into pages of a given number of characters.
 """
 
 from __future__ import annotations
@@ -11,10 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pages_from_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document becomes page 1 of itself."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.lit(1).alias("page_number"),
-                       F.col(text_col).alias("text"))
+def pages_from_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         page_chars: int | None = None) -> DataFrame:
+    """(doc_id, page_number, text), each page ``page_chars`` characters of its
+    document (without it the whole text). A null or empty text is one such page."""
+    text = F.col(text_col)
+    if page_chars is None:
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(1).alias("page_number"), text.alias("text"))
+    last = F.greatest(F.lit(0), F.ceil(F.length(text) / F.lit(page_chars)).cast("int") - 1)
+    cut = F.transform(F.sequence(F.lit(0), last),
+                      lambda p: F.substring(text, p * page_chars + 1, page_chars))
+    return (docs.select(F.col(id_col).alias("doc_id"), F.posexplode(cut).alias("_p", "text"))
+            .select("doc_id", (F.col("_p") + 1).alias("page_number"), "text"))
 
 
 def assemble_documents(pages: DataFrame) -> DataFrame:
@@ -30,12 +38,3 @@ def assemble_documents(pages: DataFrame) -> DataFrame:
                     F.array_join(F.transform("_p", lambda p: F.concat(
                         F.lit("\n\n--- Page "), p["page_number"].cast("string"), F.lit(" ---\n"),
                         F.coalesce(p["text"], F.lit("")))), "").alias("full_text")))
-
-
-def assembled_length(pages: DataFrame) -> DataFrame:
-    """Characters of each assembled document, computed per page (no assembly):
-    marker length is 16 + digits of the page number."""
-    return (pages.groupBy("doc_id")
-            .agg(F.count(F.lit(1)).alias("pages"),
-                 F.sum(F.lit(16) + F.length(F.col("page_number").cast("string"))
-                       + F.coalesce(F.length("text"), F.lit(0))).alias("characters")))

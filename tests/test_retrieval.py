@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.pages import pages_from_documents
 from ledgerlens.operators import dense, fusion, lexical
 
 TEXTS = ["Revenue grew by 20% this year. Total ARR reached 1 million.",
@@ -82,3 +83,24 @@ def test_relevance_labels(spark):
     df = spark.createDataFrame([(0.5,), (1.5,), (3.0,), (None,)], "d double")
     got = [r[0] for r in df.select(fusion.relevance_label(F.col("d"))).collect()]
     assert got == ["high relevance", "medium relevance", "low relevance", "unscored"]
+
+
+def test_pages_cut_from_documents(spark):
+    docs = spark.createDataFrame([(1, "abcdefg"), (2, None), (3, "")], "doc_id long, text string")
+    got = [tuple(r) for r in pages_from_documents(docs, page_chars=3).orderBy("doc_id", "page_number").collect()]
+    assert got == [(1, 1, "abc"), (1, 2, "def"), (1, 3, "g"), (2, 1, None), (3, 1, "")]
+
+
+def test_dense_equal_vectors_give_k_rows_by_id(spark):
+    corpus = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)] + [(99, [1.0])], "chunk_id long, vector array<double>")
+    qs = spark.createDataFrame([(7, [1.0, 2.0])], "question_id long, vector array<double>")
+    got = dense.nearest(corpus.repartition(5), qs, 3).orderBy("dense_rank").collect()
+    assert [(r["chunk_id"], r["dense_distance"]) for r in got] == [(0, 0.0), (1, 0.0), (2, 0.0)]
+
+
+def test_search_shuffles_no_pairs(spark):
+    chunks = spark.createDataFrame(list(enumerate(TEXTS)), "chunk_id long, text string")
+    qs = spark.createDataFrame([(1, "revenue")], "question_id long, question string")
+    plan = lexical.lexical_topk(lexical.build_index(chunks), qs, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(question_id" in plan
+    assert "hashpartitioning(question_id#" not in "".join(x for x in plan.splitlines() if "chunk_id" in x and "Exchange" in x)
