@@ -12,6 +12,7 @@ go to the final ranking.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,15 +34,22 @@ BUCKET_TOKENS = 50_000_000
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # chunk_id, dl, term, tf   (materialised, bucketed by chunk)
+    rows: DataFrame  # chunk_id, dl, terms [(term, tf)]   (materialised)
     raw_terms: DataFrame  # term, df, raw_idf       (materialised)
     n_docs: int
     total_tokens: int
     avgdl: float
     vocabulary: int
     avg_idf: float
+    buckets: int
     epsilon: float = EPSILON
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        """(chunk_id, dl, term, tf), bucketed by chunk; written at the first search."""
+        kept = write_bucketed(self.rows.repartition(self.buckets, "chunk_id"), "chunk_id", self.buckets, "postings")
+        return kept.select("chunk_id", "dl", F.inline("terms"))
+
     @property
     def terms(self) -> DataFrame:
         """(term, df, idf): negative idf replaced by epsilon x mean idf."""
@@ -50,7 +58,7 @@ class LexicalIndex:
 
     @property
     def stats(self) -> DataFrame:
-        spark = self.postings.sparkSession
+        spark = self.rows.sparkSession
         return spark.createDataFrame(
             [(self.n_docs, self.total_tokens, self.avgdl, self.vocabulary, self.avg_idf)],
             "n_docs long, total_tokens long, avgdl double, vocabulary long, avg_idf double")
@@ -88,8 +96,6 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     one = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
     n_docs, total = int(one["n"]), int(one["t"])
     buckets = num_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // BUCKET_TOKENS))
-    postings = write_bucketed(
-        rows.repartition(buckets, "chunk_id").select("chunk_id", "dl", F.inline("terms")), "chunk_id", buckets, "postings")
     raw = cut_lineage(
         rows.select(F.explode("terms.term").alias("term")).groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
@@ -97,7 +103,7 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
         "terms")
     two = raw.agg(F.count(F.lit(1)).alias("v"), F.avg("raw_idf").alias("a")).first()
     avgdl = total / n_docs if n_docs else 0.0
-    return LexicalIndex(postings, raw, n_docs, total, avgdl, int(two["v"]), float(two["a"] or 0.0), epsilon)
+    return LexicalIndex(rows, raw, n_docs, total, avgdl, int(two["v"]), float(two["a"] or 0.0), buckets, epsilon)
 
 
 def question_terms(questions: DataFrame, id_col: str = "question_id",
