@@ -13,47 +13,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims as CL
+from ..operators import dense
 from ..operators import evaluation as E
 from ..operators import routing as R
+from ..operators.ordering import with_row_index
 from ..sources.cases import read_cases
 from ..sources.sinks import write_results
 
+RETRIEVED = 4  # chunks a retrieval case gets
+
 
 def verify_cases(claim_cases: DataFrame, claim_values: DataFrame) -> DataFrame:
-    """(id, verdict, csv_metric, actual_percent) for every claim case."""
-    signature = (claim_values.groupBy("case_id")
-                 .agg(F.array_join(F.array_sort(F.collect_set("metric")), "\u0001").alias("_schema")))
-    # distinct column sets are few (bounded by the schemas in the file)
-    schemas = [r[0] for r in signature.select("_schema").distinct().collect()]
-    parts = []
-    for sch in schemas:  # one verification job per distinct column set
-        cols = sch.split("\u0001")
-        members = signature.filter(F.col("_schema") == sch).select("case_id")
+    """(id, verdict, csv_metric, actual_percent) for every claim case that has a table."""
+    schema_of = claim_values.groupBy("case_id").agg(F.array_sort(F.collect_set("metric")).alias("_schema"))
+    # distinct column sets are metadata: as many as the file has kinds of tables
+    schemas = [r["_schema"] for r in schema_of.select("_schema").distinct().collect()]
+    out = claim_cases.sparkSession.createDataFrame([], "id string, verdict string, csv_metric string, actual_percent double")
+    for cols in schemas:  # one verification job per distinct column set
+        members = schema_of.filter(F.col("_schema") == F.array(*[F.lit(c) for c in cols])).select("case_id")
         wide = (claim_values.join(members, "case_id", "left_semi")
                 .groupBy("case_id", F.col("row_id").alias("_row_id")).pivot("metric", cols)
                 .agg(F.first("value")))
         cl = (claim_cases.select(F.col("id").alias("case_id"), F.lit(1).cast("long").alias("claim_id"), "claim")
               .join(members, "case_id", "left_semi"))
         v = CL.verify(cl, wide, "_row_id", key="case_id")
-        parts.append(v.select(F.col("case_id").alias("id"), "verdict", "csv_metric", "actual_percent"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(v.select(F.col("case_id").alias("id"), "verdict", "csv_metric", "actual_percent"))
     return out
 
 
-def evaluate(spark: SparkSession, cases_path: str, out_path: str | None = None) -> DataFrame:
+def retrieve_cases(cases: DataFrame, corpus: DataFrame, vectors: DataFrame, k: int = RETRIEVED) -> DataFrame:
+    """(question_id, rank, text): the ``k`` nearest chunks of every retrieval case.
+    ``corpus``: (chunk_id, text, vector); ``vectors``: (id, vector) of the questions."""
+    numbered = with_row_index(cases.select("id").distinct(), ["id"], "question_id")  # the search takes long ids
+    hits = dense.nearest(corpus.select("chunk_id", "vector"), numbered.join(vectors, "id").select("question_id", "vector"), k)
+    return hits.join(corpus.select("chunk_id", "text"), "chunk_id").join(numbered, "question_id").select(
+        F.col("id").alias("question_id"), F.col("dense_rank").alias("rank"), "text")
+
+
+def evaluate(spark: SparkSession, cases_path: str, out_path: str | None = None, corpus: DataFrame | None = None,
+             vectors: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
+    """The report over a labelled-set file. Retrieval runs when ``corpus``
+    (chunk_id, text, vector) and the questions' ``vectors`` (id, vector) are
+    given, citation when ``answers`` (id, answer) are; without them these parts
+    are 0 of 0."""
     t = read_cases(spark, cases_path)
     routed = R.route_questions(t["router_eval"]).select(
         "id", "expected_route", F.col("route").alias("actual_route"))
     verdicts = verify_cases(t["claim_eval"], t["claim_values"])
     claims = E.expected_vs_actual(t["claim_eval"].select("id", "expected_verdict"),
                                   verdicts.select("id", F.col("verdict").alias("actual_verdict")), "id")
-    empty_hits = spark.createDataFrame([], "question_id long, rank int, text string")
-    empty_exp = spark.createDataFrame([], "question_id long, keywords array<string>")
-    report = E.evaluation_report(E.route_accuracy(routed), E.hit_at_k(empty_hits, empty_exp),
-                                 E.citation_rate(spark.createDataFrame([], "answer string")),
-                                 E.verdict_accuracy(claims))
+    asked = t["retrieval_eval"]
+    if corpus is not None and vectors is not None:
+        hits = retrieve_cases(asked, corpus, vectors)
+        expected = asked.select(F.col("id").alias("question_id"), F.col("expected_keywords").alias("keywords"))
+    else:
+        hits = spark.createDataFrame([], "question_id string, rank int, text string")
+        expected = spark.createDataFrame([], "question_id string, keywords array<string>")
+    if answers is None:
+        answers = spark.createDataFrame([], "id string, answer string")
+    answered = asked.select("id").join(answers.select("id", "answer"), "id")
+    report = E.evaluation_report(E.route_accuracy(routed), E.hit_at_k(hits, expected),
+                                 E.citation_rate(answered), E.verdict_accuracy(claims))
     if out_path:
         write_results(report, out_path + "/metrics")
         write_results(routed, out_path + "/router")

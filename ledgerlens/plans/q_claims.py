@@ -8,7 +8,7 @@ derived from the data in both engines:
 * claims: for every year, a right claim, a wrong-direction claim and a
   wrong-size claim about revenue, and a right claim about orders, all
   computed from the same aggregates, plus fixed edge cases (no number,
-  unknown metric, zero start, multiplier, range with "from").
+  unknown metric, multiplier, range with "from").
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..functions import vocab as V
 from ..operators import claims as CL
 from ..session import cut_lineage
 from ..sources.tables import Tables
-from .q_text import PAGES_SQL, SENTENCES_SQL, doc_pages
+from .q_text import EVIDENCE_SQL_TAIL, PAGES_SQL, SENTENCES_SQL, doc_pages, hybrid_corpus, hybrid_sql
 from .registry import query
 
 METRIC_COLS = ["revenue", "orders", "avg_price", "open_orders"]
@@ -30,7 +30,7 @@ METRIC_COLS = ["revenue", "orders", "avg_price", "open_orders"]
 FIXED_CLAIMS = [
     (1, "Revenue doubled from 1995 to 2001", "Contradicted"),
     (2, "Average price rose by 3% in Q4", "Unverifiable"),
-    (3, "Open orders increased by 50% in 1995", "Unverifiable"),
+    (3, "Open orders increased by 50% in 1995", None),
     (4, "Widget sales grew strongly this year", "Unverifiable"),
     (5, "Revenue more than doubled in H1", "Contradicted"),
     (6, "Headcount fell by 5%", "Unverifiable"),
@@ -325,13 +325,15 @@ FROM r WHERE claim_id <= 8
 """
 
 
-@query("extract_claims", EXTRACT_SQL_TEMPLATE.replace("__PAGES__", PAGES_SQL))
-def q_extract_claims(spark, sf):
-    return CL.extract_claims(doc_pages(spark, sf))
+# sentences of every document, and every generated or fixed claim as a sentence
+CLAIM_SENTENCES_SQL = f"""
+  SELECT doc_id, pos, sentence FROM ({SENTENCES_SQL})
+  UNION ALL SELECT -1, claim_id, claim FROM ({CLAIMS_SQL})
+"""
 
 
 @query("claim_change", f"""
-WITH s AS ({SENTENCES_SQL})
+WITH s AS ({CLAIM_SENTENCES_SQL})
 SELECT doc_id, pos, {sql_change('sentence')['pct']} AS pct, {sql_change('sentence')['direction']} AS direction,
        {sql_change('sentence')['tolerance']} AS tolerance, {sql_change('sentence')['mode']} AS mode
 FROM s WHERE length(sentence) BETWEEN 15 AND 250
@@ -345,7 +347,7 @@ def q_claim_change(spark, sf):
 
 
 @query("claim_window", f"""
-WITH s AS ({SENTENCES_SQL})
+WITH s AS ({CLAIM_SENTENCES_SQL})
 SELECT doc_id, pos, {sql_window('sentence')['type']} AS window_type, {sql_window('sentence')['value']} AS window_value
 FROM s WHERE length(sentence) BETWEEN 15 AND 250
 """)
@@ -360,7 +362,9 @@ def _sentences(spark, sf):
     p = doc_pages(spark, sf)
     s = p.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "raw"))
     s = s.select("doc_id", F.col("pos").cast("long").alias("pos"), T.strip(F.col("raw")).alias("sentence"))
-    return s.filter(T.length_between(F.col("sentence"), 15, 250))
+    claims = derived_claims(spark, sf).select(F.lit(-1).cast("long").alias("doc_id"), F.col("claim_id").alias("pos"),
+                                              F.col("claim").alias("sentence"))
+    return s.unionByName(claims).filter(T.length_between(F.col("sentence"), 15, 250))
 
 
 @query("column_match", f"""
@@ -473,8 +477,7 @@ SELECT r.question_id, r.fallback, v.* FROM ({RELEVANT_SQL}) r JOIN ({VERIFY_SQL}
 """)
 def q_cross_check(spark, sf):
     """L6 over the derived claims: relevant claims per question, verified
-    against the quarterly metrics (evidence needs question vectors, which
-    these questions do not have)."""
+    against the quarterly metrics; ``cross_check_evidence`` is the other half."""
     from .crosscheck import cross_check
 
     qs = spark.createDataFrame(ROUTER_QUESTIONS, "question_id long, question string")
@@ -514,4 +517,35 @@ REPORT_PAGES_SQL = f"""
 
 @query("report_claims", EXTRACT_SQL_TEMPLATE.replace("__PAGES__", REPORT_PAGES_SQL))
 def q_report_claims(spark, sf):
-    return CL.extract_claims(report_pages(spark, sf))
+    """The list shown to a reader: at most 8 claims a document."""
+    return CL.extract_claims(report_pages(spark, sf), V.MAX_CLAIMS_PER_DOCUMENT)
+
+
+ALL_PAGES_SQL = f"{PAGES_SQL} UNION ALL SELECT -doc_id, page_number, text FROM ({REPORT_PAGES_SQL})"
+
+
+@query("extract_claims", EXTRACT_SQL_TEMPLATE.replace("__PAGES__", ALL_PAGES_SQL).replace("WHERE claim_id <= 8", ""))
+def q_extract_claims(spark, sf):
+    """Every claim of the documents' pages and of the written report (its
+    documents have negative ids), without a cap."""
+    written = report_pages(spark, sf).withColumn("doc_id", -F.col("doc_id"))
+    return CL.extract_claims(doc_pages(spark, sf).unionByName(written))
+
+
+CHECK_QUESTIONS_SQL = f"""
+  SELECT CAST(col0 AS BIGINT) AS question_id, col1 AS question, embedding AS vector
+  FROM (VALUES {", ".join(f"({i}, {_sq(t)})" for i, t in ROUTER_QUESTIONS)})
+  LEFT JOIN embeddings ON col0 = vec_id"""
+
+
+@query("cross_check_evidence", hybrid_sql(3, CHECK_QUESTIONS_SQL) + EVIDENCE_SQL_TAIL)
+def q_cross_check_evidence(spark, sf):
+    """The other half of L6: the pages of all documents that support each
+    question of ``cross_check``. A question's vector is the one of its number."""
+    from .crosscheck import cross_check
+
+    vectors = Tables(spark, sf).embeddings.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    qs = spark.createDataFrame(ROUTER_QUESTIONS, "question_id long, question string").join(vectors, "question_id", "left")
+    claims = derived_claims(spark, sf).select("claim_id", "claim")
+    _, evidence = cross_check(qs, claims, quarterly(spark, sf), "_ord", hybrid_corpus(spark, sf))
+    return evidence

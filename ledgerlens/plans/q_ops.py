@@ -276,13 +276,20 @@ CITE_SQL = """
   SELECT 'citation' AS suite, 'all' AS slice,
          coalesce(count(*) FILTER (WHERE regexp_matches(coalesce(text, ''), '(?i)\\(page\\s+\\d+\\)')) / count(*)::DOUBLE, 0.0) AS value,
          count(*) FILTER (WHERE regexp_matches(coalesce(text, ''), '(?i)\\(page\\s+\\d+\\)')) AS hits, count(*) AS total
-  FROM conversations WHERE role = 'assistant'
-"""
+  FROM (SELECT text FROM conversations WHERE role = 'assistant'
+        UNION ALL SELECT claim || CASE WHEN claim_id % 2 = 1 THEN ' (Page ' || CAST(claim_id // 10 AS VARCHAR) || ').' ELSE '.' END
+        FROM (__CLAIMS__))
+""".replace("__CLAIMS__", CLAIMS_SQL)
 
 
 def citations(spark, sf):
-    cv = Tables(spark, sf).conversations.filter(F.col("role") == "assistant")
-    return E.citation_rate(cv, "text")
+    """Over every assistant turn, and over an answer written from every claim:
+    those with an odd number cite a page."""
+    cv = Tables(spark, sf).conversations.filter(F.col("role") == "assistant").select("text")
+    cite = F.concat(F.lit(" (Page "), F.expr("claim_id div 10").cast("string"), F.lit(")."))
+    written = derived_claims(spark, sf).select(F.concat("claim", F.when(F.col("claim_id") % 2 == 1, cite)
+                                                        .otherwise(F.lit("."))).alias("text"))
+    return E.citation_rate(cv.unionByName(written), "text")
 
 
 @query("citation_rate", CITE_SQL)

@@ -113,9 +113,9 @@ HYB_QUESTIONS = ("SELECT item_id AS question_id, text AS question, embedding AS
                  "FROM benchmark LEFT JOIN embeddings ON item_id = vec_id")
 
 
-def hybrid_sql(k: int) -> str:
+def hybrid_sql(k: int, questions: str = HYB_QUESTIONS) -> str:
     return f"""
-  WITH {bm25_sql(HYB_CORPUS, HYB_QUESTIONS, 3 * k)},
+  WITH {bm25_sql(HYB_CORPUS, questions, 3 * k)},
   {dense_sql('SELECT chunk_id, vector FROM corp WHERE vector IS NOT NULL',
              'SELECT question_id, vector FROM qs WHERE vector IS NOT NULL', 3 * k)},
   fu AS (SELECT coalesce(den.question_id, lex.question_id) AS question_id,
@@ -247,8 +247,7 @@ def q_hybrid_topk(spark, sf):
                          ["rank", "dense_rank", "lexical_rank"])
 
 
-@query("evidence_pages", f"""
-{hybrid_sql(3)},
+EVIDENCE_SQL_TAIL = """,
 ht AS (SELECT hy.*, corp.text, corp.doc_id, corp.page_number FROM hy JOIN corp USING (chunk_id))
 SELECT question_id, doc_id, page_number, list(text ORDER BY rank) AS texts,
   min(dense_distance) AS best_distance,
@@ -258,7 +257,10 @@ SELECT question_id, doc_id, page_number, list(text ORDER BY rank) AS texts,
        ELSE 'low relevance' END AS label,
   count(*) AS n_chunks
 FROM ht GROUP BY question_id, doc_id, page_number
-""")
+"""
+
+
+@query("evidence_pages", hybrid_sql(3) + EVIDENCE_SQL_TAIL)
 def q_evidence_pages(spark, sf):
     corpus = hybrid_corpus(spark, sf)
     hits = fusion.hybrid(corpus, hybrid_questions(spark, sf), 3)

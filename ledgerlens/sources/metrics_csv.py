@@ -1,11 +1,19 @@
 """CSV metrics-table source.
 
-Header row; every field read as a string; pandas' default null tokens become
-null; then a column becomes numeric when every non-null value parses (one
-aggregation decides for all columns at once): long if all parse as whole
-numbers, else double. Dates are never inferred: they stay strings, so
-period text such as '2025-01' is categorical and window filters stay
-substring tests. A ``_row_id`` column keeps the file's row order.
+Header row; every field read as a string, quoted fields may hold separators,
+line breaks and doubled quotes; pandas' default null tokens become null; then
+one aggregation decides the type of all columns at once:
+
+* long when every non-null value is a whole number and the column has one,
+  double when every one is a number (decimal, exponent, infinity; codes such
+  as ``1d`` or ``0x1F`` are text);
+* boolean (neither numeric nor categorical) when no value is missing and all
+  are one of the fixed spellings of true and false; with a missing value such
+  a column stays text.
+
+Dates are never inferred: they stay strings, so period text such as '2025-01'
+is categorical and window filters stay substring tests. ``order_col`` numbers
+the rows by file name, then by place in the file.
 """
 
 from __future__ import annotations
@@ -13,29 +21,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import with_row_index
+from ..session import cut_lineage
+
 # pandas' default strings read as missing.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+TRUE_WORDS, FALSE_WORDS = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
+
+def _number(x):
+    """The double a field stands for, else null. Infinities are spelled out, as
+    the cast knows fewer spellings of them."""
+    low = F.lower(F.trim(x))
+    inf = F.when(low.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return F.when(x.rlike(NUMBER), F.when(low.contains("inf"), inf).otherwise(F.trim(x).try_cast("double")))
+
+
+def read_metrics(spark: SparkSession, path: str, order_col: str = "_row_id", multi_line: bool = True) -> DataFrame:
+    """One metrics table from a CSV file or a folder of them.
 
+    With ``multi_line`` a file is read by one task, since a quoted line break
+    cannot be told from a row's end in the middle of a file: keep a large table
+    in many files, or pass False when no field holds a line break (the file is
+    then split; rows keep their order by block).
 
-def read_metrics(spark: SparkSession, path: str, order_col: str = "_row_id") -> DataFrame:
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    The file is parsed once: its rows are kept as text in the shared folder,
+    which both the types and the row numbers are taken from."""
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
+           .option("escape", '"').csv(path))
     cols = raw.columns
-    clean = raw.select(*[F.when(F.col(f"`{c}`").isin(NULL_TOKENS), F.lit(None))
-                         .otherwise(F.col(f"`{c}`")).alias(c) for c in cols])
-    checks = []
+    place = ["_file", "_block", "_at"]
+    clean = cut_lineage(raw.select(*[F.when(F.col(f"`{c}`").isin(NULL_TOKENS), F.lit(None))
+                         .otherwise(F.col(f"`{c}`")).alias(c) for c in cols],
+                       F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_at")), "csv")
+    checks = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`")
         checks += [F.count(x).alias(f"n{i}"),
-                   F.count(x.try_cast("double")).alias(f"d{i}"),
-                   F.count(x.try_cast("long")).alias(f"l{i}")]
+                   F.count(_number(x)).alias(f"d{i}"),
+                   F.count(F.when(x.rlike(WHOLE), F.trim(x).try_cast("long"))).alias(f"l{i}"),
+                   F.count_if(x.isin(TRUE_WORDS + FALSE_WORDS)).alias(f"b{i}")]
     stats = clean.agg(*checks).first()
     out = []
     for i, c in enumerate(cols):
-        n, d, ln = stats[f"n{i}"], stats[f"d{i}"], stats[f"l{i}"]
+        n, d, ln, b = (stats[f"{k}{i}"] for k in "ndlb")
         x = F.col(f"`{c}`")
-        if n > 0 and d == n:
-            out.append((x.try_cast("long") if ln == n else x.try_cast("double")).alias(c))
+        if n > 0 and ln == n:
+            out.append(F.trim(x).try_cast("long").alias(c))
+        elif n > 0 and d == n:
+            out.append(_number(x).alias(c))
+        elif b > 0 and b == stats["rows"]:
+            out.append(x.isin(TRUE_WORDS).alias(c))
         else:
             out.append(x.alias(c))
-    return clean.select(*out).withColumn(order_col, F.monotonically_increasing_id())
+    numbered = with_row_index(clean.select(*place), place, order_col)
+    return clean.select(*out, *place).join(numbered, place).drop(*place)

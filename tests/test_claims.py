@@ -31,8 +31,9 @@ def test_extract_counts(spark, text, n):
 def test_extract_keeps_percent_and_caps(spark):
     assert "20%" in _claims(spark, "Revenue increased by 20% this quarter.")[0]
     many = " ".join(f"Metric{i} grew by {i + 5}%." for i in range(20))
-    got = _claims(spark, many)
+    got = [r["claim"] for r in CL.extract_claims(_pages(spark, many), 8).orderBy("claim_id").collect()]
     assert len(got) == 8
+    assert len(_claims(spark, many)) == 20  # no cap unless one is asked for
     assert got[0].startswith("Metric0")
 
 
@@ -224,3 +225,16 @@ def test_relevant_claims_with_fallback(spark):
     q2 = sorted(r["claim_id"] for r in got if r["question_id"] == 2)
     assert q1 == [1]
     assert q2 == [1, 2, 3, 4]
+
+
+def test_relevant_claims_plan_and_inner_words(spark):
+    """A word may lie inside a longer token, and no nested loop is planned."""
+    q = spark.createDataFrame([(1, "venue (costs)"), (2, None), (3, "a of %%%%")], "question_id long, question string")
+    c = spark.createDataFrame([(1, "Revenues grew 5%"), (2, "The (costs)\tfell 2%"), (3, None), (2, "The (costs)\tfell 2%")],
+                              "claim_id long, claim string")
+    out = CL.relevant_claims(q, c, 1)
+    got = sorted((r["question_id"], r["claim_id"], r["fallback"]) for r in out.collect())
+    assert got == [(1, 1, False), (1, 2, False), (2, 1, True), (3, 1, True)]
+    words = CL.question_words(q)
+    plan = CL._words_in_tokens(words, c.selectExpr("claim as token"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

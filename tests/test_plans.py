@@ -35,6 +35,22 @@ def test_evaluation_run(spark, tmp_path):
     assert spark.read.json(str(out / "claims")).count() == len(EVAL_CASES)
 
 
+def test_evaluation_run_with_retrieval_and_answers(spark, tmp_path):
+    doc = {"router_eval": [], "csv_eval": [], "claim_eval": [],
+           "retrieval_eval": [{"id": "r1", "question": "debt?", "expected_keywords": ["Debt"], "expected_page_contains": ""},
+                              {"id": "r2", "question": "staff?", "expected_keywords": ["staff"], "expected_page_contains": ""}]}
+    p = tmp_path / "cases.json"
+    p.write_text(json.dumps(doc))
+    corpus = spark.createDataFrame([(i, t, [float(i), 0.0]) for i, t in enumerate(["the debt fell", "b", "c", "d", "e", "f"])],
+                                   "chunk_id long, text string, vector array<double>")
+    vectors = spark.createDataFrame([("r1", [0.0, 0.0]), ("r2", [5.0, 0.0])], "id string, vector array<double>")
+    answers = spark.createDataFrame([("r1", "It fell (Page 1)."), ("r2", "Unknown.")], "id string, answer string")
+    report = {(r["suite"], r["slice"]): (r["hits"], r["total"])
+              for r in evaluate(spark, str(p), None, corpus, vectors, answers).collect()}
+    assert report[("retrieval", "all")] == (1, 2) and report[("citation", "all")] == (1, 2)
+    assert report[("claims", "all")] == (0, 0)
+
+
 def test_cross_check(spark):
     questions = spark.createDataFrame([(1, "Did revenue really grow?"), (2, "xyz")], "question_id long, question string")
     claims = spark.createDataFrame([(1, "Revenue increased by 5%"), (2, "Costs fell by 10%")],

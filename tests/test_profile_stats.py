@@ -116,3 +116,26 @@ def test_numeric_summary_all_null_column(spark):
     got = {r["column"]: r for r in P.numeric_summary(t).collect()}
     assert got["a"]["median"] == 2.0 and got["a"]["count"] == 3
     assert got["b"]["count"] == 0 and got["b"]["median"] is None and got["b"]["mean"] is None
+
+
+def test_csv_quotes_codes_and_booleans(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('note,code,flag,part,level\n"two\nlines",1d,True,True,1e3\n"said ""yes"", twice",2f,False,,-inf\nplain,3,true,False, 4\n')
+    df = read_metrics(spark, str(p))
+    rows = df.orderBy("_row_id").collect()
+    assert [r["_row_id"] for r in rows] == [0, 1, 2]
+    assert [r["note"] for r in rows] == ["two\nlines", 'said "yes", twice', "plain"]
+    assert [r["code"] for r in rows] == ["1d", "2f", "3"]
+    assert [r["flag"] for r in rows] == [True, False, True]
+    assert [r["part"] for r in rows] == ["True", None, "False"]
+    assert [r["level"] for r in rows] == [1000.0, float("-inf"), 4.0]
+    assert P.categorical_columns(df) == ["note", "code", "part"] and P.numeric_columns(df) == ["level"]
+
+
+def test_csv_rows_follow_files(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    (d / "a.csv").write_text("x\n1\n2\n")
+    (d / "b.csv").write_text("x\n" + "\n".join(str(i) for i in range(3, 400)) + "\n")
+    rows = read_metrics(spark, str(d)).orderBy("_row_id").collect()
+    assert [r["x"] for r in rows] == list(range(1, 400))
