@@ -328,11 +328,19 @@ def proposals(posts: DataFrame, percent: int) -> DataFrame:
     return posts.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, n long, place long")
 
 
+def _is_star_forest(pairs: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: each component is a star around its smallest node."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")),
+                                          F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    seen = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("root"))
+    return seen.filter("ups > 1 or (ups = 1 and root = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): connected components of (a, b) by large and small stars."""
+    """(node, root): connected components of (a, b) by large and small stars,
+    until the edges are a star forest."""
     pairs = write_table(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    while not _is_star_forest(pairs):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -342,10 +350,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = write_table(small, "edges")
         drop_table(pairs)
         pairs = new
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if now == state:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
