@@ -10,7 +10,8 @@ the last returns the packed pieces.
 * line_dedup deletes later copies of runs of lines; documents of which nothing
   is left go.
 * jaccard_join keeps one document of every group of linked ones: the smallest
-  doc_id (of rows of one id, one).
+  doc_id (of rows of one id, one). Documents link when their sets of 5-word
+  shingles reach a Jaccard similarity of 0.8 (op4 itself: 3 words, 0.9).
 * decontaminate drops documents that hold a window of a benchmark item.
 * packing packs what is left.
 
@@ -32,6 +33,8 @@ from ledgerlens.sources.tables import read_table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language must hold at least this share of the likelihoods.
 MIN_SCORE = 0.5
+#: Near copies: words of a shingle, and the least Jaccard similarity in percent.
+ALIKE_WORDS, ALIKE_PERCENT = 5, 80
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = write_table(jaccard_join.join(docs), "alike")
+    found = write_table(jaccard_join.join(docs, percent=ALIKE_PERCENT, size=ALIKE_WORDS), "alike")
     gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     # texts whose id hash is not touched do not move (at most FLAG_BUCKETS rows are broadcast)

@@ -1,18 +1,19 @@
 """Operator 4, n-gram Jaccard join: size-aware, heavy and light sets apart.
 
-A document's set holds its distinct 3-word shingles. Two sets A, B link when
+A document's set holds its distinct shingles of ``size`` words (op4: 3). Two sets A, B link when
 ``100 * |A and B| >= percent * |A or B|``; then each misses at most
 ``floor(n * (100 - percent) / 100)`` of its n members.
 
 Light sets (size up to a boundary) are joined by fixed-size subsets: every set
-enumerates its subsets that leave out at most that many members, by key (the
+enumerates its subsets that leave out at most that many members (two at most,
+which bounds the boundary), by key (the
 wrapped sum of member hashes, so leaving one out is a subtraction). Linked sets
 share the key of their intersection, and sets that share a subset of s members
 are linked when ``s`` is large enough for their sizes: no comparison is needed,
 and linking every member of a key to its smallest set loses no component.
 
 Heavy sets scan inverted lists. Members are ordered by rarity, and the first
-``floor(n / 10) + 1`` go into the lists; linked sets meet in one. Lists are cut
+``floor(n * (100 - percent) / 100) + 1`` go into the lists; linked sets meet in one. Lists are cut
 by size and position bounds. A list of up to ``SHORT`` sets proposes all its
 pairs, a longer one pairs with two hubs. Proposals pass an exact filter (the
 parity bitmaps of two sets differ in at most |A xor B| places), then whole sets
@@ -116,7 +117,7 @@ def fingerprints(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray,
     return n, f, g
 
 
-def summaries(docs: DataFrame) -> DataFrame:
+def summaries(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """One row a document (doc_id, n, f, g, bits), and per task the sketch's
     segments (n = -1 - segment, bits: counts)."""
 
@@ -126,7 +127,7 @@ def summaries(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for base, data, offsets in slices(*_joined(batch.column("text"))):
                 size = len(offsets) - 1
-                doc, h = shingle_sets(data, offsets)
+                doc, h = shingle_sets(data, offsets, width)
                 cells += np.bincount((h >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.uint32)
                 n, f, g = fingerprints(doc, h, size)
                 parity = np.bincount(doc * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=size * BITS) & 1
@@ -177,19 +178,19 @@ def boundary(sizes: np.ndarray, counts: np.ndarray, percent: int) -> int:
     best, at = np.inf, 0
     subsets = subset_counts(np.minimum(sizes, 40), percent)
     lists = (sizes * (100 - percent) // 100 + 1) * SHORT + sizes / 4
-    for x in range(0, 30):
+    # sizes whose sets leave out at most two members are enumerated
+    for x in (x for x in range(0, 30) if x * (100 - percent) // 100 <= 2):
         light = sizes <= x
         cost = float((counts * np.where(light, subsets, lists)).sum())
         if cost < best:
             best, at = cost, x
-    # sizes whose sets leave out at most two members are enumerated
     return at
 
 
 _POSTS = "bucket int, fs binary, ns binary, counts binary, high binary, low binary, place binary"
 
 
-def postings(docs: DataFrame, order, light: int, percent: int, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, order, light: int, percent: int, buckets: int, width: int = SHINGLE) -> DataFrame:
     """Packed by bucket of the key: subset keys of light sets (place = 255 - members
     left out), list entries of heavy sets and of light ones near the boundary
     (place = position, bounded by 200 steps of the prefix)."""
@@ -202,7 +203,7 @@ def postings(docs: DataFrame, order, light: int, percent: int, buckets: int) ->
         for batch in batches:
             for _, data, offsets in slices(*_joined(batch.column("text"))):
                 docs_here = len(offsets) - 1
-                doc, h = shingle_sets(data, offsets)
+                doc, h = shingle_sets(data, offsets, width)
                 n, f, _ = fingerprints(doc, h, docs_here)
                 # equal sets of a slice are sent once
                 _, one = np.unique(f, return_index=True)
@@ -353,7 +354,7 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _compare(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
 
     def run(batches):
@@ -361,7 +362,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             keep = []
             left, right = _joined(batch.column("ta")), _joined(batch.column("tb"))
             for i in range(batch.num_rows):
-                x, y = (shingle_sets(d[o[i]:o[i + 1]], np.array([0, o[i + 1] - o[i]]))[1] for d, o in (left, right))
+                x, y = (shingle_sets(d[o[i]:o[i + 1]], np.array([0, o[i + 1] - o[i]]), width)[1] for d, o in (left, right))
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -371,14 +372,14 @@ def _compare(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, flags) -> DataFrame:
+def _texts_of(docs: DataFrame, flags, width: int) -> DataFrame:
     """(f, text) of the sets whose hash bucket is flagged."""
 
     def run(batches):
         wanted = flags.value
         for batch in batches:
             for base, data, offsets in slices(*_joined(batch.column("text"))):
-                _, f, _ = fingerprints(*shingle_sets(data, offsets), len(offsets) - 1)
+                _, f, _ = fingerprints(*shingle_sets(data, offsets, width), len(offsets) - 1)
                 _, one = np.unique(f, return_index=True)
                 one = one[np.isin((f[one] >> np.uint64(44)).astype(np.int64), wanted)]
                 yield pa.RecordBatch.from_arrays([pa.array(f[one].view(np.int64)), batch.column("text").take(pa.array(base + one))], names=["f", "text"])
@@ -429,14 +430,14 @@ def _with_words(rows: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, "f long, key long, n long, place long, root long, " + ", ".join(f"x{i} long" for i in range(words)))
 
 
-def _settle(links: DataFrame, wanted: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, roots: DataFrame | None):
+def _settle(links: DataFrame, wanted: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int, roots: DataFrame | None):
     """Compare the wanted pairs until none across components is left: (links, roots)."""
     left = write_table(_alike(_across(wanted, roots), sets, percent), "wanted")
     flags = [r[0] for r in left.select(F.explode(F.array("a", "b")).alias("f"))
              .select(F.shiftrightunsigned("f", 44).alias("x")).distinct().collect()]  # at most FLAGS small integers
     if not flags:
         return links, components(links) if roots is None else roots
-    texts = write_table(_texts_of(docs, docs.sparkSession.sparkContext.broadcast(np.array(flags, np.int64))), "wanted-texts")
+    texts = write_table(_texts_of(docs, docs.sparkSession.sparkContext.broadcast(np.array(flags, np.int64)), width), "wanted-texts")
     # the most alike pair of each set first, then what is still across components
     best = Window.partitionBy("a").orderBy("apart", "b")
     batch = write_table(left.withColumn("i", F.row_number().over(best)), "batch")
@@ -444,7 +445,7 @@ def _settle(links: DataFrame, wanted: DataFrame, docs: DataFrame, sets: DataFram
         now = batch.filter("i = 1") if first else write_table(_across(batch.filter("i > 1"), roots), "wanted")
         if not first and now.isEmpty():
             break
-        links = links.unionByName(write_table(_compare(now.select("a", "b"), texts, percent), "links"))
+        links = links.unionByName(write_table(_compare(now.select("a", "b"), texts, percent, width), "links"))
         roots = components(links)
     drop_table(left)
     drop_table(batch)
@@ -452,21 +453,21 @@ def _settle(links: DataFrame, wanted: DataFrame, docs: DataFrame, sets: DataFram
     return links, roots
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row; shingles of ``size`` words."""
     spark = docs.sparkSession
     buckets = 2 * n_input_partitions(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = write_table(summaries(rows), "sets")
+    seen = write_table(summaries(rows, size), "sets")
     order = spark.sparkContext.broadcast(rarity(seen))
     seen = seen.filter("n >= 0")
     sets = seen.filter("n > 0").groupBy("f").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), F.min("bits").alias("bits"))
     # one row for each size up to 30, and one for the rest
     sizes = sets.groupBy(F.least("n", F.lit(31)).alias("n")).count().collect()
     light = boundary(np.array([r["n"] for r in sizes], np.int64), np.array([r["count"] for r in sizes], np.float64), percent) if sizes else 0
-    found = write_table(proposals(postings(rows, order, light, percent, buckets), percent), "proposals")
+    found = write_table(proposals(postings(rows, order, light, percent, buckets, size), percent), "proposals")
     links = found.filter("kind = 0").select("a", "b")
-    links, roots = _settle(links, found.filter("kind = 1").select("a", "b").distinct(), rows, sets, percent, None)
+    links, roots = _settle(links, found.filter("kind = 1").select("a", "b").distinct(), rows, sets, percent, size, None)
     # long lists that still hold several components: the pairs between them
     long = found.filter("kind = 2").select(F.col("a").alias("f"), F.col("b").alias("key"), "n", "place")
     long = long.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
@@ -479,7 +480,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
                 f"AND least(a.n - a.place, b.n - b.place) * {100 + percent} >= {percent} * (a.n + b.n) "
                 f"AND ({' + '.join(f'bit_count(a.x{i} ^ b.x{i})' for i in range(BITS // 64))}) * {100 + percent} <= {100 - percent} * (a.n + b.n)")
         more = a.join(b, F.expr(fits)).select(F.col("a.f").alias("a"), F.col("b.f").alias("b")).distinct()
-        links, roots = _settle(links, more, rows, sets, percent, roots)
+        links, roots = _settle(links, more, rows, sets, percent, size, roots)
     named = sets.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f", "component_id")
     return (seen.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("f")).alias("f"))

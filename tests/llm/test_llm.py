@@ -181,6 +181,53 @@ def test_jaccard_join(docs, rows, short, monkeypatch):
     assert got(jaccard_join.join(docs), "doc_id", "n_shingles", "component_id") == want
 
 
+def components_of(texts, size, percent):
+    """The smallest row number of each row's component, by all pairs; None: no shingles."""
+    sets = []
+    for t in texts:
+        w = space_words(t.encode() if t else None)
+        k = min(size, len(w))
+        sets.append(frozenset(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) if w else frozenset())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return [r if sets[i] else None for i, r in enumerate(root)]
+
+
+def varied(seed: int = 5) -> list[str]:
+    """Groups of texts of 5 to 120 words, the members a few words apart: similarities on both sides of 0.8."""
+    rng = random.Random(seed)
+    texts = []
+    for g in range(60):
+        base = [f"g{g}x{i}" for i in range(rng.randint(5, 120))]
+        for _ in range(5):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(own))
+                own[at:at + 1] = rng.choice(([], [f"n{rng.randrange(10**6)}"], [own[at], f"n{rng.randrange(10**6)}"]))
+            texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("size,percent", [(5, 80), (3, 90), (2, 60)])
+def test_jaccard_join_of_other_sizes(spark, size, percent):
+    texts = varied()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {(i, r) for i, r in enumerate(components_of(texts, size, percent))}
+    assert set(got(jaccard_join.join(docs, percent=percent, size=size), "doc_id", "component_id")) == want
+
+
+def test_pipeline_drops_near_copies(spark):
+    base = [f"b{i}" for i in range(150)]
+    copy = " ".join(x if i not in (40, 80, 120) else "other" for i, x in enumerate(base))  # 2 % of the words
+    rows = [(1, " ".join(base), "en", "s", 1), (2, copy, "en", "s", 1), (3, "something else", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert components_of([r[1] for r in rows], 3, 90)[1] == 1  # the values of op4 keep it
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_alike(spark, docs, SF_SMALL).collect()) == [1, 3]
+
+
 # -- 5 top-k ------------------------------------------------------------------
 
 def test_topk(spark):
