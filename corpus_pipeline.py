@@ -9,19 +9,20 @@ the last returns the packed pieces.
   language that is likelier than the others together).
 * line_dedup deletes later copies of runs of lines; documents of which nothing
   is left go.
-* jaccard_join keeps one document of every group of linked ones: the smallest
-  doc_id (of rows of one id, one). Documents link when their sets of 5-word
+* jaccard_join keeps one row of every group of linked ones: the smallest doc_id,
+  null ids last (of rows of one id, the least row key). Rows are told apart by a
+  128-bit key of all their columns, not by id; rows without words stay. Documents link when their sets of 5-word
   shingles reach a Jaccard similarity of 0.8 (op4 itself: 3 words, 0.9).
 * decontaminate drops documents that hold a window of a benchmark item.
 * packing packs what is left.
 
 ORACLE_SQL is None: the byte trees and the local search have no SQL form; the
-stages are tested against brute force in tests/llm.
+kept rows of the stages are tested against plain Python in tests/llm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate as dec
@@ -48,17 +49,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def row_key() -> list[Column]:
+    """128 bits of all columns; only rows that are equal in all of them share it."""
+    parts = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(i), *parts).alias(f"k{i}") for i in (0, 1)]
+
+
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = write_table(jaccard_join.join(docs, percent=ALIKE_PERCENT, size=ALIKE_WORDS), "alike")
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    # texts whose id hash is not touched do not move (at most FLAG_BUCKETS rows are broadcast)
-    flag = F.pmod(F.xxhash64("doc_id"), F.lit(line_dedup.FLAG_BUCKETS)).alias("_flag")
-    flags = F.broadcast(gone.unionByName(again).select(flag).distinct())
-    keyed = docs.select(*COLUMNS, flag)
-    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    one = (keyed.join(flags, "_flag", "left_semi").join(gone, "doc_id", "left_anti")
-           .withColumn("_i", F.row_number().over(first)).filter("_i = 1").select(*COLUMNS))
+    keys = ["k0", "k1"]
+    keyed = docs.select(*COLUMNS, *row_key())
+    found = write_table(jaccard_join.join(keyed, percent=ALIKE_PERCENT, size=ALIKE_WORDS, keys=("k0", "k1")), "alike").filter("root IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *keys)
+    first = found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("root", "first")
+    gone = found.join(first, "root").filter("k0 <> first.k0 OR k1 <> first.k1").select(*keys).distinct()
+    again = found.groupBy(*keys).count().filter("count > 1").select(*keys)
+    # texts whose key hash is not touched do not move (at most FLAG_BUCKETS rows are broadcast)
+    flag = F.pmod("k0", F.lit(line_dedup.FLAG_BUCKETS))
+    flags = F.broadcast(gone.unionByName(again).select(flag.alias("_flag")).distinct())
+    # rows without words are alike to nothing, also to their equals
+    keyed = keyed.withColumn("_flag", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), flag).otherwise(F.lit(-1)))
+    # equal rows become one before they are sent
+    one = keyed.join(flags, "_flag", "left_semi").dropDuplicates(keys).join(gone, keys, "left_anti").select(*COLUMNS)
     return keyed.join(flags, "_flag", "left_anti").select(*COLUMNS).unionByName(one)
 
 

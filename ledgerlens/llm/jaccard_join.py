@@ -118,11 +118,12 @@ def fingerprints(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray,
 
 
 def summaries(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """One row a document (doc_id, n, f, g, bits), and per task the sketch's
-    segments (n = -1 - segment, bits: counts)."""
+    """One row a document (doc_id, n, f, g, bits, and the columns after the text),
+    and per task the sketch's segments (n = -1 - segment, bits: counts)."""
+    keys = docs.columns[2:]
 
     def run(batches):
-        names = ["doc_id", "n", "f", "g", "bits"]
+        names = ["doc_id", "n", "f", "g", "bits", *keys]
         cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for base, data, offsets in slices(*_joined(batch.column("text"))):
@@ -134,15 +135,17 @@ def summaries(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 packed = np.packbits(parity.reshape(size, BITS).astype(np.uint8), axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(base, size), pa.array(n, pa.int64()), pa.array(f.view(np.int64)),
-                     pa.array(g.view(np.int64)), pa.array([x.tobytes() for x in packed], pa.binary())], names=names)
+                     pa.array(g.view(np.int64)), pa.array([x.tobytes() for x in packed], pa.binary()),
+                     *[batch.column(k).slice(base, size) for k in keys]], names=names)
         if cells.any():
             parts = cells.reshape(64, -1)
             zero = np.zeros(64, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(64, pa.int64()), pa.array(-1 - np.arange(64)), pa.array(zero), pa.array(zero),
-                 pa.array([x.astype("<u4").tobytes() for x in parts], pa.binary())], names=names)
+                 pa.array([x.astype("<u4").tobytes() for x in parts], pa.binary()),
+                 *[pa.nulls(64, pa.int64()) for _ in keys]], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, f long, g long, bits binary")
+    return docs.mapInArrow(run, "doc_id long, n long, f long, g long, bits binary" + "".join(f", {k} long" for k in keys))
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
@@ -453,11 +456,15 @@ def _settle(links: DataFrame, wanted: DataFrame, docs: DataFrame, sets: DataFram
     return links, roots
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row; shingles of ``size`` words."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE,
+         keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row; shingles of ``size`` words.
+
+    With ``keys``, columns of 64-bit integers that tell rows apart, also these and
+    ``root``, which names a row's component whatever its ids (null: no shingles)."""
     spark = docs.sparkSession
     buckets = 2 * n_input_partitions(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keys)
     seen = write_table(summaries(rows, size), "sets")
     order = spark.sparkContext.broadcast(rarity(seen))
     seen = seen.filter("n >= 0")
@@ -482,7 +489,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
         more = a.join(b, F.expr(fits)).select(F.col("a.f").alias("a"), F.col("b.f").alias("b")).distinct()
         links, roots = _settle(links, more, rows, sets, percent, size, roots)
     named = sets.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f", "component_id")
-    return (seen.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("f")).alias("f"))
+    ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f", "component_id", "root")
+    return (seen.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("f")).alias("f"), *keys)
             .join(ids, "f", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                    *keys, *(["root"] if keys else [])))

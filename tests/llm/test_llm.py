@@ -435,3 +435,88 @@ def test_pipeline_stages(spark, docs, rows):
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert out.count() > 0 and isinstance(out.schema["sequence_id"].dataType, T.LongType)
+
+
+def plain_lines(rows):
+    """Rows of the line dedup stage: later copies of two lines cut out, emptied texts gone."""
+    place = lambda r, i: (r[0] is None, r[0] or 0, i)
+    first = {}
+    for r in rows:
+        own = r[1].split("\n") if r[1] is not None else []
+        for i in range(len(own) - 1):
+            first[own[i], own[i + 1]] = min(first.get((own[i], own[i + 1]), place(r, i)), place(r, i))
+    out = []
+    for r in rows:
+        own = r[1].split("\n") if r[1] is not None else []
+        gone = {i + j for i in range(len(own) - 1) if first[own[i], own[i + 1]] < place(r, i) for j in (0, 1)}
+        text = "\n".join(x for i, x in enumerate(own) if i not in gone)
+        if not gone:
+            out.append(r)
+        elif text:
+            out.append((r[0], text, r[2], r[3], len(text)))
+    return Counter(out)
+
+
+def plain_alike(rows, keys):
+    """Rows of the Jaccard stage: of each component the row of least id, then key; rows without words."""
+    names = components_of([r[1] for r in rows], corpus_pipeline.ALIKE_WORDS, corpus_pipeline.ALIKE_PERCENT)
+    best, out = {}, Counter()
+    for r, name in zip(rows, names, strict=True):
+        if name is None:
+            out[r] += 1
+        else:
+            best[name] = min(best.get(name, r), r, key=lambda x: (x[0] is None, x[0] or 0, keys[x]))
+    return out + Counter(best.values())
+
+
+def plain_clean(rows, items):
+    """Rows of the decontamination stage: those without a window of an item."""
+    windows = set()
+    for item, text in items:
+        w = alnum_words(text.encode() if text else None)
+        k = min(10, len(w))
+        windows |= {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w and item is not None else set()
+    sizes = {len(x) for x in windows}
+    out = Counter()
+    for r in rows:
+        w = alnum_words(r[1].encode() if r[1] else None)
+        out[r] += not any(tuple(w[i:i + k]) in windows for k in sizes for i in range(len(w) - k + 1))
+    return +out
+
+
+def test_pipeline_stages_keep_the_rows_of_their_rule(spark, rows):
+    own = [r[:5] for r in rows]
+    quote = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").filter("text IS NOT NULL").first()["text"]
+    alike = [f"a{i}" for i in range(90)]
+    near = " ".join([*alike[:40], "z", *alike[41:]])
+    own += [(None, "null id, text of its own", "en", "s1", 1), (None, "quite another text without an id", "en", "s1", 1), (None, " ".join(alike), "en", "s1", 1),
+            (None, None, None, None, None), (None, None, None, None, None), (None, "null id, text of its own", "en", "s1", 1),
+            (500, " ".join(alike), "en", "s1", 1), (501, near, "en", "s1", 1), (501, "a text unlike the other one of its id", "en", "s2", 1),
+            (502, near, "de", "s1", 1), (502, near, "en", "s1", 1), (503, "x\ny", "en", "s1", 1), (504, "x\ny", "en", "s1", 1), (505, quote, "en", "s1", 1)]
+    table = spark.createDataFrame([(*r, "clash", 1) for r in own], DOCS).repartition(3)
+    plain = table.select(*corpus_pipeline.COLUMNS)
+    stage = dict(corpus_pipeline.STAGES)
+
+    kept = [tuple(r) for r in language_id.identify(plain, language_id.train(table)).collect()]
+    want = Counter(r[:5] for r in kept if r[5] != "und" and r[6] >= 0.5)
+    assert got(stage["language_id"](spark, table, SF_SMALL), *corpus_pipeline.COLUMNS) == want and len(kept) == len(own)
+
+    assert got(stage["line_dedup"](spark, table, SF_SMALL), *corpus_pipeline.COLUMNS) == plain_lines(own)
+
+    keys = {tuple(r)[:5]: tuple(r)[5:] for r in plain.select("*", *corpus_pipeline.row_key()).collect()}
+    assert got(stage["jaccard_join"](spark, table, SF_SMALL), *corpus_pipeline.COLUMNS) == plain_alike(own, keys)
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    clean = got(stage["decontaminate"](spark, table, SF_SMALL), *corpus_pipeline.COLUMNS)
+    assert clean == plain_clean(own, items) and sum(clean.values()) < len(own)
+
+    import public_tokenizers
+
+    tokens = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = Counter()
+    for r in own:
+        lengths[r[0]] += len(tokens.encode(r[1] or "")) // 4
+    packed = Counter()
+    for r in stage["packing"](spark, table, SF_SMALL).collect():
+        packed[r["doc_id"]] += r["length"]
+    assert packed == lengths
