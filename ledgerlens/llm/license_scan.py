@@ -1,6 +1,9 @@
 """Operator 7, license scans: MinHash bands over overlapping text windows.
 
-Words are ``[A-Za-z0-9.]+`` runs, lower-cased; shingles are five words (a
+Words are ``[A-Za-z0-9.]+`` runs, lower-cased, without the full stops at their
+ends ("2.0." is "2.0"), so a notice is found with and without its sentence's
+stop, before a comma or at a line's end. (The SQL twin keeps those stops and
+finds less: every notice it finds is found here.) Shingles are five words (a
 template of fewer words is one shingle of all of them). A template of m
 shingles belongs to the window class of its size; a document is covered by
 windows of ``size`` shingles, each starting ``step`` after the one before
@@ -47,15 +50,17 @@ TEMPLATES = [
 SHINGLE = 5
 BANDS = 20
 CONTAINMENT = 80
-WORD = r"[A-Za-z0-9.]+"
+WORD = r"[A-Za-z0-9](?:[A-Za-z0-9.]*[A-Za-z0-9])?"
+#: Words with the stops at their ends, as the SQL twin has them.
+STOPPED = r"[A-Za-z0-9.]+"
 
 
-def template_words(text: str) -> list[str]:
-    return [w.lower() for w in re.findall(WORD, text)]
+def template_words(text: str, word: str = WORD) -> list[str]:
+    return [w.lower() for w in re.findall(word, text)]
 
 
-def template_shingles(text: str, size: int = SHINGLE) -> list[str]:
-    words = template_words(text)
+def template_shingles(text: str, size: int = SHINGLE, word: str = WORD) -> list[str]:
+    words = template_words(text, word)
     k = min(size, len(words))
     return list(dict.fromkeys(" ".join(words[i:i + k]) for i in range(len(words) - k + 1)))
 

@@ -206,7 +206,8 @@ def op2_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_licenses() -> str:
     """Containment of at least 80 % of a template's shingles in a document."""
-    rows = ", ".join(f"('{name}', {len(ls.template_shingles(t))}, '{s}')" for name, t in ls.TEMPLATES for s in ls.template_shingles(t))
+    shingles = {name: ls.template_shingles(t, word=ls.STOPPED) for name, t in ls.TEMPLATES}
+    rows = ", ".join(f"('{name}', {len(own)}, '{s}')" for name, own in shingles.items() for s in own)
     return rf"""
 WITH t(name, m, s) AS (VALUES {rows}),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9.]+') AS w FROM documents),

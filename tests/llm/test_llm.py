@@ -303,6 +303,16 @@ def test_licenses(spark):
     assert out == Counter([(1, 2, "Apache-2.0,MIT"), (2, 0, ""), (3, 0, ""), (4, 0, ""), (5, 1, "BSD-3-Clause"), (6, 0, ""), (7, 0, ""), (1, 0, "")])
 
 
+@pytest.mark.parametrize("notice,name", [
+    ('Licensed under the Apache License, Version 2.0 (the "License");', "Apache-2.0"), ("Released under the MIT License, see below", "MIT"),
+    ("Released under the MIT License\nand more", "MIT"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("...Licensed under CC BY-NC 4.0...", "CC-BY-NC-4.0"),
+    ("This work is licensed under the GNU General Public License, version 3, or later", "GPL-3.0"), ("Licensed under CC BY-NC 4.0.1", ""),
+    ("Licensed under the Apache License, Version 20", "")])
+def test_license_without_the_final_stop(spark, notice, name):
+    docs = spark.createDataFrame([(1, f"some words {notice} some words"), (2, notice)], "doc_id long, text string")
+    assert set(got(license_scan.scan(docs), "doc_id", "licenses")) == {(1, name), (2, name)}
+
+
 # -- 8 packing ----------------------------------------------------------------
 
 def test_packing(spark, docs, rows):
