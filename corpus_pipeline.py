@@ -7,8 +7,9 @@ the last returns the packed pieces.
 
 * language_id drops documents without a language (no text, no letter, or no
   language that is likelier than the others together).
-* line_dedup deletes later copies of runs of lines; documents of which nothing
-  is left go.
+* line_dedup deletes later copies of runs of two lines, and of single lines of
+  50 words or more (op1 itself: runs of two lines); documents of which nothing is
+  left go.
 * jaccard_join keeps one row of every group of linked ones: the smallest doc_id,
   null ids last (of rows of one id, the least row key). Rows are told apart by a
   128-bit key of all their columns, not by id; rows without words stay. Documents link when their sets of 5-word
@@ -34,6 +35,8 @@ from ledgerlens.sources.tables import read_table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language must hold at least this share of the likelihoods.
 MIN_SCORE = 0.5
+#: Later copies of a line of so many words go without a repeated neighbour.
+LONG_LINE_WORDS = 50
 #: Near copies: words of a shingle, and the least Jaccard similarity in percent.
 ALIKE_WORDS, ALIKE_PERCENT = 5, 80
 
@@ -44,7 +47,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs.select(*COLUMNS))
+    out = line_dedup.dedup(docs.select(*COLUMNS), long_words=LONG_LINE_WORDS)
     left = out.filter((F.col("n_removed") == 0) | (F.length("text") > 0))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -98,6 +98,15 @@ def test_line_dedup(docs, rows, least):
     assert got(line_dedup.dedup(docs, min_lines=least), "doc_id", "text", "n_lines", "n_removed", "score") == want
 
 
+def test_long_lines_go_alone(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = {1: f"a\n{passage}\nb", 2: passage, 3: f"c\n{passage}\nd\n{passage}", 4: f"e\n{passage} more\nf", 5: "e\nshort", 6: "g\nshort"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {(i, t, 0, 0) for i, t in texts.items()} - {(i, texts[i], 0, 0) for i in (2, 3)} | {(2, "", 1, 1), (3, "c\nd", 2, 2)}
+    assert set(got(line_dedup.dedup(docs, long_words=50), "doc_id", "text", "n_removed", "n_runs")) == want
+    assert set(got(line_dedup.dedup(docs), "doc_id", "text", "n_removed", "n_runs")) == {(i, t, 0, 0) for i, t in texts.items()}
+
+
 def test_suffix_order(spark):
     seqs = {1: "a b a b c", 2: "b a b", 3: "a b a b c d", 4: "a"}
     d = spark.createDataFrame([(k, v.replace(" ", "\n")) for k, v in seqs.items()], "doc_id long, text string")
@@ -448,17 +457,20 @@ def test_pipeline_run(spark):
 
 
 def plain_lines(rows):
-    """Rows of the line dedup stage: later copies of two lines cut out, emptied texts gone."""
+    """Rows of the line dedup stage: later copies of two lines and of long lines cut out, emptied texts gone."""
     place = lambda r, i: (r[0] is None, r[0] or 0, i)
     first = {}
     for r in rows:
         own = r[1].split("\n") if r[1] is not None else []
         for i in range(len(own) - 1):
             first[own[i], own[i + 1]] = min(first.get((own[i], own[i + 1]), place(r, i)), place(r, i))
+        for i, x in enumerate(own):
+            first[x] = min(first.get(x, place(r, i)), place(r, i))
     out = []
     for r in rows:
         own = r[1].split("\n") if r[1] is not None else []
         gone = {i + j for i in range(len(own) - 1) if first[own[i], own[i + 1]] < place(r, i) for j in (0, 1)}
+        gone |= {i for i, x in enumerate(own) if len(space_words(x.encode())) >= 50 and first[x] < place(r, i)}
         text = "\n".join(x for i, x in enumerate(own) if i not in gone)
         if not gone:
             out.append(r)
@@ -503,6 +515,9 @@ def test_pipeline_stages_keep_the_rows_of_their_rule(spark, rows):
             (None, None, None, None, None), (None, None, None, None, None), (None, "null id, text of its own", "en", "s1", 1),
             (500, " ".join(alike), "en", "s1", 1), (501, near, "en", "s1", 1), (501, "a text unlike the other one of its id", "en", "s2", 1),
             (502, near, "de", "s1", 1), (502, near, "en", "s1", 1), (503, "x\ny", "en", "s1", 1), (504, "x\ny", "en", "s1", 1), (505, quote, "en", "s1", 1)]
+    passage = " ".join(f"p{i}" for i in range(50))
+    own += [(510, f"before\n{passage}\nbehind", "en", "s1", 1), (511, passage, "en", "s1", 1), (512, f"other\n{passage}\nwords", "en", "s1", 1),
+            (513, f"{passage[:-4]}\nshort", "en", "s1", 1), (514, f"not\n{passage[:-4]}\nlong", "en", "s1", 1)]
     table = spark.createDataFrame([(*r, "clash", 1) for r in own], DOCS).repartition(3)
     plain = table.select(*corpus_pipeline.COLUMNS)
     stage = dict(corpus_pipeline.STAGES)
