@@ -12,8 +12,11 @@ from . import jaccard_join as jj
 from . import language_id as lid
 from . import license_scan as ls
 from . import line_dedup as ld
+from . import nn_descent as nn
 from . import packing as pk
 from . import prefix_free as pf
+from . import source_audit as sa
+from . import token_align as ta
 from . import topk as tk
 from . import toxicity as tx
 from .common import held_out
@@ -229,3 +232,51 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = tx.score(docs, tx.train(docs, read_table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
+SQL_SOURCES = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT r, lang, source, unnest(w) AS item FROM d),
+k AS MATERIALIZED (SELECT lang, item, count(*) AS all_n FROM t GROUP BY lang, item HAVING count(DISTINCT r) >= 3),
+c AS MATERIALIZED (SELECT lang, source, item, count(*) AS n FROM t JOIN k USING (lang, item) GROUP BY lang, source, item),
+v AS (SELECT lang, count(*) AS v, sum(all_n) AS l FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS MATERIALIZED (
+  SELECT s.lang, s.source, k.item, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.total + v.v) AS p, 1 + 1000000000::HUGEINT * (k.all_n + 1) // (v.l + v.v) AS q
+  FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.item = k.item),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY 1, 2, 3),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', item, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op11_source_audit", SQL_SOURCES)
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sa.audit(read_table(spark, sf_dir, "documents"))
+
+
+#: The piece vocabulary that byte-level tokens are aligned with.
+PIECES = "piece_bpe_32k.model"
+
+
+@query("op12_token_align")
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ta.align(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+@query("op13_nearest")
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn.neighbours(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
