@@ -14,7 +14,7 @@ block of documents.
 Work is shared between equal strings. Before a space that follows a
 non-space character both tokenizers always cut, whatever stands around it; so
 a text falls into units (a word with the spaces before it, as a rule), a unit is
-encoded and aligned once and kept in a bounded cache, and a document is the
+encoded and aligned once a block of documents, many at a time in arrays, and a document is the
 sequence of its units. Tests hold the result against whole-text encodings.
 
 Plan. One pass over the texts writes blocks of about ``BLOCK`` bytes of text: the
@@ -38,8 +38,8 @@ import hashlib
 import json
 import re
 from array import array
-from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +49,10 @@ from pyspark.sql import functions as F
 from .common import write_table
 from .packing import FAST, UNSAFE, Words
 
-BLOCK = 4 << 20
-#: Characters of a text that are cut into units at a time, units kept by a worker, longest unit kept.
+BLOCK = 16 << 20
+#: Characters of a text that are cut into units at a time, and units that are aligned at a time.
 PIECE = 1 << 20
-KEPT_UNITS = 50_000
-KEPT_LENGTH = 200
+ALIGNED = 50_000
 #: A unit begins with a space whose preceding character is no space of any kind.
 UNIT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
 CUT = re.compile(r"(?<=\S) ")
@@ -74,6 +73,34 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in shown)}
 
 
+class Links(NamedTuple):
+    """Of each unit: whether its bytes come back, (n_a, n_b, groups, links), the hashed string; and
+    (unit, A id, times) of identity links, (unit, a << 32 | b, times) of the others."""
+
+    good: np.ndarray
+    totals: np.ndarray
+    shown: list[bytes]
+    same: tuple[np.ndarray, np.ndarray, np.ndarray]
+    others: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sum_by(key: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, key, value)
+    return out
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row a (unit, link), ordered by both."""
+    unit, link, times = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
+    if not len(unit):
+        return unit, link, times
+    order = np.lexsort((link, unit))
+    unit, link, times = unit[order], link[order], times[order]
+    start = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (link[1:] != link[:-1])])
+    return unit[start], link[start], np.add.reduceat(times, start)
+
+
 class Aligner:
     """Units of text to tokens, groups and links of both vocabularies."""
 
@@ -103,71 +130,96 @@ class Aligner:
         same = {w: i for i, w in enumerate(self.bytes_b) if b.is_byte(i)} | {
             w: i for i, w in reversed(list(enumerate(self.bytes_b))) if not (b.is_byte(i) or b.is_control(i) or b.is_unknown(i))}
         self.ident = np.array([same.get(w, -1) if w else -1 for w in self.bytes_a], np.int64)
-        self._kept: dict[str, tuple] = {}
-        self._old: dict[str, tuple] = {}
-
-    def encode_a(self, text: str) -> list[int]:
-        if UNSAFE.search(text):
-            return self.whole_a.encode(text, add_special_tokens=False).ids
-        out = array("I")
-        for word in FAST.findall(text):
-            out.frombytes(self.words[word])
-        return out.tolist()
-
-    def encode_b(self, text: str) -> list[int]:
-        """B adds the leading space itself."""
-        return self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.space]
-
-    def unit(self, text: str) -> tuple | None:
-        """(n_a, n_b, groups, links, hashed string, A ids of identity links, other links as
-        {a << 32 | b: times}); None if the bytes do not come back."""
-        found = self._kept.get(text, 0)
-        if found == 0:
-            found = self._old.pop(text, 0)
-            if found == 0:
-                found = self._align(text)
-            if len(text) <= KEPT_LENGTH:
-                if len(self._kept) >= KEPT_UNITS:
-                    self._old, self._kept = self._kept, {}
-                self._kept[text] = found
-        return found
-
-    def _align(self, text: str) -> tuple | None:
-        a, b = self.encode_a(text), self.encode_b(text)
-        raw = text.encode()
-        if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
-            return None
-        ends_a = np.cumsum([len(self.bytes_a[i]) for i in a])
-        ends_b = np.cumsum([len(self.bytes_b[i]) for i in b])
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        cut_a = [0, *(np.searchsorted(ends_a, common) + 1).tolist()]
-        cut_b = [0, *(np.searchsorted(ends_b, common) + 1).tolist()]
-        links, same, others, shown = 0, Counter(), Counter(), []
-        for k in range(len(common)):
-            ga, gb = a[cut_a[k]:cut_a[k + 1]], b[cut_b[k]:cut_b[k + 1]]
-            links += len(ga) * len(gb)
-            shown.append(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)))
-            if len(ga) == len(gb) == 1 and self.ident[ga[0]] == gb[0]:  # the fast path
-                same[ga[0]] += 1
-                continue
-            cb = Counter(gb)
-            for x, n in Counter(ga).items():
-                mine = int(self.ident[x])
-                for y, m in cb.items():
-                    if y == mine:
-                        same[x] += n * m
-                    else:
-                        others[x << 32 | y] += n * m
-        return len(a), len(b), len(common), links, ";".join(shown).encode(), same, others
+        self.len_a, self.len_b = (np.array([len(w) for w in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        top = max(len(self.bytes_a), len(self.bytes_b))
+        self.width = np.array([len(str(i)) for i in range(top)], np.int64)
+        self.digits = np.zeros((top, len(str(top)) + 1), np.uint8)  # decimal ids, and room for a sign
+        for i in range(top):
+            self.digits[i, :self.width[i]] = np.frombuffer(str(i).encode(), np.uint8)
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """(A ids, A tokens of each unit, B ids, B tokens of each unit); B adds the leading space itself."""
+        a = [array("I", self.whole_a.encode(u, add_special_tokens=False).ids).tobytes() if UNSAFE.search(u)
+             else b"".join(map(self.words.__getitem__, FAST.findall(u))) for u in units]
+        b = self.b.encode([u[1:] for u in units], num_threads=1)
+        b = [x if len(u) > 1 else [self.space] for x, u in zip(b, units, strict=True)]
+        return (np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.array([len(x) // 4 for x in a], np.int64),
+                np.array([i for x in b for i in x], np.int64), np.array([len(x) for x in b], np.int64))
+
+    def align(self, units: list[str]) -> Links:
+        """Groups and links of units that are encoded each for itself, all at once."""
+        a, n_a, b, n_b = self.encode(units)
+        raw = [u.encode() for u in units]
+        size = np.array([len(x) for x in raw], np.int64)
+        good = np.ones(len(units), bool)
+        for ids, n, table in ((a, n_a, self.bytes_a), (b, n_b, self.bytes_b)):
+            words = [table[i] for i in ids.tolist()]
+            if b"".join(words) != b"".join(raw):
+                end = np.cumsum(n).tolist()
+                good &= [b"".join(words[e - m:e]) == x for e, m, x in zip(end, n.tolist(), raw, strict=True)]
+        if not good.all():  # only units whose bytes come back have offsets
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b, size = n_a * good, n_b * good, size * good
+        unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
+        end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        ga, gb = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+        first_a, first_b = np.cumsum(ga) - ga, np.cumsum(gb) - gb
+        unit_of = unit_a[first_a] if len(common) else np.zeros(0, np.int64)
+        # the fast path: one A id and the B id of its bytes
+        one = (ga == 1) & (gb == 1)
+        one[one] = self.ident[a[first_a[one]]] == b[first_b[one]]
+        same = [(unit_of[one], a[first_a[one]], np.ones(int(one.sum()), np.int64))]
+        others = []
+        # irregular groups: all pairs of small ones, distinct ids with their numbers in large ones
+        small = np.flatnonzero(~one & (ga * gb <= 4096))
+        for part in np.array_split(small, max(1, int((ga * gb)[small].sum()) >> 20)):
+            n = ga[part] * gb[part]
+            nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            each = np.repeat(part, n)
+            x, y = a[first_a[each] + nth // gb[each]], b[first_b[each] + nth % gb[each]]
+            mine = self.ident[x] == y
+            same.append((unit_of[each[mine]], x[mine], np.ones(int(mine.sum()), np.int64)))
+            others.append((unit_of[each[~mine]], x[~mine] << 32 | y[~mine], np.ones(int((~mine).sum()), np.int64)))
+        for g in np.flatnonzero(~one & (ga * gb > 4096)).tolist():
+            x, nx = np.unique(a[first_a[g]:first_a[g] + ga[g]], return_counts=True)
+            y, ny = np.unique(b[first_b[g]:first_b[g] + gb[g]], return_counts=True)
+            for k in range(len(x)):
+                mine = self.ident[x[k]] == y
+                for into, which, value in ((same, mine, np.full(len(y), x[k])), (others, ~mine, x[k] << 32 | y)):
+                    into.append((np.full(int(which.sum()), unit_of[g]), value[which], (nx[k] * ny)[which]))
+        totals = np.stack([n_a, n_b, np.bincount(unit_of, minlength=len(units)), _sum_by(unit_of, ga * gb, len(units))], axis=1)
+        return Links(good, totals, self._shown(a, b, group_a, group_b, unit_of, ga, gb, len(units)), _merged(same), _merged(others))
+
+    def _shown(self, a, b, group_a, group_b, unit_of, ga, gb, units) -> list[bytes]:
+        """The hashed string of each unit: ids and the sign after each, as rows of characters."""
+        ids = np.r_[a, b]
+        group = np.r_[group_a, group_b]
+        side = np.r_[np.zeros(len(a), np.int8), np.ones(len(b), np.int8)]
+        order = np.lexsort((side, group))  # stable: tokens of a side stay in order
+        ids, group, side = ids[order], group[order], side[order]
+        sign = np.full(len(ids), ord(","), np.uint8)
+        upto = np.cumsum(ga + gb)
+        sign[upto - gb - 1] = ord("|")
+        sign[upto - 1] = ord(";")
+        cells = self.digits[ids]
+        width = self.width[ids]
+        cells[np.arange(len(ids)), width] = sign
+        text = cells[np.arange(cells.shape[1]) <= width[:, None]].tobytes()
+        end = np.zeros(units, np.int64)
+        np.add.at(end, unit_of[group], width + 1)
+        end = np.cumsum(end)
+        return [text[i:j - 1] if j > i else b"" for i, j in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
 
     def units(self, text: str):
-        """The units of a space and ``text``, piece by piece."""
+        """The units of a space and ``text``, a list a piece."""
         text = " " + text
         at = 0
         while at < len(text):
             cut = CUT.search(text, at + PIECE)
             end = cut.start() if cut else len(text)
-            yield from UNIT.findall(text[at:end])
+            yield UNIT.findall(text[at:end])
             at = end
 
 
@@ -189,64 +241,42 @@ class Block:
     def __init__(self, aligner: Aligner):
         self.aligner = aligner
         self.unit_of: dict[str, int] = {}
-        self.units: list[tuple] = []
-        self.ids, self.totals, self.hashes = [], [], []
-        self.codes, self.n_codes = [], []
+        self.ids, self.codes = [], []
         self.size = 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
-        codes, ok = array("I"), bool(text)
-        h, first = hashlib.sha256(), True
-        n = [0, 0, 0, 0]
-        if ok:
-            unit_of, units = self.unit_of, self.units
-            part: list[bytes] = []
-            for u in self.aligner.units(text):
-                code = unit_of.get(u)
-                if code is None:
-                    found = self.aligner.unit(u)
-                    if found is None:
-                        ok = False
-                        break
-                    code = unit_of[u] = len(units)
-                    units.append(found)
-                codes.append(code)
-                part.append(units[code][4])
-                if len(part) > 65536:
-                    h.update((b"" if first else b";") + b";".join(part))
-                    part, first = [], False
-            h.update((b"" if first else b";") + b";".join(part) if part else b"")
-        if ok:
-            seen = np.frombuffer(codes, np.uint32)
-            self.codes.append(seen)
-            self.n_codes.append(len(seen))
-            if len(seen) < 4096:
-                for c in codes:
-                    x = units[c]
-                    n[0] += x[0]
-                    n[1] += x[1]
-                    n[2] += x[2]
-                    n[3] += x[3]
-            else:
-                which, times = np.unique(seen, return_counts=True)
-                for c, m in zip(which.tolist(), times.tolist(), strict=True):
-                    n = [y + m * z for y, z in zip(n, units[c][:4], strict=True)]
-            self.hashes.append(h.digest())
-        else:
-            self.n_codes.append(0)
-            self.hashes.append(bytes(32))
+        codes, unit_of = array("I"), self.unit_of
+        for part in self.aligner.units(text) if text else ():
+            codes.extend([unit_of.setdefault(u, len(unit_of)) for u in part])
+        self.codes.append(np.frombuffer(codes, np.uint32))
         self.ids.append(doc_id)
-        self.totals.append(n)
         self.size += len(text or "")
 
     def row(self) -> pa.RecordBatch:
+        names = list(self.unit_of)
+        good, totals, shown, same_parts, other_parts = [], [], [], [], []
+        for base in range(0, len(names), ALIGNED):
+            links = self.aligner.align(names[base:base + ALIGNED])
+            good.append(links.good)
+            totals.append(links.totals)
+            shown += links.shown
+            same_parts.append((links.same[0] + base, *links.same[1:]))
+            other_parts.append((links.others[0] + base, *links.others[1:]))
+        good = np.concatenate(good) if good else np.zeros(0, bool)
+        totals = np.concatenate(totals) if totals else np.zeros((0, 4), np.int64)
+        (same_unit, same_flat, same_times), (pair_unit, pair_flat, pair_times) = (
+            [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3 for parts in (same_parts, other_parts))
+        n_same, n_pair = (np.bincount(x, minlength=len(names)) for x in (same_unit, pair_unit))
+        self.codes = [c if good[c].all() else c[:0] for c in self.codes]
+        n_codes = np.array([len(c) for c in self.codes], np.int64)
+        sums = np.array([totals[c].sum(axis=0) for c in self.codes], np.int64).reshape(-1, 4)
+        hashes = []
+        for c in self.codes:
+            h = hashlib.sha256()
+            for at in range(0, len(c), 65536):
+                h.update((b";" if at else b"") + b";".join(map(shown.__getitem__, c[at:at + 65536].tolist())))
+            hashes.append(h.digest())
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint32)
-        n_codes = np.array(self.n_codes, np.int64)
-        same = [list(u[5]) for u in self.units]
-        others = [list(u[6]) for u in self.units]
-        n_same, n_pair = (np.array([len(x) for x in y], np.int64) for y in (same, others))
-        same_flat = np.array([i for x in same for i in x], np.int64)
-        pair_flat = np.array([i for x in others for i in x], np.int64)
         pairs, pair_at = np.unique(pair_flat, return_inverse=True)
         # distinct units of a document, then the distinct pairs of those: how many documents hold each
         doc = np.repeat(np.arange(len(n_codes)), n_codes)
@@ -271,9 +301,9 @@ class Block:
         same_ids = np.flatnonzero(counts[1])
         values = {
             "ids": np.array([x or 0 for x in self.ids], np.int64), "known": np.array([x is not None for x in self.ids], np.uint8),
-            "totals": np.array(self.totals, np.int64), "hashes": b"".join(self.hashes), "codes": codes, "n_codes": n_codes.astype(np.uint32),
-            "same": same_flat.astype(np.uint32), "same_times": np.array([i for u in self.units for i in u[5].values()], np.int64), "n_same": n_same.astype(np.uint32),
-            "pair_at": pair_at.astype(np.uint32), "pair_times": np.array([i for u in self.units for i in u[6].values()], np.int64), "n_pair_at": n_pair.astype(np.uint32),
+            "totals": sums, "hashes": b"".join(hashes), "codes": codes, "n_codes": n_codes.astype(np.uint32),
+            "same": same_flat.astype(np.uint32), "same_times": same_times, "n_same": n_same.astype(np.uint32),
+            "pair_at": pair_at.astype(np.uint32), "pair_times": pair_times, "n_pair_at": n_pair.astype(np.uint32),
             "pairs": pairs, "pair_docs": counts[0].astype(np.uint32), "same_docs": counts[1][same_ids].astype(np.uint32), "same_doc_ids": same_ids.astype(np.uint32)}
         return pa.RecordBatch.from_arrays([pa.array([values[c] if isinstance(values[c], bytes) else values[c].tobytes()], pa.binary()) for c in _KINDS], names=list(_KINDS))
 
