@@ -49,10 +49,10 @@ from pyspark.sql import functions as F
 from .common import write_table
 from .packing import FAST, UNSAFE, Words
 
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: Characters of a text that are cut into units at a time, and units that are aligned at a time.
 PIECE = 1 << 20
-ALIGNED = 50_000
+ALIGNED = 20_000
 #: A unit begins with a space whose preceding character is no space of any kind.
 UNIT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
 CUT = re.compile(r"(?<=\S) ")
