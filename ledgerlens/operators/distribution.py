@@ -13,9 +13,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .profile import present_of
+
 
 def _vals(df: DataFrame, metric: str) -> DataFrame:
-    return df.select(F.col(f"`{metric}`").cast("double").alias("v")).filter(F.col("v").isNotNull())
+    return df.select(present_of(df, metric).cast("double").alias("v")).filter(F.col("v").isNotNull())
 
 
 def histogram(df: DataFrame, metric: str, bins: int = 25) -> DataFrame:

@@ -22,11 +22,12 @@ def class_accuracy(results: DataFrame, expected: str, actual: str, suite: str) -
     ok = (F.col(expected) == F.col(actual)).cast("long")
     g = (results.rollup(expected)
          .agg(F.coalesce(F.sum(ok), F.lit(0)).alias("hits"), F.count(F.lit(1)).alias("total"), F.grouping_id().alias("_all")))
-    part = g.select(F.when(F.col("_all") == 1, F.lit("all"))
+    part = g.select((F.col("_all") == 1).alias("_all"), F.when(F.col("_all") == 1, F.lit("all"))
                     .otherwise(F.coalesce(F.col(expected).cast("string"), F.lit("unlabelled"))).alias("slice"), "hits", "total")
-    # rollup over an empty input yields no grand-total row: a zero row is added to it
-    zero = results.sparkSession.createDataFrame([("all", 0, 0)], "slice string, hits long, total long")
-    both = part.unionByName(zero).groupBy("slice").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
+    # rollup over an empty input yields no grand-total row: a zero row is added to it.
+    # A class that is itself named "all" stays a row of its own
+    zero = results.sparkSession.createDataFrame([(True, "all", 0, 0)], "_all boolean, slice string, hits long, total long")
+    both = part.unionByName(zero).groupBy("_all", "slice").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
     return both.select(F.lit(suite).alias("suite"), "slice", _rate(F.col("hits"), F.col("total")).alias("value"), "hits", "total")
 
 

@@ -8,11 +8,22 @@ metadata, not data.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, NumericType, StringType
 
-HIDDEN_PREFIX = "_"  # helper columns such as _row_id are not profiled
+#: The row order that the CSV source adds; every other column is data, whatever its name.
+ROW_ORDER = "_row_id"
+
+
+def present(col: Column, dtype: DataType) -> Column:
+    """The column with NaN read as missing, as a metrics table means it."""
+    return F.nanvl(col, F.lit(None).cast(dtype)) if isinstance(dtype, (DoubleType, FloatType)) else col
+
+
+def present_of(df: DataFrame, name: str) -> Column:
+    return present(F.col(f"`{name}`"), df.schema[name].dataType)
 
 
 def column_kind(dtype) -> str:
@@ -26,7 +37,7 @@ def column_kind(dtype) -> str:
 
 
 def visible_fields(df: DataFrame):
-    return [f for f in df.schema.fields if not f.name.startswith(HIDDEN_PREFIX)]
+    return [f for f in df.schema.fields if f.name != ROW_ORDER]
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -58,7 +69,7 @@ def profile(df: DataFrame) -> DataFrame:
     """
     fields = visible_fields(df)
     aggs = [F.count(F.lit(1)).alias("__rows")] + [
-        F.count(F.col(f"`{f.name}`")).alias(f"__nn{i}") for i, f in enumerate(fields)]
+        F.count(present(F.col(f"`{f.name}`"), f.dataType)).alias(f"__nn{i}") for i, f in enumerate(fields)]
     one = df.agg(*aggs)
     structs = [
         F.struct(
@@ -117,7 +128,7 @@ def column_samples(df: DataFrame, order_col: str, n: int = 3) -> DataFrame:
     fields = visible_fields(df)
     pairs = F.array(*[
         F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("ordinal"),
-                 F.col(f"`{f.name}`").cast("string").alias("value"))
+                 present(F.col(f"`{f.name}`"), f.dataType).cast("string").alias("value"))
         for i, f in enumerate(fields)])
     long = (df.select(F.col(order_col).alias("_ord"), F.inline(pairs))
             .filter(F.col("value").isNotNull()))
@@ -130,9 +141,9 @@ def column_samples(df: DataFrame, order_col: str, n: int = 3) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None,
-                    limit: int = 8, exact_median: bool = True) -> DataFrame:
-    """Count, mean, median, min, max, sample std for the first ``limit``
-    numeric columns.
+                    limit: int | None = None, exact_median: bool = True) -> DataFrame:
+    """Count, mean, median, min, max, sample std of every numeric column
+    (of the first ``limit``, if a display asks for fewer).
 
     One aggregation gives count/mean/min/max/std of all columns (NaN counts as
     missing); exact medians come from ``quantiles``. ``exact_median=False``
@@ -166,25 +177,28 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None,
 def chart_categoricals(df: DataFrame, max_unique: int = 50) -> DataFrame:
     """Categorical columns with 1 < distinct non-null values <= max_unique.
 
-    Pass 1 is a HyperLogLog sketch per column (partial aggregate, fixed
-    memory). Only columns the sketch cannot rule out get an exact distinct
-    count in pass 2, and those have few values by construction.
+    One pass. A task holds at most ``max_unique + 1`` values of a column, which
+    is enough to know that a column has more; those few rows are shuffled and
+    counted exactly. A column with more values than that sends as many from every task,
+    whatever its number of distinct values.
     """
     cats = categorical_columns(df)
     if not cats:
         return df.sparkSession.createDataFrame([], "column string, ordinal int, n_unique long")
     ordinals = {f.name: i for i, f in enumerate(visible_fields(df))}
-    approx = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"d{i}")
-                      for i, c in enumerate(cats)]).first()
-    candidates = [c for i, c in enumerate(cats) if approx[f"d{i}"] <= 2 * max_unique + 10]
-    if not candidates:
-        return df.sparkSession.createDataFrame([], "column string, ordinal int, n_unique long")
-    # collect_set is safe here: the sketch bounds each candidate to ~100 values,
-    # and it stays a partial aggregate (no Expand of rows per distinct column).
-    exact = df.agg(*[F.size(F.collect_set(F.col(f"`{c}`"))).alias(f"e{i}")
-                     for i, c in enumerate(candidates)])
-    out = _long(exact, [
-        F.struct(F.lit(c).alias("column"), F.lit(ordinals[c]).alias("ordinal"),
-                 F.col(f"e{i}").cast("long").alias("n_unique"))
-        for i, c in enumerate(candidates)])
-    return out.filter((F.col("n_unique") > 1) & (F.col("n_unique") <= max_unique))
+
+    def run(batches):
+        seen: list[set[str]] = [set() for _ in cats]
+        for batch in batches:
+            for values, column in zip(seen, batch.columns, strict=True):
+                if len(values) <= max_unique:
+                    new = column.unique().drop_null().to_pylist()
+                    values.update(new[:max_unique + 1])
+        rows = [(i, v) for i, values in enumerate(seen) for v in values]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.string())], names=["at", "value"])
+
+    counts = (df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cats)]).mapInArrow(run, "at int, value string")
+              .groupBy("at").agg(F.count_distinct("value").alias("n_unique")))
+    names = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(ordinals[c]).alias("ordinal")) for c in cats])
+    return (counts.filter((F.col("n_unique") > 1) & (F.col("n_unique") <= max_unique))
+            .select(names[F.col("at")].alias("c"), "n_unique").select("c.column", "c.ordinal", "n_unique"))

@@ -73,7 +73,7 @@ def insights(table: DataFrame, chart_cat: str | None = None) -> DataFrame:
 
 
 def report_lines(generated_on: str, corpus: DataFrame | None, table: DataFrame | None,
-                 verdicts: DataFrame | None, key_metric_limit: int = 8) -> DataFrame:
+                 verdicts: DataFrame | None, key_metric_limit: int | None = None) -> DataFrame:
     """Markdown report as (line_no, line).
 
     ``corpus``: one row (pages, characters, chunks); ``table``: the metrics

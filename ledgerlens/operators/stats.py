@@ -2,7 +2,7 @@
 analysis entry point (L2).
 
 pandas conventions kept: the sum of an all-null column is 0, ``groupby`` drops
-null keys, std is the sample std.
+null keys, std is the sample std, NaN is a missing value.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import with_row_index
-from .profile import _long, numeric_columns
+from .profile import _long, numeric_columns, present_of
 
 _AGGS = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
@@ -32,7 +32,7 @@ def column_stat(df: DataFrame, fn: str, columns: list[str] | None = None,
     """A1-A4: one statistic for every numeric column (or the given ones), one pass."""
     cols = columns if columns is not None else numeric_columns(df)
     agg = _AGGS[fn]
-    one = df.agg(*[agg(_c(c)).alias(f"v{i}") for i, c in enumerate(cols)])
+    one = df.agg(*[agg(present_of(df, c)).alias(f"v{i}") for i, c in enumerate(cols)])
     return _long(one, [F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
                                 F.col(f"v{i}").cast("double").alias(value_name))
                        for i, c in enumerate(cols)])
@@ -48,7 +48,7 @@ def grouped(df: DataFrame, key: str, metric: str, fn: str = "sum",
     name = value_name or metric
     return (df.filter(_c(key).isNotNull())
             .groupBy(_c(key).alias(key))
-            .agg(_AGGS[fn](_c(metric)).cast("double").alias(name)))
+            .agg(_AGGS[fn](present_of(df, metric)).cast("double").alias(name)))
 
 
 def grouped_top(df: DataFrame, key: str, metric: str, fn: str = "sum", n: int | None = 10,
@@ -73,24 +73,26 @@ def share_of_total(top: DataFrame, value: str, out: str = "share") -> DataFrame:
     return top.withColumn(out, F.col(value) / F.sum(value).over(Window.partitionBy()))
 
 
-def metric_cards(df: DataFrame, limit: int = 4) -> DataFrame:
-    """Total and non-null count of the first ``limit`` numeric columns."""
+def metric_cards(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Total and non-null count of every numeric column (of the first
+    ``limit``, if a display asks for fewer)."""
     cols = numeric_columns(df)[:limit]
     one = df.agg(*[x for i, c in enumerate(cols)
-                   for x in (F.coalesce(F.sum(_c(c)), F.lit(0)).cast("double").alias(f"t{i}"),
-                             F.count(_c(c)).alias(f"n{i}"))])
+                   for x in (F.coalesce(F.sum(present_of(df, c)), F.lit(0)).cast("double").alias(f"t{i}"),
+                             F.count(present_of(df, c)).alias(f"n{i}"))])
     return _long(one, [F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
                                 F.col(f"t{i}").alias("total"), F.col(f"n{i}").alias("non_null"))
                        for i, c in enumerate(cols)])
 
 
-def key_metrics(df: DataFrame, limit: int = 8) -> DataFrame:
-    """Total, mean and max of the first ``limit`` numeric columns."""
+def key_metrics(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Total, mean and max of every numeric column (of the first ``limit``,
+    if a display asks for fewer)."""
     cols = numeric_columns(df)[:limit]
     one = df.agg(*[x for i, c in enumerate(cols)
-                   for x in (F.coalesce(F.sum(_c(c)), F.lit(0)).cast("double").alias(f"t{i}"),
-                             F.avg(_c(c)).alias(f"m{i}"),
-                             F.max(_c(c)).cast("double").alias(f"x{i}"))])
+                   for x in (F.coalesce(F.sum(present_of(df, c)), F.lit(0)).cast("double").alias(f"t{i}"),
+                             F.avg(present_of(df, c)).alias(f"m{i}"),
+                             F.max(present_of(df, c)).cast("double").alias(f"x{i}"))])
     return _long(one, [F.struct(F.lit(c).alias("column"), F.lit(i).alias("ordinal"),
                                 F.col(f"t{i}").alias("total"), F.col(f"m{i}").alias("mean"),
                                 F.col(f"x{i}").alias("max"))
@@ -98,8 +100,8 @@ def key_metrics(df: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
-    """A10: Pearson correlation of two metrics."""
-    return df.agg(F.corr(_c(a).cast("double"), _c(b).cast("double")).alias("correlation"))
+    """A10: Pearson correlation of two metrics, over rows that have both."""
+    return df.agg(F.corr(present_of(df, a).cast("double"), present_of(df, b).cast("double")).alias("correlation"))
 
 
 _OPS = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__", "==": "__eq__", "!=": "__ne__"}
@@ -124,7 +126,7 @@ def normalised_series(df: DataFrame, metric: str, order_col: str) -> DataFrame:
     Positions come from the distributed prefix count (no global window); the
     min/max/count are one-row scalar subqueries.
     """
-    vals = df.select(F.col(order_col).alias("_ord"), _c(metric).cast("double").alias("value")) \
+    vals = df.select(F.col(order_col).alias("_ord"), present_of(df, metric).cast("double").alias("value")) \
              .filter(F.col("value").isNotNull())
     stats = vals.agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
                      F.count(F.lit(1)).alias("n"))
@@ -139,6 +141,31 @@ def normalised_series(df: DataFrame, metric: str, order_col: str) -> DataFrame:
                     ((F.col("value") - lo) / rng).alias("y")))
 
 
+def series_points(series: DataFrame, points: int) -> DataFrame:
+    """T7 for long series: at most ``points`` rows of a normalised series, so
+    that a chart shows every peak.
+
+    The positions fall into ``points // 4`` ranges of equal width; of each, the
+    first, last, lowest and highest row stay (ties: the first). A range is one
+    partial aggregate a task, so ``points`` rows a task are shuffled at most.
+    A series of no more than ``points`` rows stays whole.
+    """
+    if points < 4:
+        raise ValueError("a range keeps four rows: at least 4 points")
+    ranges = points // 4
+    n = series.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    row = F.struct("position", "value", "x", "y")
+    by_value = F.struct(F.col("value").alias("v"), F.col("position").alias("p"), row.alias("row"))
+    by_value_last = F.struct(F.col("value").alias("v"), (-F.col("position")).alias("p"), row.alias("row"))
+    # the range of a row; in a series that stays whole, every row is its own
+    part = F.when(n <= points, F.col("position")).otherwise(F.floor(F.col("position") * ranges / n))
+    kept = series.withColumn("part", part).groupBy("part").agg(
+        F.min(row).alias("first"), F.max(row).alias("last"),
+        F.min(by_value).alias("low"), F.max(by_value_last).alias("high"))
+    rows = F.array_distinct(F.array("first", "last", F.col("low.row"), F.col("high.row")))
+    return kept.select(F.inline(rows))
+
+
 def analyse(df: DataFrame, spec: dict) -> DataFrame:
     """L2: a typed analysis request instead of generated code.
 

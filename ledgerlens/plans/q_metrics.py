@@ -154,7 +154,7 @@ def q_column_samples(spark, sf):
     f"round(CAST(max({c}) AS DOUBLE), 4) AS max, round(stddev_samp({c}), 4) AS std FROM lineitem"
     for i, c in enumerate(LINEITEM_NUMERIC)]))
 def q_numeric_summary(spark, sf):
-    return rnd(P.numeric_summary(Tables(spark, sf).lineitem), 4)
+    return rnd(P.numeric_summary(Tables(spark, sf).lineitem, limit=8), 4)
 
 
 _PART_CAT = [("p_name", 1), ("p_brand", 2), ("p_type", 3)]
@@ -340,3 +340,19 @@ def q_series(spark, sf):
     out = S.normalised_series(Tables(spark, sf).events, "value", "event_id")
     return out.select("position", F.round("value", 4).alias("value"), F.round("x", 6).alias("x"),
                       F.round("y", 6).alias("y"))
+
+
+@query("series_points", """
+WITH v AS (SELECT event_id, value FROM events WHERE value IS NOT NULL),
+s AS (SELECT min(value) AS lo, max(value) AS hi, count(*) AS n FROM v),
+p AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS position, value FROM v),
+r AS (SELECT position, value, position / (n - 1) AS x, (value - lo) / CASE WHEN hi - lo = 0 THEN 1.0 ELSE hi - lo END AS y,
+             CASE WHEN n <= 400 THEN position ELSE floor(position * 100 / n) END AS part FROM p, s WHERE n >= 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY position) AS a, row_number() OVER (PARTITION BY part ORDER BY position DESC) AS b,
+             row_number() OVER (PARTITION BY part ORDER BY value, position) AS c, row_number() OVER (PARTITION BY part ORDER BY value DESC, position) AS d FROM r)
+SELECT position, round(value, 4) AS value, round(x, 6) AS x, round(y, 6) AS y FROM k WHERE 1 IN (a, b, c, d)
+""")
+def q_series_points(spark, sf):
+    series = S.normalised_series(Tables(spark, sf).events, "value", "event_id")
+    out = S.series_points(series, 400)
+    return out.select("position", F.round("value", 4).alias("value"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -210,10 +210,44 @@ def q_answer_questions(spark, sf):
                     .alias("groups"))
 
 
-@query("clean_responses", None)
+#: What a stored reply looks like (by conversation and turn, modulo their number; null: the
+#: turn's own text), and what must come out of it: intent, confidence, reasoning. A null intent
+#: stands for the keyword route of the question.
+FALLBACK_REASON = "Keyword fallback (LLM parse error)."
+REPLIES = [
+    (None, (None, 0.5, FALLBACK_REASON)),
+    ('{"intent": "CSV", "confidence": 0.9, "reasoning": "numbers"}', ("csv", 0.9, "numbers")),
+    ('```json\n{"intent": "pdf", "confidence": 1.7}\n```', ("pdf", 1.0, "")),
+    ('{"intent": "maybe", "confidence": -0.5, "reasoning": "unsure"}', (None, 0.0, "unsure")),
+    ('  {"confidence": 0.25, "other": [1, 2]}  ', ("pdf", 0.25, "")),
+    ('```\n{"intent": "both"}\n```', ("both", 0.8, "")),
+    ('{"intent": "csv", "confidence": null}', (None, 0.5, FALLBACK_REASON)),
+    ('["csv", 0.9]', (None, 0.5, FALLBACK_REASON)),
+    ('{"intent": "csv", "confidence": 0.9', (None, 0.5, FALLBACK_REASON)),
+]
+
+
+def _replies_sql() -> str:
+    """The expected outcome of each kind of reply, without parsing any."""
+    kind = f"((conv_id + turn) % {len(REPLIES)} + {len(REPLIES)}) % {len(REPLIES)}"
+
+    def case(pick) -> str:
+        return f"CASE {kind} " + " ".join(f"WHEN {i} THEN {pick(out)}" for i, (_, out) in enumerate(REPLIES)) + " END"
+
+    return f"""
+SELECT conv_id, turn, {case(lambda o: _sq(o[0]) if o[0] else sql_route('question'))} AS intent,
+  CAST({case(lambda o: o[1])} AS DOUBLE) AS confidence, {case(lambda o: _sq(o[2]))} AS reasoning
+FROM (SELECT a.conv_id, a.turn, u.text AS question FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn
+      WHERE a.role = 'assistant' AND u.role = 'user')
+"""
+
+
+@query("clean_responses", _replies_sql())
 def q_clean_responses(spark, sf):
     cv = Tables(spark, sf).conversations
-    ans = cv.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("raw"))
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(REPLIES)))
+    raw = F.coalesce(F.element_at(F.array(*[F.lit(r).cast("string") for r, _ in REPLIES]), (kind + 1).cast("int")), F.col("text"))
+    ans = cv.filter(F.col("role") == "assistant").select("conv_id", "turn", raw.alias("raw"))
     usr = cv.filter(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"),
                                                     F.col("text").alias("question"))
     pairs = ans.join(usr, ["conv_id", "turn"])
