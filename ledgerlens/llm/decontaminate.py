@@ -18,7 +18,7 @@ several blocks each is one pass, which carries the spans found so far in a
 table. No document meets another, so copies and hot passages cannot skew it.
 
 Edge cases: a null or empty text has no words and no hits; items without
-words, or with a null id, have no windows; repeated items count once by id;
+words have no windows; windows of items with a null id hit, but name no item; repeated items count once by id;
 repeated documents each get their own row; extra columns pass through, those
 named like an output column are replaced; an empty benchmark hits nothing.
 """
@@ -56,7 +56,7 @@ def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
                                              names=["item", "win"])
 
     return (benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-            .filter("item IS NOT NULL AND text IS NOT NULL")
+            .filter("text IS NOT NULL")
             .mapInArrow(run, "item string, win binary").distinct())
 
 
@@ -84,24 +84,23 @@ def rarity_index(pairs: list[tuple[str, bytes]], counts: dict[bytes, int]) -> di
     return {w: {k: dict(v) for k, v in by.items()} for w, by in index.items()}
 
 
-def _mark(docs: DataFrame, index, text_col: str) -> DataFrame:
-    """Adds what one block of windows finds: _n words, _spans (start, end), _items."""
+def _mark(docs: DataFrame, index, text_col: str, names: list[str], first: bool) -> DataFrame:
+    """Adds what one block of windows finds, under ``names``: words, spans (start, end), items."""
     spans_t = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
     arrow_spans = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-    fields = [T.StructField("_n", T.LongType()), T.StructField("_spans", spans_t),
-              T.StructField("_items", T.ArrayType(T.StringType()))]
+    kinds = (T.LongType(), spans_t, T.ArrayType(T.StringType()))
+    fields = [T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]
 
     def make():
         table = index.value
 
         def compute(batch):
             n_words, spans, items = [], [], []
-            before = batch.schema.get_field_index("_spans") >= 0
-            old = zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True) if before else None
+            old = None if first else zip(batch.column(names[1]).to_pylist(), batch.column(names[2]).to_pylist(), strict=True)
             for text in texts(batch, text_col):
                 words = alnum_words(text)
-                found, names = next(old) if old else ([], [])
-                found, names = list(found), set(names)
+                found, known = next(old) if old else ([], [])
+                found, known = list(found), set(known)
                 for at in [i for i, w in enumerate(words) if w in table]:
                     for (offset, size), wins in table[words[at]].items():
                         start = at - offset
@@ -110,10 +109,10 @@ def _mark(docs: DataFrame, index, text_col: str) -> DataFrame:
                         hit = wins.get(b" ".join(words[start:start + size]))
                         if hit:
                             found.append({"s": start, "e": start + size})
-                            names.update(hit)
+                            known.update(x for x in hit if x is not None)
                 n_words.append(len(words))
                 spans.append(found)
-                items.append(sorted(names))
+                items.append(sorted(known))
             return [pa.array(n_words, pa.int64()), pa.array(spans, arrow_spans), pa.array(items, pa.list_(pa.string()))]
 
         return compute
@@ -121,6 +120,17 @@ def _mark(docs: DataFrame, index, text_col: str) -> DataFrame:
     return add_columns(docs, fields, make)
 
 
+def free_names(taken: list[str], wanted: list[str]) -> list[str]:
+    """``wanted``, with underscores added until no name is taken in any spelling."""
+    taken = {t.lower() for t in taken}
+    out = []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def covered(spans: Column) -> Column:
     """Length of the union of (s, e) spans."""
     zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
@@ -138,23 +148,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     wins = write_table(windows(benchmark, item_col, item_text_col, size), "bench-windows")
     blocks = max(1, -(-wins.count() // block_windows))
     out, held = docs, None
+    names = free_names(docs.columns, ["_n", "_spans", "_items"])
     for b in range(blocks):
         # at most about block_windows rows: a block of a stated query set
         pairs = [(r["item"], bytes(r["win"])) for r in
                  wins.filter(F.pmod(F.xxhash64("item", "win"), F.lit(blocks)) == b).collect()]
         vocabulary = spark.sparkContext.broadcast(frozenset(w for _, win in pairs for w in win.split(b" ")))
         counts = {bytes(r["word"]): r["n"] for r in word_counts(docs, vocabulary, text_col).collect()} if pairs else {}
-        out = _mark(out, spark.sparkContext.broadcast(rarity_index(pairs, counts)), text_col)
+        out = _mark(out, spark.sparkContext.broadcast(rarity_index(pairs, counts)), text_col, names, b == 0)
         if b + 1 < blocks:
             out, last = write_table(out, "bench-marks"), held
             if last is not None:
                 drop_table(last)
             held = out
     drop_table(wins)
-    return (out.withColumn("n_words", F.col("_n"))
-            .withColumn("n_hit", covered(F.col("_spans")))
-            .withColumn("n_items", F.size("_items").cast("long"))
-            .withColumn("items", F.col("_items"))
-            .withColumn("items_sha256", F.sha2(F.array_join("_items", ",").cast("binary"), 256))
+    n, spans, items = names
+    return (out.withColumn("n_words", F.col(n))
+            .withColumn("n_hit", covered(F.col(spans)))
+            .withColumn("n_items", F.size(items).cast("long"))
+            .withColumn("items", F.col(items))
+            .withColumn("items_sha256", F.sha2(F.array_join(items, ",").cast("binary"), 256))
             .withColumn("contaminated", F.col("n_hit") > 0)
-            .drop("_n", "_spans", "_items"))
+            .drop(*names))

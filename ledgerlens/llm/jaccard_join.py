@@ -117,6 +117,17 @@ def fingerprints(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray,
     return n, f, g
 
 
+def parity_bits(doc: np.ndarray, h: np.ndarray, docs: int, step: int = 512) -> np.ndarray:
+    """Packed bitmaps of the documents, ``step`` of them at a time: whether an odd number of members falls on a bit."""
+    out = np.zeros((docs, BITS // 8), np.uint8)
+    for lo in range(0, docs, step):
+        n = min(step, docs - lo)
+        a, b = np.searchsorted(doc, (lo, lo + n))
+        odd = np.bincount((doc[a:b] - lo) * BITS + (h[a:b] % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1
+        out[lo:lo + n] = np.packbits(odd.astype(np.uint8).reshape(n, BITS), axis=1)
+    return out
+
+
 def summaries(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """One row a document (doc_id, n, f, g, bits, and the columns after the text),
     and per task the sketch's segments (n = -1 - segment, bits: counts)."""
@@ -131,8 +142,7 @@ def summaries(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 doc, h = shingle_sets(data, offsets, width)
                 cells += np.bincount((h >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.uint32)
                 n, f, g = fingerprints(doc, h, size)
-                parity = np.bincount(doc * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=size * BITS) & 1
-                packed = np.packbits(parity.reshape(size, BITS).astype(np.uint8), axis=1)
+                packed = parity_bits(doc, h, size)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(base, size), pa.array(n, pa.int64()), pa.array(f.view(np.int64)),
                      pa.array(g.view(np.int64)), pa.array([x.tobytes() for x in packed], pa.binary()),

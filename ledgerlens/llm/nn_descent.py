@@ -44,7 +44,7 @@ ROUNDS = 6
 #: Rounds end when fewer than this share of all neighbours is new.
 STILL = 0.05
 BEAM = 32
-OPENED = 8
+OPENED = 16
 HOPS = 16
 ENTRIES = 256
 

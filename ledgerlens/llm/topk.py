@@ -18,8 +18,9 @@ query over all its blocks, and only those are shuffled.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take
 no part, nor do rows without an id; vectors of different lengths are compared
-as if the shorter one ended in zeros; repeated rows of one id count once (the
-smallest vector); fewer than k candidates give fewer ranks; no queries or an
+as if the shorter one ended in zeros; rows that share an id are
+candidates and queries each, and none of them is a candidate of its own id's queries; components whose
+products could leave 64 bits raise an error; fewer than k candidates give fewer ranks; no queries or an
 empty table give no rows; extra columns are ignored.
 """
 
@@ -126,19 +127,23 @@ def search_block(best: Best, ids: np.ndarray, rows: np.ndarray, query_ids: np.nd
     rows, queries = fitted(rows, width), fitted(queries, width)
     index = ImpactIndex(ids, rows)
     few = max(4 * k, len(ids) // 64)
+    largest = [int(np.abs(x).max(initial=0)) for x in (rows, queries)]
+    if width * largest[0] * largest[1] >= 2**63:
+        raise ValueError("inner products of these vectors can leave 64 bits")
+    in_order = np.sort(ids)
+    own = np.searchsorted(in_order, query_ids, "right") - np.searchsorted(in_order, query_ids, "left")
     for q in range(len(query_ids)):
-        # one more than k: the query's own row does not count
-        keep = index.possible(queries[q], k + 1, best.threshold(q), few)
+        # rows of the query's own id do not count
+        keep = index.possible(queries[q], min(k + int(own[q]), len(ids)), best.threshold(q), few)
         keep = keep[ids[keep] != query_ids[q]]
         best.add(q, ids[keep], rows[keep] @ queries[q])
 
 
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): one usable vector for each id."""
+    """(id, v): the rows with usable vectors."""
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-            .filter(F.col("id").isNotNull() & F.col("v").isNotNull() & usable)
-            .groupBy("id").agg(F.min("v").alias("v")))
+            .filter(F.col("id").isNotNull() & F.col("v").isNotNull() & usable))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",

@@ -149,11 +149,11 @@ def test_decontaminate(spark, docs, rows, block):
         for item, text in items:
             w = alnum_words(text.encode() if text else None)
             k = min(10, len(w))
-            windows = {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w and item is not None else set()
+            windows = {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set()
             for i in range(len(words) - k + 1):
                 if tuple(words[i:i + k]) in windows:
                     hit.update(range(i, i + k))
-                    names.add(str(item))
+                    names.update([str(item)] if item is not None else [])
         want[r[0], len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit), r[5]] += 1
     assert sum(k[5] for k in want)
     assert got(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "score") == want
@@ -244,13 +244,29 @@ def test_topk(spark):
     vectors = [(i, [float(x) for x in rng.normal(size=8 if i % 9 else 5)]) for i in range(400)]
     vectors += [(i, vectors[50][1]) for i in range(400, 430)] + [(430, None), (431, [1.0, None]), (432, [float("inf")]), (433, []), (None, [1.0]), vectors[100]]
     out = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0, k=5, block_rows=97, query_block=4)
-    ints = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in vectors
-            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    want = set()
-    for q in (i for i in ints if i % 50 == 0):
-        ranked = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)
-        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked[:5])}
-    assert set(got(out, "query_id", "rank", "vec_id", "score")) == want
+    ints = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = Counter()
+    for q in {i for i, _ in ints if i % 50 == 0}:
+        ranked = sorted((-sum(a * b for a, b in zip(own, v)), i) for o, own in ints if o == q for i, v in ints if i != q)
+        want += Counter((q, n + 1, i, -s) for n, (s, i) in enumerate(ranked[:5]))
+    assert got(out, "query_id", "rank", "vec_id", "score") == want
+
+
+def test_topk_of_rows_that_share_an_id(spark):
+    rows = [(50, [1.0]), (50, [3.0]), (1, [1.0]), (1, [2.0]), (2, [1.5])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, k=3)
+    assert got(out, "query_id", "rank", "vec_id", "score") == Counter([(50, 1, 1, 6 * 256**2), (50, 2, 2, 4.5 * 256**2), (50, 3, 1, 3 * 256**2)])
+    with pytest.raises(Exception, match="leave 64 bits"):
+        topk.top_k(spark.createDataFrame([(50, [3e9]), (1, [3e9])], "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
+
+
+def test_decontaminate_with_null_items_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, "x", [1])], "doc_id long, text string, _spans int, _N string, _items array<int>")
+    bench = spark.createDataFrame([(None, "B")], "item_id long, text string")
+    row = dec.decontaminate(docs, bench).first()
+    assert (row["n_words"], row["n_hit"], row["n_items"], row["contaminated"]) == (3, 1, 0, True)
+    assert (row["_spans"], row["_N"], row["_items"]) == (7, "x", [1])
 
 
 # -- 6 language ID ------------------------------------------------------------
