@@ -49,10 +49,12 @@ from pyspark.sql import functions as F
 from .common import write_table
 from .packing import FAST, UNSAFE, Words
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Characters of a text that are cut into units at a time, and units that are aligned at a time.
 PIECE = 1 << 20
-ALIGNED = 20_000
+ALIGNED = 10_000
+#: Words whose A ids a worker keeps from one block to the next.
+KEPT_WORDS = 30_000
 #: A unit begins with a space whose preceding character is no space of any kind.
 UNIT = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
 CUT = re.compile(r"(?<=\S) ")
@@ -212,6 +214,11 @@ class Aligner:
         end = np.cumsum(end)
         return [text[i:j - 1] if j > i else b"" for i, j in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
 
+    def forget(self) -> None:
+        """A worker serves many tasks: its words stay bounded between blocks."""
+        if len(self.words) > KEPT_WORDS:
+            self.words = Words(self.words._merge)
+
     def units(self, text: str):
         """The units of a space and ``text``, a list a piece."""
         text = " " + text
@@ -262,6 +269,7 @@ class Block:
             shown += links.shown
             same_parts.append((links.same[0] + base, *links.same[1:]))
             other_parts.append((links.others[0] + base, *links.others[1:]))
+        self.aligner.forget()
         good = np.concatenate(good) if good else np.zeros(0, bool)
         totals = np.concatenate(totals) if totals else np.zeros((0, 4), np.int64)
         (same_unit, same_flat, same_times), (pair_unit, pair_flat, pair_times) = (
