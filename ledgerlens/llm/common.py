@@ -39,6 +39,12 @@ def space_words(text: bytes | None) -> list[bytes]:
     return text.translate(LOWER).split() if text else []
 
 
+def release_memory() -> None:
+    """Give back the Arrow memory that a finished task has left unused: Python
+    workers are kept for later stages, and so would be what their pools hold."""
+    pa.default_memory_pool().release_unused()
+
+
 def add_columns(df: DataFrame, fields: list[StructField], make: Callable) -> DataFrame:
     """``df`` with computed columns. ``make()`` runs once per task and returns a
     function from an Arrow batch to one array per field. Input columns of the
@@ -52,6 +58,7 @@ def add_columns(df: DataFrame, fields: list[StructField], make: Callable) -> Dat
         compute = make()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + compute(batch), names=names)
+        release_memory()
 
     return df.mapInArrow(run, StructType(kept + fields))
 

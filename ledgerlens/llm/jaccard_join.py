@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_table, n_input_partitions, write_table
+from .common import LOWER, drop_table, n_input_partitions, release_memory, write_table
 from .language_id import _joined
 from .prefix_free import _MULT, _VALUE, _bucket, _bytes_of, _powers, _runs, slices
 
@@ -154,6 +154,7 @@ def summaries(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 [pa.nulls(64, pa.int64()), pa.array(-1 - np.arange(64)), pa.array(zero), pa.array(zero),
                  pa.array([x.astype("<u4").tobytes() for x in parts], pa.binary()),
                  *[pa.nulls(64, pa.int64()) for _ in keys]], names=names)
+        release_memory()
 
     return docs.mapInArrow(run, "doc_id long, n long, f long, g long, bits binary" + "".join(f", {k} long" for k in keys))
 
@@ -265,6 +266,7 @@ def postings(docs: DataFrame, order, light: int, percent: int, buckets: int, wid
                                  place[a:b].astype("<u4").tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        release_memory()
 
     return docs.select("text").mapInArrow(run, _POSTS)
 
@@ -379,6 +381,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
     joined = (pairs.join(texts.select(F.col("f").alias("a"), F.col("text").alias("ta")), "a")
               .join(texts.select(F.col("f").alias("b"), F.col("text").alias("tb")), "b"))
@@ -396,6 +399,7 @@ def _texts_of(docs: DataFrame, flags, width: int) -> DataFrame:
                 _, one = np.unique(f, return_index=True)
                 one = one[np.isin((f[one] >> np.uint64(44)).astype(np.int64), wanted)]
                 yield pa.RecordBatch.from_arrays([pa.array(f[one].view(np.int64)), batch.column("text").take(pa.array(base + one))], names=["f", "text"])
+        release_memory()
 
     return docs.select("text").mapInArrow(run, "f long, text string").groupBy("f").agg(F.min("text").alias("text"))
 
@@ -425,6 +429,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             # |A xor B| <= (100 - percent) / (100 + percent) * (|A| + |B|)
             ok = apart * (100 + percent) <= (100 - percent) * n
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int64())], names=["a", "b", "apart"]).filter(pa.array(ok))
+        release_memory()
 
     return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, apart long")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, held_out
+from .common import add_columns, held_out, release_memory
 
 ORDER = 3
 SAMPLE_DOCS = 300
@@ -62,6 +62,7 @@ def gram_counts(sample: DataFrame, order: int = ORDER) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(grams), pa.string()), pa.array(np.full(len(grams), size, np.int32)),
                          pa.array(grams), pa.array(n.astype(np.int64))], names=["lang", "size", "gram", "n"])
+        release_memory()
 
     return (sample.select("lang", "text").mapInArrow(run, "lang string, size int, gram long, n long")
             .groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
