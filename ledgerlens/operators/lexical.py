@@ -1,17 +1,21 @@
 """Lexical (BM25 Okapi) retrieval as tables and joins.
 
-Index = postings(chunk_id, dl, term, tf), written bucketed by chunk, and a term
+Index = postings(block, chunk_id, dl, term, tf), written bucketed by block (a
+run of chunk ids), the largest weight of each term in each block, and a term
 table (term, df, idf), plus the corpus scalars (N, avgdl, mean idf) as plain
-values. Terms are counted inside the chunk's row, without a shuffle. A search
-joins the question terms to the postings (broadcast while they are small, else
-Spark chooses); as all postings of a chunk are in one bucket, the score of a
-(question, chunk) is summed in its task, and only k rows a question and task
-go to the final ranking.
+values. Terms are counted inside the chunk's row, without a shuffle.
+
+A skipping search bounds before it scores: the block weights of a question's terms
+add up to a bound of its scores in the block. The k blocks of largest bound are
+scored first; their k-th score is a floor of the question's k-th score, so the
+blocks whose bound is below it hold none of its k best and are never scored.
+All postings of a block are in one bucket: bounds and scores are summed in their
+task, and only k rows a question and task go to the final ranking.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
@@ -30,6 +34,10 @@ EPSILON = 0.25
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # A bucket of the index holds about so many tokens.
 BUCKET_TOKENS = 50_000_000
+# A block holds 2**BLOCK_SHIFT chunk ids: smaller blocks have tighter bounds, and more of them.
+BLOCK_SHIFT = 1
+# Ranks compare scores rounded to six digits; twice that also covers the order of a sum.
+ROUNDING = 2e-6
 
 
 @dataclass
@@ -43,12 +51,28 @@ class LexicalIndex:
     avg_idf: float
     buckets: int
     epsilon: float = EPSILON
+    _tops: dict = field(default_factory=dict)
 
     @cached_property
     def postings(self) -> DataFrame:
-        """(chunk_id, dl, term, tf), bucketed by chunk; written at the first search."""
-        kept = write_bucketed(self.rows.repartition(self.buckets, "chunk_id"), "chunk_id", self.buckets, "postings")
-        return kept.select("chunk_id", "dl", F.inline("terms"))
+        """(block, chunk_id, dl, term, tf), bucketed by block; written at the first search."""
+        whole = self.rows.schema["chunk_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+        own = F.shiftright(F.col("chunk_id").cast("long"), BLOCK_SHIFT) if whole else F.pmod(
+            F.xxhash64("chunk_id"), F.lit(max(1, self.n_docs >> BLOCK_SHIFT)))
+        rows = self.rows.select(F.coalesce(own, F.lit(-1)).cast("long").alias("block"), "chunk_id", "dl", "terms")
+        kept = write_bucketed(rows.repartition(self.buckets, "block"), "block", self.buckets, "postings")
+        return kept.select("block", "chunk_id", "dl", F.inline("terms"))
+
+    def weight(self, k1: float, b: float) -> F.Column:
+        """A posting's part of a score, before its question count and idf."""
+        return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(self.avgdl or 1.0)))
+
+    def tops(self, k1: float, b: float) -> DataFrame:
+        """(block, term, top): the largest weight of each term in each block; written once."""
+        if (k1, b) not in self._tops:
+            tops = self.postings.groupBy("block", "term").agg(F.max(self.weight(k1, b)).alias("top"))
+            self._tops[k1, b] = write_bucketed(tops, "block", self.buckets, "tops")
+        return self._tops[k1, b]
 
     @property
     def terms(self) -> DataFrame:
@@ -114,17 +138,63 @@ def question_terms(questions: DataFrame, id_col: str = "question_id",
             .groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
+def _small(df: DataFrame, text: str | None = None) -> DataFrame:
+    """``df``, marked for broadcast if its rows (64 bytes each and ``text``) fit the bound."""
+    held = df.agg(F.sum(F.lit(64) + (F.octet_length(text) if text else F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if held <= MAX_BROADCAST_BYTES else df
+
+
+def _weighted(index: LexicalIndex, questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(question_id, term, qtf, idf), written once."""
+    asked = question_terms(questions, id_col, text_col)
+    return cut_lineage(asked.join(index.terms.select("term", "idf"), "term"), "question-terms")
+
+
+def _sums(index: LexicalIndex, hits: DataFrame, k1: float, b: float) -> DataFrame:
+    part = F.col("qtf") * F.col("idf") * index.weight(k1, b)
+    return hits.groupBy("question_id", "block", "chunk_id").agg(F.sum(part).alias("lexical_score")).drop("block")
+
+
 def score(index: LexicalIndex, questions: DataFrame, id_col: str = "question_id",
           text_col: str = "question", k1: float = K1, b: float = B) -> DataFrame:
     """M2 + J3: BM25 score of every chunk sharing a term with a question."""
-    qt = question_terms(questions, id_col, text_col)
-    weighted = qt.join(index.terms.select("term", "idf"), "term")
-    held = qt.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    qt = F.broadcast(weighted) if held <= MAX_BROADCAST_BYTES else weighted
-    hits = index.postings.join(qt, "term")
-    part = (F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
-            / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl or 1.0))))
-    return hits.groupBy("question_id", "chunk_id").agg(F.sum(part).alias("lexical_score"))
+    terms = _small(_weighted(index, questions, id_col, text_col), "term")
+    return _sums(index, index.postings.join(terms, "term"), k1, b)
+
+
+def block_bounds(index: LexicalIndex, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(question_id, block, bound): no chunk of the block scores more. A term of
+    negative idf adds nothing to the bound."""
+    part = F.greatest(F.col("qtf") * F.col("idf") * F.col("top"), F.lit(0.0))
+    return index.tops(k1, b).join(terms, "term").groupBy("question_id", "block").agg(F.sum(part).alias("bound"))
+
+
+def best_scores(index: LexicalIndex, questions: DataFrame, k: int, id_col: str = "question_id",
+                text_col: str = "question", k1: float = K1, b: float = B) -> DataFrame:
+    """The scores of all chunks that can be among the ``k`` best of a question
+    (a part of ``score``'s rows, with the k best whole and ties at the k-th).
+
+    Bounds and first blocks are written bucketed like the postings, so blocks
+    meet their postings without an exchange."""
+    terms = _small(_weighted(index, questions, id_col, text_col), "term")
+    bounds = write_bucketed(block_bounds(index, terms, k1, b), "block", index.buckets, "bounds")
+
+    def scores(blocks: DataFrame) -> DataFrame:
+        asked = blocks.join(terms, blocks["question_id"].eqNullSafe(terms["question_id"]))
+        asked = asked.select(blocks["question_id"], "block", "term", "qtf", "idf")
+        return _sums(index, index.postings.join(asked, ["block", "term"]), k1, b)
+
+    # every block here shares a term, so k of them hold k scored chunks at least
+    by_bound = Window.partitionBy("question_id").orderBy(F.desc("bound"), "block")
+    first = bounds.withColumn("i", F.row_number().over(by_bound)).filter(F.col("i") <= k).select("question_id", "block")
+    first = write_bucketed(first.repartition(index.buckets, "block"), "block", index.buckets, "first_blocks")
+    by_score = Window.partitionBy("question_id").orderBy(F.desc("lexical_score"))
+    floor = (scores(first).withColumn("i", F.row_number().over(by_score)).filter(F.col("i") == k)
+             .select("question_id", F.col("lexical_score").alias("floor")))
+    floor = _small(cut_lineage(floor, "floors"))
+    can_beat = F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - ROUNDING)
+    left = bounds.join(floor, bounds["question_id"].eqNullSafe(floor["question_id"]), "left").filter(can_beat)
+    return scores(left.select(bounds["question_id"], "block"))
 
 
 def top_k(scored: DataFrame, k: int, score_col: str, rank_col: str, ascending: bool,
@@ -139,7 +209,11 @@ def top_k(scored: DataFrame, k: int, score_col: str, rank_col: str, ascending: b
 
 
 def lexical_topk(index: LexicalIndex, questions: DataFrame, k: int = 10,
-                 id_col: str = "question_id", text_col: str = "question") -> DataFrame:
-    """(question_id, chunk_id, lexical_score, lexical_rank)."""
-    return top_k(score(index, questions, id_col, text_col), k, "lexical_score",
-                 "lexical_rank", ascending=False)
+                 id_col: str = "question_id", text_col: str = "question", skip: bool = False) -> DataFrame:
+    """(question_id, chunk_id, lexical_score, lexical_rank).
+
+    With ``skip``, blocks that cannot hold one of the ``k`` best are not scored.
+    The rows are the same; it pays when frequent terms make the scored pairs
+    many times the bounds."""
+    scored = best_scores(index, questions, k, id_col, text_col) if skip else score(index, questions, id_col, text_col)
+    return top_k(scored, k, "lexical_score", "lexical_rank", ascending=False)

@@ -209,16 +209,28 @@ def q_lexical_stats(spark, sf):
     return idx.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("lexical_topk", f"""
+LEXICAL_SQL = f"""
 WITH {bm25_sql(f'SELECT chunk_id, text FROM ({CHUNKS_SQL})',
                'SELECT item_id AS question_id, text AS question FROM benchmark', 12)}
 SELECT question_id, chunk_id, lexical_score, lexical_rank FROM lex
-""")
-def q_lexical_topk(spark, sf):
+"""
+
+
+def _lexical(spark, sf, skip: bool):
     idx = lexical.build_index(doc_chunks(spark, sf))
     qs = Tables(spark, sf).benchmark.select(F.col("item_id").alias("question_id"),
                                             F.col("text").alias("question"))
-    return _ranked_longs(lexical.lexical_topk(idx, qs, 12), ["lexical_rank"])
+    return _ranked_longs(lexical.lexical_topk(idx, qs, 12, skip=skip), ["lexical_rank"])
+
+
+@query("lexical_topk", LEXICAL_SQL)
+def q_lexical_topk(spark, sf):
+    return _lexical(spark, sf, skip=False)
+
+
+@query("lexical_topk_skipping", LEXICAL_SQL)
+def q_lexical_topk_skipping(spark, sf):
+    return _lexical(spark, sf, skip=True)
 
 
 @query("dense_topk", f"""

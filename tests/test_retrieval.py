@@ -98,9 +98,55 @@ def test_dense_equal_vectors_give_k_rows_by_id(spark):
     assert [(r["chunk_id"], r["dense_distance"]) for r in got] == [(0, 0.0), (1, 0.0), (2, 0.0)]
 
 
-def test_search_shuffles_no_pairs(spark):
+@pytest.mark.parametrize("skip", [False, True])
+def test_search_shuffles_no_pairs(spark, skip):
     chunks = spark.createDataFrame(list(enumerate(TEXTS)), "chunk_id long, text string")
     qs = spark.createDataFrame([(1, "revenue")], "question_id long, question string")
-    plan = lexical.lexical_topk(lexical.build_index(chunks), qs, 3)._jdf.queryExecution().executedPlan().toString()
+    plan = lexical.lexical_topk(lexical.build_index(chunks), qs, 3, skip=skip)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(question_id" in plan
     assert "hashpartitioning(question_id#" not in "".join(x for x in plan.splitlines() if "chunk_id" in x and "Exchange" in x)
+
+
+def zipf_texts(n, seed):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.4, rng.integers(0, 40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("spread", [1, 1000])
+def test_skipping_search_equals_full_scores(spark, spread):
+    texts = zipf_texts(600, 3) + ["w1 w2"] * 30 + [None]
+    chunks = spark.createDataFrame([(i * spread, t) for i, t in enumerate(texts)], "chunk_id long, text string").repartition(5)
+    asked = [(i, f"w1 w2 w1 w{5 * i + 3} w{7 * i + 11}") for i in range(12)] + [(50, "w1"), (51, "unknown"), (None, "w9 w1"), (52, "w299 w298")]
+    qs = spark.createDataFrame(asked, "question_id long, question string")
+    index = lexical.build_index(chunks)
+    full = lexical.top_k(lexical.score(index, qs), 5, "lexical_score", "lexical_rank", ascending=False)
+    got = lexical.lexical_topk(index, qs, 5, skip=True)
+    assert sorted(map(str, got.collect())) == sorted(map(str, full.collect()))
+
+
+def test_skipping_search_with_text_and_null_ids(spark):
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(zipf_texts(80, 5))] + [(None, "w3 w4")], "chunk_id string, text string")
+    qs = spark.createDataFrame([(1, "w3 w4"), (2, "w1")], "question_id long, question string")
+    index = lexical.build_index(chunks)
+    full = lexical.top_k(lexical.score(index, qs), 4, "lexical_score", "lexical_rank", ascending=False)
+    assert sorted(map(str, lexical.lexical_topk(index, qs, 4, skip=True).collect())) == sorted(map(str, full.collect()))
+
+
+def test_negative_idf_and_more_asked_than_there_is(spark):
+    # every term is in most chunks: the mean idf, and so every idf, is negative
+    chunks = spark.createDataFrame([(i, "a b" if i % 7 else "a") for i in range(40)], "chunk_id long, text string")
+    qs = spark.createDataFrame([(1, "a b"), (2, "b")], "question_id long, question string")
+    index = lexical.build_index(chunks)
+    for k in (3, 100):
+        full = lexical.top_k(lexical.score(index, qs), k, "lexical_score", "lexical_rank", ascending=False)
+        assert sorted(map(str, lexical.lexical_topk(index, qs, k, skip=True).collect())) == sorted(map(str, full.collect()))
+
+
+def test_blocks_below_the_floor_are_not_scored(spark):
+    # the rare word stands in a few blocks, the frequent one in all
+    texts = [f"common filler{i % 50} filler{i % 37}" + (" rare" if i % 100 == 0 else "") for i in range(2000)]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    qs = spark.createDataFrame([(1, "common rare")], "question_id long, question string")
+    index = lexical.build_index(chunks)
+    scored = lexical.best_scores(index, qs, 5).count()
+    assert scored < 0.2 * lexical.score(index, qs).count()
