@@ -36,10 +36,12 @@ from .profile import column_kind, present
 WHOLE = "*"  # the group of all rows of a table
 
 
-def table_cells(table: DataFrame, table_id: Column, order_col: str) -> DataFrame:
-    """The cells of a wide metric table, or of many that share its columns
-    (``table_id`` then is an expression over its rows)."""
-    fields = [f for f in table.schema.fields if f.name != order_col]
+def table_cells(table: DataFrame, table_id: Column | str, order_col: str) -> DataFrame:
+    """The cells of a wide metric table, or of many that share its columns:
+    ``table_id`` is an expression over its rows, or names the column that says
+    whose row it is, which then is no cell."""
+    fields = [f for f in table.schema.fields if f.name != order_col and not (isinstance(table_id, str) and f.name == table_id)]
+    table_id = F.col(table_id) if isinstance(table_id, str) else table_id
     cells = []
     for i, f in enumerate(fields):
         c, numeric = F.col(f"`{f.name}`"), column_kind(f.dataType) == "numeric"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_claims, q_metrics, q_ops, q_text  # noqa: F401
+from . import q_claims, q_metrics, q_ops, q_tables, q_text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -1,10 +1,8 @@
 """An evaluation run over a labelled-set file (S4 -> C11 / L5 -> A20-A24 -> S6).
 
-Claim cases each carry their own small metric table (``csv_data``). Cases
-are grouped by their column set (a bounded number of distinct schemas), each
-group is pivoted to one wide table keyed by (case_id, row_id) and verified
-in one job per group with the case id as the verification key, so the whole
-labelled set is verified without a job per case.
+Claim cases each carry their own small metric table (``csv_data``), of any
+columns. All of them are one table of cells, and all claims are verified in one
+job: nothing is collected and no loop runs over cases or schemas.
 """
 
 from __future__ import annotations
@@ -12,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import claims as CL
 from ..operators import dense
 from ..operators import evaluation as E
+from ..operators import many_tables as MT
 from ..operators import routing as R
 from ..operators.ordering import with_row_index
 from ..sources.cases import read_cases
@@ -25,20 +23,13 @@ RETRIEVED = 4  # chunks a retrieval case gets
 
 def verify_cases(claim_cases: DataFrame, claim_values: DataFrame) -> DataFrame:
     """(id, verdict, csv_metric, actual_percent) for every claim case that has a table."""
-    schema_of = claim_values.groupBy("case_id").agg(F.array_sort(F.collect_set("metric")).alias("_schema"))
-    # distinct column sets are metadata: as many as the file has kinds of tables
-    schemas = [r["_schema"] for r in schema_of.select("_schema").distinct().collect()]
-    out = claim_cases.sparkSession.createDataFrame([], "id string, verdict string, csv_metric string, actual_percent double")
-    for cols in schemas:  # one verification job per distinct column set
-        members = schema_of.filter(F.col("_schema") == F.array(*[F.lit(c) for c in cols])).select("case_id")
-        wide = (claim_values.join(members, "case_id", "left_semi")
-                .groupBy("case_id", F.col("row_id").alias("_row_id")).pivot("metric", cols)
-                .agg(F.first("value")))
-        cl = (claim_cases.select(F.col("id").alias("case_id"), F.lit(1).cast("long").alias("claim_id"), "claim")
-              .join(members, "case_id", "left_semi"))
-        v = CL.verify(cl, wide, "_row_id", key="case_id")
-        out = out.unionByName(v.select(F.col("case_id").alias("id"), "verdict", "csv_metric", "actual_percent"))
-    return out
+    # a case's columns in the order of their names; its tables need not share a schema
+    cells = claim_values.select(F.col("case_id").alias("table_id"), "row_id", F.col("metric").alias("ordinal"),
+                                F.col("metric").alias("column"), F.lit(True).alias("numeric"), "value",
+                                F.col("value").cast("string").alias("text"))
+    claims = (claim_cases.join(claim_values.select(F.col("case_id").alias("id")).distinct(), "id", "left_semi")
+              .select(F.col("id").alias("table_id"), F.lit(1).cast("long").alias("claim_id"), "claim"))
+    return MT.verify_tables(claims, cells).select(F.col("table_id").alias("id"), "verdict", "csv_metric", "actual_percent")
 
 
 def retrieve_cases(cases: DataFrame, corpus: DataFrame, vectors: DataFrame, k: int = RETRIEVED) -> DataFrame:
@@ -51,12 +42,12 @@ def retrieve_cases(cases: DataFrame, corpus: DataFrame, vectors: DataFrame, k: i
 
 
 def evaluate(spark: SparkSession, cases_path: str, out_path: str | None = None, corpus: DataFrame | None = None,
-             vectors: DataFrame | None = None, answers: DataFrame | None = None) -> DataFrame:
+             vectors: DataFrame | None = None, answers: DataFrame | None = None, multi_line: bool = True) -> DataFrame:
     """The report over a labelled-set file. Retrieval runs when ``corpus``
     (chunk_id, text, vector) and the questions' ``vectors`` (id, vector) are
     given, citation when ``answers`` (id, answer) are; without them these parts
-    are 0 of 0."""
-    t = read_cases(spark, cases_path)
+    are 0 of 0. ``multi_line=False`` reads a large set of one document a line."""
+    t = read_cases(spark, cases_path, multi_line)
     routed = R.route_questions(t["router_eval"]).select(
         "id", "expected_route", F.col("route").alias("actual_route"))
     verdicts = verify_cases(t["claim_eval"], t["claim_values"])

@@ -207,13 +207,8 @@ def sql_match(claim: str, cols: list[str]) -> dict[str, str]:
     }
 
 
-def verify_sql(claims_sql: str, metrics_sql: str, cols: list[str], date_col: str, order_col: str) -> str:
-    ch = sql_change("claim")
-    wn = sql_window("claim")
-    mt = sql_match("claim", cols)
-    unpivot = " UNION ALL ".join(
-        f"SELECT {order_col} AS _o, {date_col} AS _d, {_sq(c)} AS metric, CAST({c} AS DOUBLE) AS v FROM met"
-        for c in cols)
+def sql_judge(candidate: str, keys: str = "") -> str:
+    """The verdict rows of ``j``: parsed claims beside their statistics."""
     conf = ("CAST(round_even(least(sp * 0.5 + CASE WHEN {d} THEN 25 ELSE 0 END + CASE WHEN {m} THEN 15 ELSE 0 END"
             " + CASE WHEN tf THEN 10 ELSE 0 END, 100.0), 0) / 100.0 AS DOUBLE)")
     span = "'(from ' || format('{:,.2f}', fv) || ' to ' || format('{:,.2f}', lv) || ')'"
@@ -223,29 +218,7 @@ def verify_sql(claims_sql: str, metrics_sql: str, cols: list[str], date_col: str
              "WHEN pct = 200.0 AND dirn = 'increase' THEN printf('tripled (~200%% increase, ±%.0f%% tolerance)', tol) "
              "WHEN pct = 50.0 AND dirn = 'decrease' THEN printf('halved (~50%% decrease, ±%.0f%% tolerance)', tol) "
              "ELSE printf('%.1f%% %s', pct, coalesce(dirn, 'change')) END")
-    return f"""
-  WITH met AS ({metrics_sql}),
-  cl0 AS ({claims_sql}),
-  cl AS (SELECT claim_id, claim, {mt['column']} AS mcol, {mt['score_pct']} AS sp, {mt['method']} AS method,
-                {ch['pct']} AS pct, {ch['direction']} AS dirn, {ch['tolerance']} AS tol, {ch['mode']} AS mode,
-                {wn['type']} AS wtype, {wn['value']} AS wvalue FROM cl0),
-  cl2 AS (SELECT *, CASE wtype WHEN 'quarter' THEN 'q' || wvalue WHEN 'half' THEN 'h' || wvalue
-                               WHEN 'year' THEN CAST(wvalue AS VARCHAR) END AS token FROM cl),
-  lng AS ({unpivot}),
-  tot AS (SELECT count(*) AS total_rows FROM met),
-  al AS (SELECT metric, arg_min(v, _o) FILTER (WHERE v IS NOT NULL) AS a_first,
-                arg_max(v, _o) FILTER (WHERE v IS NOT NULL) AS a_last, count(v) AS a_n FROM lng GROUP BY metric),
-  tks AS (SELECT DISTINCT token FROM cl2 WHERE token IS NOT NULL),
-  tr AS (SELECT token, count(*) AS tok_rows FROM tks JOIN met ON contains(lower(CAST({date_col} AS VARCHAR)), token)
-         GROUP BY token),
-  tm AS (SELECT token, metric, arg_min(v, _o) FILTER (WHERE v IS NOT NULL) AS t_first,
-                arg_max(v, _o) FILTER (WHERE v IS NOT NULL) AS t_last, count(v) AS t_n
-         FROM tks JOIN lng ON contains(lower(CAST(_d AS VARCHAR)), token) GROUP BY token, metric),
-  j AS (SELECT cl2.*, tot.total_rows, al.*, tr.tok_rows, tm.t_first, tm.t_last, tm.t_n,
-               coalesce(tr.tok_rows BETWEEN 2 AND tot.total_rows - 1, false) AS tf
-        FROM cl2 CROSS JOIN tot LEFT JOIN al ON al.metric = cl2.mcol
-             LEFT JOIN tr ON tr.token = cl2.token LEFT JOIN tm ON tm.token = cl2.token AND tm.metric = cl2.mcol),
-  k AS (SELECT *, CASE WHEN tf THEN t_first ELSE a_first END AS fv, CASE WHEN tf THEN t_last ELSE a_last END AS lv,
+    return f"""k AS (SELECT *, CASE WHEN tf THEN t_first ELSE a_first END AS fv, CASE WHEN tf THEN t_last ELSE a_last END AS lv,
                CASE WHEN tf THEN t_n ELSE a_n END AS nv FROM j),
   a AS (SELECT *, (lv - fv) / abs(fv) * 100 AS act FROM k),
   b AS (SELECT *, CASE WHEN act >= 0 THEN 'increase' ELSE 'decrease' END AS adir,
@@ -258,7 +231,7 @@ def verify_sql(claims_sql: str, metrics_sql: str, cols: list[str], date_col: str
                        WHEN coalesce(nv, 0) < 2 THEN 'short' WHEN fv = 0 THEN 'zero'
                        WHEN dok AND mok THEN 'supported' WHEN dok THEN 'magnitude' ELSE 'direction' END AS stage,
                {label} AS lbl FROM b)
-  SELECT claim_id, claim,
+  SELECT {keys}claim_id, claim,
     CASE WHEN stage IN ('gate', 'nopct', 'short', 'zero') THEN 'Unverifiable'
          WHEN stage = 'supported' THEN 'Supported' ELSE 'Contradicted' END AS verdict,
     CASE WHEN stage IN ('gate', 'nopct') THEN NULL ELSE mcol END AS csv_metric,
@@ -274,7 +247,7 @@ def verify_sql(claims_sql: str, metrics_sql: str, cols: list[str], date_col: str
          ELSE {conf.format(d='dok', m='mok')} END AS confidence,
     CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS confidence_band,
     CASE WHEN stage = 'gate' THEN 'No CSV column closely matches this claim. Best candidate was '''
-              || coalesce(mcol, {_sq(cols[0])}) || ''' (confidence ' || sp || '%), below the 80% threshold required to verify.'
+              || coalesce(mcol, {candidate}) || ''' (confidence ' || sp || '%), below the 80% threshold required to verify.'
          WHEN stage = 'nopct' THEN 'No percentage value or multiplier word (doubled / tripled / halved) detected in the claim.'
          WHEN stage = 'short' THEN prefix || 'Column ''' || mcol || ''' has fewer than 2 non-null values.'
          WHEN stage = 'zero' THEN prefix || 'First value in ''' || mcol || ''' is 0; cannot compute % change.'
@@ -289,6 +262,38 @@ def verify_sql(claims_sql: str, metrics_sql: str, cols: list[str], date_col: str
   FROM c"""
 
 
+def verify_sql(claims_sql: str, metrics_sql: str, cols: list[str], date_col: str, order_col: str) -> str:
+    ch = sql_change("claim")
+    wn = sql_window("claim")
+    mt = sql_match("claim", cols)
+    unpivot = " UNION ALL ".join(
+        f"SELECT {order_col} AS _o, {date_col} AS _d, {_sq(c)} AS metric, CAST({c} AS DOUBLE) AS v FROM met"
+        for c in cols)
+    return f"""
+  WITH met AS ({metrics_sql}),
+  cl0 AS ({claims_sql}),
+  cl AS (SELECT claim_id, claim, {mt['column']} AS mcol, {mt['score_pct']} AS sp, {mt['method']} AS method,
+                {ch['pct']} AS pct, {ch['direction']} AS dirn, {ch['tolerance']} AS tol, {ch['mode']} AS mode,
+                {wn['type']} AS wtype, {wn['value']} AS wvalue FROM cl0),
+  cl2 AS (SELECT *, CASE wtype WHEN 'quarter' THEN 'q' || wvalue WHEN 'half' THEN 'h' || wvalue
+                               WHEN 'year' THEN CAST(wvalue AS VARCHAR) END AS token FROM cl),
+  lng AS ({unpivot}),
+  tot AS (SELECT count(*) AS total_rows FROM met),
+  al AS (SELECT metric, arg_min(v, _o) FILTER (WHERE v IS NOT NULL) AS a_first,
+                arg_max(v, _o) FILTER (WHERE v IS NOT NULL) AS a_last, count(v) AS a_n FROM lng GROUP BY metric),
+  tks AS (SELECT DISTINCT token FROM cl2 WHERE token IS NOT NULL),
+  tr AS (SELECT token, count(*) AS tok_rows FROM tks JOIN met ON contains(lower(CAST({date_col} AS VARCHAR)), token)
+         GROUP BY token),
+  tm AS (SELECT token, metric, arg_min(v, _o) FILTER (WHERE v IS NOT NULL) AS t_first,
+                arg_max(v, _o) FILTER (WHERE v IS NOT NULL) AS t_last, count(v) AS t_n
+         FROM tks JOIN lng ON contains(lower(CAST(_d AS VARCHAR)), token) GROUP BY token, metric),
+  j AS (SELECT cl2.*, tot.total_rows, al.*, tr.tok_rows, tm.t_first, tm.t_last, tm.t_n,
+               coalesce(tr.tok_rows BETWEEN 2 AND tot.total_rows - 1, false) AS tf
+        FROM cl2 CROSS JOIN tot LEFT JOIN al ON al.metric = cl2.mcol
+             LEFT JOIN tr ON tr.token = cl2.token LEFT JOIN tm ON tm.token = cl2.token AND tm.metric = cl2.mcol),
+  {sql_judge(_sq(cols[0]))}"""
+
+
 def _round_verdicts(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 4).alias(c) if c in ("actual_percent", "first_val", "last_val")
                        else F.col(c) for c in df.columns])

@@ -519,3 +519,18 @@ def q_csv_source(spark, sf):
     path = os.path.join(base, f"csv-source-{uuid.uuid4().hex}")
     customer_activity(spark, sf).write.mode("overwrite").option("header", True).csv(path)
     return profile.profile(read_metrics(spark, path))
+
+
+@query("csv_quoted_lines", """
+SELECT doc_id, md5(coalesce(text, '') || chr(10) || '"' || doc_id || '", ' || chr(10) || chr(10) || '""') AS digest,
+       CASE WHEN lang <> '' THEN lang END AS lang FROM documents
+""")
+def q_csv_quoted_lines(spark, sf):
+    """Every document's text, with a quoted tail over three lines, written as
+    CSV into the shared folder and read back in splits (S1)."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"csv-quoted-{uuid.uuid4().hex}")
+    tail = F.concat(F.lit('\n"'), F.col("doc_id").cast("string"), F.lit('", \n\n""'))
+    docs = Tables(spark, sf).documents.select("doc_id", F.concat(F.coalesce("text", F.lit("")), tail).alias("body"), "lang")
+    (docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_metrics(spark, path).select("doc_id", F.md5("body").alias("digest"), "lang")

@@ -1,4 +1,4 @@
-"""Labelled evaluation sets (S4): one JSON document with four arrays.
+"""Labelled evaluation sets (S4): one JSON document with four arrays, or many.
 
 ``read_cases`` returns the four tables; the claim cases' ``csv_data`` (a map
 column -> list of values) becomes a long table (case_id, metric, row_id, value)
@@ -21,8 +21,11 @@ SCHEMA = (
 )
 
 
-def read_cases(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    doc = spark.read.option("multiLine", True).schema(SCHEMA).json(path)
+def read_cases(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
+    """The tables of a file or folder. With ``multi_line`` each file is one
+    document, read by one task; without it each line is one, with some of the
+    arrays, so a large set is read by many tasks."""
+    doc = spark.read.option("multiLine", multi_line).schema(SCHEMA).json(path)
     out = {name: doc.select(F.inline(name)) for name in
            ("router_eval", "retrieval_eval", "csv_eval", "claim_eval")}
     claims = out["claim_eval"]

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import with_row_index
 from ..session import cut_lineage
+from .csv_records import csv_records
 
 # pandas' default strings read as missing.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -40,24 +41,37 @@ def _number(x):
     return F.when(x.rlike(NUMBER), F.when(low.contains("inf"), inf).otherwise(F.trim(x).try_cast("double")))
 
 
+def _unused(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column of the file has it."""
+    low = {t.lower() for t in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
 def read_metrics(spark: SparkSession, path: str, order_col: str = "_row_id", multi_line: bool = True) -> DataFrame:
-    """One metrics table from a CSV file or a folder of them.
+    """One metrics table from a CSV file or a folder of them, all with the same header.
 
-    With ``multi_line`` a file is read by one task, since a quoted line break
-    cannot be told from a row's end in the middle of a file: keep a large table
-    in many files, or pass False when no field holds a line break (the file is
-    then split; rows keep their order by block).
+    Files are split between tasks. With ``multi_line`` quoted fields may hold
+    line breaks (``csv_records`` finds where records start); False spares that
+    when no field does.
 
     The file is parsed once: its rows are kept as text in the shared folder,
     which both the types and the row numbers are taken from."""
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
-           .option("escape", '"').csv(path))
-    cols = raw.columns
-    place = ["_file", "_block", "_at"]
-    clean = cut_lineage(raw.select(*[F.when(F.col(f"`{c}`").isin(NULL_TOKENS), F.lit(None))
-                         .otherwise(F.col(f"`{c}`")).alias(c) for c in cols],
-                       F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                       F.monotonically_increasing_id().alias("_at")), "csv")
+    options = {"sep": ",", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
+    plain = spark.read.options(**options).option("header", True).option("inferSchema", False).csv(path)
+    cols = plain.columns
+    place = [_unused(n, cols + [order_col]) for n in ("_file", "_block", "_at")]
+    if multi_line:
+        parsed = F.from_csv("record", ", ".join(f"c{i} string" for i in range(len(cols))), options).alias("fields")
+        raw = csv_records(spark, path).filter(~F.col("first")).select(parsed, "file", "block", "at")
+    else:
+        raw = plain.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]).alias("fields"),
+                           F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                           F.monotonically_increasing_id().alias("at"))
+    fields, spot = [F.col(f"fields.c{i}") for i in range(len(cols))], ["file", "block", "at"]
+    clean = cut_lineage(raw.select(*[F.when(x.isin(NULL_TOKENS), F.lit(None)).otherwise(x).alias(c) for x, c in zip(fields, cols)],
+                                   *[F.col(x).alias(n) for x, n in zip(spot, place)]), "csv")
     checks = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cols):
         x = F.col(f"`{c}`")

@@ -87,3 +87,15 @@ def test_hot_table_nulls_and_empty_inputs(spark):
     assert MT.verify_tables(claims.filter("false"), cells).count() == 0
     assert MT.verify_tables(claims, cells.filter("false")).filter("verdict = 'Unverifiable'").count() == 4
     assert V.FUZZY_CUTOFF == 60
+
+
+def test_registered_verdicts_reach_every_outcome(spark):
+    from ledgerlens.plans.q_tables import q_verify_tables
+
+    from .conftest import SF_SMALL
+
+    rows = q_verify_tables(spark, SF_SMALL).collect()
+    reasons = [r["reason"] for r in rows]
+    for part in ("No CSV column", "No percentage value", "fewer than 2 non-null", "is 0; cannot", "Direction matches", "Claim says", "Filtered to"):
+        assert any(part in r for r in reasons), part
+    assert {r["match_method"].split("(")[0] for r in rows} == {"business-term", "exact", "alias", "fuzzy", "none"}
