@@ -21,8 +21,10 @@ from ..operators import chunking as C
 from ..operators import claims as CL
 from ..operators import evaluation as E
 from ..operators import fusion, lexical, profile, report, routing
+from ..operators.ordering import with_row_index
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.metrics_csv import read_metrics
+from ..sources.sinks import read_report, write_report
 from ..sources.tables import Tables
 from .q_claims import CLAIMS_SQL, VERIFY_SQL, _sq, derived_claims, verified
 from .q_metrics import CUSTOMER_ACTIVITY_SQL, customer_activity
@@ -534,3 +536,19 @@ def q_csv_quoted_lines(spark, sf):
     (docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     return read_metrics(spark, path).select("doc_id", F.md5("body").alias("digest"), "lang")
+
+
+@query("report_parts", """
+SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS place,
+       '| ' || o_orderkey || ' | ' || o_orderpriority || ' |' AS line FROM orders
+""")
+def q_report_parts(spark, sf):
+    """A line per order, written as parts of 10,000 line numbers, and read
+    back in the order of the parts."""
+    o = Tables(spark, sf).orders
+    path = os.path.join(ensure_checkpoint_dir(spark), f"report-{uuid.uuid4().hex}")
+    write_report(o.select(F.col("o_orderkey").alias("line_no"), F.concat(
+        F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), "o_orderpriority", F.lit(" |")).alias("line")),
+        path, part_lines=10_000)
+    back = cut_lineage(read_report(spark, path).select("part", "at.block", "at.row", "line"), "report")
+    return with_row_index(back, ["part", "block", "row"], "place").select("place", "line")
