@@ -43,8 +43,8 @@ TREES = 8
 ROUNDS = 6
 #: Rounds end when fewer than this share of all neighbours is new.
 STILL = 0.05
-BEAM = 32
-OPENED = 16
+BEAM = 128
+OPENED = 32
 HOPS = 16
 ENTRIES = 256
 
