@@ -17,11 +17,12 @@ EVIDENCE_K = 3
 
 
 def cross_check(questions: DataFrame, claims: DataFrame, metrics: DataFrame, order_col: str,
-                corpus: DataFrame | None = None, k: int = EVIDENCE_K) -> tuple[DataFrame, DataFrame | None]:
+                corpus: DataFrame | None = None, k: int = EVIDENCE_K, index=None) -> tuple[DataFrame, DataFrame | None]:
     """Returns (verdicts per question and claim, evidence pages per question).
 
     ``questions``: (question_id, question[, vector]); ``claims``: (claim_id,
-    claim); ``corpus``: (chunk_id, doc_id, page_number, text, vector) or None.
+    claim); ``corpus``: (chunk_id, doc_id, page_number, text, vector) or None,
+    ``index``: the lexical index over it, if there is one already.
     Each distinct claim is verified once, then joined to the questions that
     selected it.
     """
@@ -31,6 +32,6 @@ def cross_check(questions: DataFrame, claims: DataFrame, metrics: DataFrame, ord
     out = rel.select("question_id", "claim_id", "fallback").join(verdicts, "claim_id")
     evidence = None
     if corpus is not None and "vector" in questions.columns:
-        hits = fusion.hybrid(corpus.select("chunk_id", "text", "vector"), questions, k)
+        hits = fusion.hybrid(corpus.select("chunk_id", "text", "vector"), questions, k, index)
         evidence = fusion.evidence_pages(fusion.with_chunks(hits, corpus))
     return out, evidence

@@ -21,7 +21,7 @@ from ..functions import vocab as V
 from ..operators import claims as CL
 from ..session import cut_lineage
 from ..sources.tables import Tables
-from .q_text import EVIDENCE_SQL_TAIL, PAGES_SQL, SENTENCES_SQL, doc_pages, hybrid_corpus, hybrid_sql
+from .q_text import EVIDENCE_SQL_TAIL, PAGES_SQL, SENTENCES_SQL, doc_pages, hybrid_corpus, hybrid_index, hybrid_sql
 from .registry import query
 
 METRIC_COLS = ["revenue", "orders", "avg_price", "open_orders"]
@@ -552,5 +552,6 @@ def q_cross_check_evidence(spark, sf):
     vectors = Tables(spark, sf).embeddings.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
     qs = spark.createDataFrame(ROUTER_QUESTIONS, "question_id long, question string").join(vectors, "question_id", "left")
     claims = derived_claims(spark, sf).select("claim_id", "claim")
-    _, evidence = cross_check(qs, claims, quarterly(spark, sf), "_ord", hybrid_corpus(spark, sf))
+    _, evidence = cross_check(qs, claims, quarterly(spark, sf), "_ord", hybrid_corpus(spark, sf),
+                              index=hybrid_index(spark, sf))
     return evidence

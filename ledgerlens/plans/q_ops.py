@@ -28,8 +28,8 @@ from ..sources.sinks import read_report, write_report
 from ..sources.tables import Tables
 from .q_claims import CLAIMS_SQL, VERIFY_SQL, _sq, derived_claims, verified
 from .q_metrics import CUSTOMER_ACTIVITY_SQL, customer_activity
-from .q_text import (CHUNKS_SQL, PAGES_SQL, TOKENS_SQL, bm25_sql, doc_chunks, doc_pages, hybrid_corpus,
-                     hybrid_questions, hybrid_sql)
+from .q_text import (CHUNKS_SQL, PAGES_SQL, TOKENS_SQL, bm25_sql, chunk_index, doc_pages, hybrid_corpus,
+                     hybrid_index, hybrid_questions, hybrid_sql)
 from .registry import query
 
 # Fixed templates: (template id, text with {name}, expected route).
@@ -291,10 +291,9 @@ HIT_SQL = f"""
 
 
 def retrieval_hits(spark, sf):
-    # the chunk table feeds the index and the text look-up: computed once
-    ch = cut_lineage(doc_chunks(spark, sf).select("chunk_id", "text"), "chunks")
+    ch, idx = chunk_index(spark, sf)
     qs = Tables(spark, sf).benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    hits = lexical.lexical_topk(lexical.build_index(ch), qs, 4)
+    hits = lexical.lexical_topk(idx, qs, 4)
     with_text = hits.join(ch.select("chunk_id", "text"), "chunk_id").select(
         "question_id", F.col("lexical_rank").alias("rank"), "text")
     from ..functions.text import tokens
@@ -500,7 +499,7 @@ SELECT question_id, CASE WHEN length(context) > 1500 THEN substr(context, 1, 150
 """)
 def q_truncated_context(spark, sf):
     corpus = hybrid_corpus(spark, sf)
-    hits = fusion.hybrid(corpus, hybrid_questions(spark, sf), 4)
+    hits = fusion.hybrid(corpus, hybrid_questions(spark, sf), 4, hybrid_index(spark, sf))
     cx = fusion.context_blocks(fusion.with_chunks(hits, corpus))
     return cx.select("question_id", F.when(F.length("context") > 1500, F.concat(
         F.substring("context", 1, 1500), F.lit(TRUNC_MARKER))).otherwise(F.col("context")).alias("context"))

@@ -19,7 +19,7 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import dense, fusion, lexical
 from ..sources.pages import assemble_documents, pages_from_documents
-from ..session import cut_lineage
+from ..session import cut_lineage, files_version, shared
 from ..sources.tables import Tables
 from .registry import query
 
@@ -36,14 +36,38 @@ def doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return C.chunk_pages(doc_pages(spark, sf), SIZE, OVERLAP)
 
 
+def _corpus_key(spark: SparkSession, sf: str, what: str) -> tuple:
+    t = Tables(spark, sf)
+    return (what, sf, PAGE_CHARS, SIZE, OVERLAP, files_version(t.documents, t.embeddings))
+
+
+def chunk_index(spark: SparkSession, sf: str) -> tuple[DataFrame, lexical.LexicalIndex]:
+    """(chunk_id, text) of every chunk and the index over them, written once an
+    application: every lexical query reads the same."""
+    def build():
+        chunks = cut_lineage(doc_chunks(spark, sf).select("chunk_id", "text"), "chunks")
+        return chunks, lexical.build_index(chunks)
+
+    return shared(spark, _corpus_key(spark, sf, "chunks"), build)
+
+
 def hybrid_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, page_number, chunk_id, text, vector), written once: both searches
-    and the look-up of the hits read it."""
-    vectors = Tables(spark, sf).embeddings.select(F.col("vec_id").alias("doc_id"),
-                                                  F.lit(0).cast("long").alias("chunk_index"),
-                                                  F.col("embedding").alias("vector"))
-    chunks = doc_chunks(spark, sf).join(vectors, ["doc_id", "chunk_index"], "left")
-    return cut_lineage(chunks.select("doc_id", "page_number", "chunk_id", "text", "vector"), "hybrid-corpus")
+    """(doc_id, page_number, chunk_id, text, vector), written once an application:
+    both searches and the look-up of the hits read it."""
+    def build():
+        vectors = Tables(spark, sf).embeddings.select(F.col("vec_id").alias("doc_id"),
+                                                      F.lit(0).cast("long").alias("chunk_index"),
+                                                      F.col("embedding").alias("vector"))
+        chunks = doc_chunks(spark, sf).join(vectors, ["doc_id", "chunk_index"], "left")
+        return cut_lineage(chunks.select("doc_id", "page_number", "chunk_id", "text", "vector"), "hybrid-corpus")
+
+    return shared(spark, _corpus_key(spark, sf, "hybrid corpus"), build)
+
+
+def hybrid_index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    """The index over ``hybrid_corpus``, written once an application."""
+    return shared(spark, _corpus_key(spark, sf, "hybrid index"),
+                  lambda: lexical.build_index(hybrid_corpus(spark, sf).select("chunk_id", "text")))
 
 
 def hybrid_questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,7 +229,7 @@ WITH tok AS MATERIALIZED (SELECT {TOKENS_SQL.format(x='text')} AS t FROM ({CHUNK
 SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END, 6) AS idf FROM raw
 """)
 def q_lexical_stats(spark, sf):
-    idx = lexical.build_index(doc_chunks(spark, sf))
+    _, idx = chunk_index(spark, sf)
     return idx.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -217,7 +241,7 @@ SELECT question_id, chunk_id, lexical_score, lexical_rank FROM lex
 
 
 def _lexical(spark, sf, skip: bool):
-    idx = lexical.build_index(doc_chunks(spark, sf))
+    _, idx = chunk_index(spark, sf)
     qs = Tables(spark, sf).benchmark.select(F.col("item_id").alias("question_id"),
                                             F.col("text").alias("question"))
     return _ranked_longs(lexical.lexical_topk(idx, qs, 12, skip=skip), ["lexical_rank"])
@@ -254,7 +278,7 @@ HYBRID_COLS = ("question_id, chunk_id, rank, hybrid_score, dense_distance, dense
 SELECT {HYBRID_COLS} FROM hy
 """)
 def q_hybrid_topk(spark, sf):
-    hits = fusion.hybrid(hybrid_corpus(spark, sf), hybrid_questions(spark, sf), 4)
+    hits = fusion.hybrid(hybrid_corpus(spark, sf), hybrid_questions(spark, sf), 4, hybrid_index(spark, sf))
     return _ranked_longs(hits.select(*[c.strip() for c in HYBRID_COLS.split(",")]),
                          ["rank", "dense_rank", "lexical_rank"])
 
@@ -275,7 +299,7 @@ FROM ht GROUP BY question_id, doc_id, page_number
 @query("evidence_pages", hybrid_sql(3) + EVIDENCE_SQL_TAIL)
 def q_evidence_pages(spark, sf):
     corpus = hybrid_corpus(spark, sf)
-    hits = fusion.hybrid(corpus, hybrid_questions(spark, sf), 3)
+    hits = fusion.hybrid(corpus, hybrid_questions(spark, sf), 3, hybrid_index(spark, sf))
     return fusion.evidence_pages(fusion.with_chunks(hits, corpus))
 
 
@@ -286,5 +310,5 @@ FROM hy JOIN corp USING (chunk_id) GROUP BY question_id
 """)
 def q_context_blocks(spark, sf):
     corpus = hybrid_corpus(spark, sf)
-    hits = fusion.hybrid(corpus, hybrid_questions(spark, sf), 4)
+    hits = fusion.hybrid(corpus, hybrid_questions(spark, sf), 4, hybrid_index(spark, sf))
     return fusion.context_blocks(fusion.with_chunks(hits, corpus))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -76,3 +78,25 @@ def write_bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFram
     path = os.path.join(ensure_checkpoint_dir(spark), table)
     df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
+
+
+_SHARED: dict[tuple, object] = {}
+
+
+def files_version(*tables: DataFrame) -> tuple:
+    """The files that tables are read from, with their sizes and times, as two numbers a table."""
+    out = []
+    for t in tables:
+        files = t.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        out.append(tuple(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*files.columns))).first()))
+    return tuple(out)
+
+
+def shared(spark: SparkSession, key: tuple, build: Callable[[], object]):
+    """What ``build`` returns, built once per application and ``key``. For written
+    tables and indexes over inputs that many queries read; the key names the
+    inputs (with ``files_version``) and all parameters."""
+    own = (spark.sparkContext.applicationId, *key)
+    if own not in _SHARED:
+        _SHARED[own] = build()
+    return _SHARED[own]
