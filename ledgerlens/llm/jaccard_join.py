@@ -26,8 +26,9 @@ The boundary is the one of least cost by the histogram of set sizes: subsets
 to enumerate against postings, lists and comparisons.
 
 Rarity comes from a counting sketch of fixed size; any order is correct, the
-sketch only moves frequent shingles out of the lists. Equal sets are one node
-(two 64-bit fingerprints and the size name it; 64 bits name it in the lists).
+sketch only moves frequent shingles out of the lists. Equal sets are one node,
+named by 64 bits: among 1e9 different sets two share a name with a chance of
+about 3 %, and would count as equal.
 
 Scale. Whole texts are only read, never shuffled, but for those in proposals.
 Sent are packed arrays of 64-bit hashes by hash bucket; buckets follow the
