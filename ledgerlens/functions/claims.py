@@ -26,6 +26,7 @@ INC_RE = _any_substring(V.INCREASE_WORDS)
 DEC_RE = _any_substring(V.DECREASE_WORDS)
 DIR_RE = _any_substring(V.DIRECTION_WORDS)
 MULT_RE = _any_substring(V.MULTIPLIER_WORDS)
+# The shapes of numbers that make a sentence a claim.
 PCT_RE = r"(?U)\d+(?:\.\d+)?\s*%"
 DOLLAR_RE = r"(?iU)\$\s*\d+(?:\.\d+)?\s*(?:m|k|b|million|billion)?"
 FROM_TO_RE = r"(?iU)\bfrom\s+[\$\d][\d,\.]*\s+to\s+[\$\d][\d,\.]*"

@@ -94,6 +94,7 @@ def intents(questions: DataFrame, table: DataFrame, text_col: str = "question")
                       F.when(F.col("intent") == "grouped", gkey).alias("group_key"))
 
 
+# Fixed value: the help answer.
 HELP_TEXT = """
 I can answer basic CSV questions right now, such as:
 - Give me a summary of the dataset

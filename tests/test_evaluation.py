@@ -46,11 +46,11 @@ def test_read_cases(spark, tmp_path):
                                "expected_page_contains": "risk"}],
            "csv_eval": [{"id": "csv01", "question": "summary", "expected_keywords": ["rows"], "expects_chart": False}],
            "claim_eval": [{"id": "cl01", "claim": "Revenue increased by 5%",
-                           "csv_data": {"revenue": [1000, 1010, 1020, 1050]}, "expected_verdict": "Supported",
+                           "csv_data": {"revenue": [800, 820, 810, 840]}, "expected_verdict": "Supported",
                            "note": "x"}]}
     p = tmp_path / "cases.json"
     p.write_text(json.dumps(doc, indent=2))
     t = read_cases(spark, str(p))
     assert t["router_eval"].count() == 1
     vals = [r["value"] for r in t["claim_values"].orderBy("row_id").collect()]
-    assert vals == [1000.0, 1010.0, 1020.0, 1050.0]
+    assert vals == [800.0, 820.0, 810.0, 840.0]
