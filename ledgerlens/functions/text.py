@@ -24,7 +24,7 @@ def strip(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased whitespace tokens, punctuation kept."""
-    return F.filter(F.split(F.lower(text), WS), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(F.lower(text), WS), "")
 
 
 def sentences(text: Column) -> Column:

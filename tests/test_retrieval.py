@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,96 @@ def test_blocks_below_the_floor_are_not_scored(spark):
     index = lexical.build_index(chunks)
     scored = lexical.best_scores(index, qs, 5).count()
     assert scored < 0.2 * lexical.score(index, qs).count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("skip", [False, True])
+def test_search_groups_and_joins_no_pairs(spark, skip):
+    chunks = spark.createDataFrame(list(enumerate(TEXTS)), "chunk_id long, text string")
+    qs = spark.createDataFrame([(1, "revenue"), (2, "profit")], "question_id long, question string")
+    plan = plan_of(lexical.lexical_topk(lexical.build_index(chunks), qs, 3, skip=skip))
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("skip", [False, True])
+def test_repeated_chunk_ids_add_up(spark, skip):
+    texts = zipf_texts(300, 9)
+    rows = list(enumerate(texts)) + [(7, "w1 w2 w2"), (7, None), (9, "w1"), (None, "w2"), (None, "w2 w1")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").repartition(4)
+    qs = spark.createDataFrame([(i, f"w1 w2 w{i}") for i in range(8)] + [(None, "w2"), (3, "w5 w5")], "question_id long, question string")
+    index = lexical.build_index(chunks)
+    full = lexical.top_k(lexical.score(index, qs), 6, "lexical_score", "lexical_rank", ascending=False)
+    assert sorted(map(str, lexical.lexical_topk(index, qs, 6, skip=skip).collect())) == sorted(map(str, full.collect()))
+
+
+def test_search_over_several_blocks(spark):
+    texts = zipf_texts(9000, 11)
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").coalesce(1)
+    qs = spark.createDataFrame([(i, f"w1 w2 w{i}") for i in range(20)], "question_id long, question string")
+    index = lexical.build_index(chunks)
+    assert index.blocks.count() > 2
+    full = sorted(map(str, lexical.top_k(lexical.score(index, qs), 5, "lexical_score", "lexical_rank", ascending=False).collect()))
+    for skip in (False, True):
+        assert sorted(map(str, lexical.lexical_topk(index, qs, 5, skip=skip).collect())) == full
+
+
+def test_document_counts_are_summed_before_they_are_shuffled():
+    packed = list(lexical._pack(iter([pa.record_batch({"chunk_id": pa.array(ids), "tokens": pa.array(t, pa.list_(pa.string()))})
+                                      for ids, t in (([1, 2], [["a", "b", "a"], None]), ([3], [["a"]]))])))
+    assert [(p["n"][0].as_py(), p["total"][0].as_py()) for p in packed] == [(2, 3), (1, 1)]
+    out = list(lexical._frequencies(iter([pa.record_batch({"data": p.column("data")}) for p in packed])))
+    assert sorted((r["term"], r["df"]) for b in out for r in b.to_pylist()) == [("a", 2), ("b", 1)]
+
+
+def test_dense_blocks_are_not_dealt_out(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vecs = np.round(rng.normal(size=(300, 3)), 1)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)] + [(400, [1.0]), (401, [2.0]), (402, None)],
+                                  "chunk_id long, vector array<double>").repartition(3)
+    for block in ("CORPUS_BLOCK", "QUESTION_BLOCK"):
+        monkeypatch.setattr(dense, block, 17)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = dense.nearest(frame, frame.withColumnRenamed("chunk_id", "question_id"), 4)
+        plan = plan_of(hits)
+        assert "CartesianProduct" in plan and "hashpartitioning(dim" not in plan and "Generate" not in plan
+        got = {(r["question_id"], r["dense_rank"]): r["chunk_id"] for r in hits.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for i, q in enumerate(vecs):
+        d = np.round(((vecs - q) ** 2).sum(1), 6)
+        assert [got[i, n] for n in range(1, 5)] == sorted(range(300), key=lambda j: (d[j], j))[:4]
+    assert [got[400, n] for n in (1, 2)] == [400, 401] and (402, 1) not in got and (400, 3) not in got
+
+
+def test_few_hits_meet_the_chunks_without_a_shuffle(spark):
+    chunks = spark.createDataFrame([(i, i, 1, f"t{i}") for i in range(20)], "chunk_id long, doc_id long, page_number int, text string")
+    hits = spark.createDataFrame([(1, 3, 1), (1, 5, 2)], "question_id long, chunk_id long, rank int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fusion.with_chunks(hits.repartition(3, "question_id"), chunks)
+        assert "BroadcastHashJoin" in plan_of(got) and "SortMergeJoin" not in plan_of(got)
+        assert sorted((r["rank"], r["text"]) for r in got.collect()) == [(1, "t3"), (2, "t5")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_hybrid_corpus_joins_vectors_to_first_chunks(spark, tmp_path):
+    from ledgerlens.plans import q_text
+
+    docs = [(1, "a b " * 700), (2, "c"), (3, None), (4, "d " * 1500)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = [(1, [1.0, 2.0]), (2, [3.0]), (2, [4.0]), (9, [5.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    chunks = q_text.doc_chunks(spark, str(tmp_path)).collect()
+    want = [(c["chunk_id"], c["text"], v) for c in chunks
+            for v in ([v for i, v in vectors if i == c["doc_id"] and c["chunk_index"] == 0] or [None])]
+    corpus = q_text.hybrid_corpus(spark, str(tmp_path))
+    assert sorted(map(str, ((r["chunk_id"], r["text"], r["vector"]) for r in corpus.collect()))) == sorted(map(str, want))
+    others = [x for x in plan_of(corpus.filter("vector IS NULL")).splitlines() if "Exchange" in x]
+    assert not others
