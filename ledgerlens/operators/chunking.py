@@ -61,7 +61,8 @@ def chunk_pages(pages: DataFrame, size: int = 800, overlap: int = 150) -> DataFr
         F.sequence(F.lit(0), F.length("text") - 1, F.lit(step)),
         lambda s: F.struct(s.alias("start"),
                            F.substring(F.col("text"), s + 1, size).alias("text")))
-    exploded = (body.join(offsets, ["doc_id", "page_number"])
+    # the narrow side is hashed, so the texts are not sorted
+    exploded = (body.join(offsets.hint("shuffle_hash"), ["doc_id", "page_number"])
                 .select("doc_id", "page_number", "chunk_id_start", "chunk_index_start",
                         F.posexplode(pieces).alias("pos", "piece")))
     return exploded.select(

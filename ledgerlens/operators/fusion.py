@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import dense, lexical
 
 # Reciprocal-rank constant and the fusion weights.
@@ -81,8 +82,10 @@ def relevance_label(distance) -> F.Column:
 
 
 def with_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Attach page number and text to hits, after the top-k cut."""
-    return hits.join(chunks.select("chunk_id", "doc_id", "page_number", "text"), "chunk_id")
+    """Attach page number and text to hits, after the top-k cut. The hits are
+    written first: while they are few they are broadcast, and no text is shuffled."""
+    kept = [c for c in ("chunk_id", "doc_id", "page_number", "text") if c in chunks.columns]
+    return lexical.small(cut_lineage(hits, "hits")).join(chunks.select(*kept), "chunk_id")
 
 
 def evidence_pages(hits_with_text: DataFrame) -> DataFrame:

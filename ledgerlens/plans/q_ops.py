@@ -294,7 +294,7 @@ def retrieval_hits(spark, sf):
     ch, idx = chunk_index(spark, sf)
     qs = Tables(spark, sf).benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     hits = lexical.lexical_topk(idx, qs, 4)
-    with_text = hits.join(ch.select("chunk_id", "text"), "chunk_id").select(
+    with_text = fusion.with_chunks(hits, ch).select(
         "question_id", F.col("lexical_rank").alias("rank"), "text")
     from ..functions.text import tokens
     expected = qs.select("question_id", F.filter(tokens(F.col("question")), lambda t: F.length(t) >= 8)

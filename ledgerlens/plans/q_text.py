@@ -58,8 +58,12 @@ def hybrid_corpus(spark: SparkSession, sf: str) -> DataFrame:
         vectors = Tables(spark, sf).embeddings.select(F.col("vec_id").alias("doc_id"),
                                                       F.lit(0).cast("long").alias("chunk_index"),
                                                       F.col("embedding").alias("vector"))
-        chunks = doc_chunks(spark, sf).join(vectors, ["doc_id", "chunk_index"], "left")
-        return cut_lineage(chunks.select("doc_id", "page_number", "chunk_id", "text", "vector"), "hybrid-corpus")
+        # only first chunks meet the vectors: the other texts are not shuffled for them
+        chunks = cut_lineage(doc_chunks(spark, sf).select("doc_id", "page_number", "chunk_index", "chunk_id", "text"), "chunks")
+        first = cut_lineage(chunks.filter(F.col("chunk_index") == 0).join(vectors, ["doc_id", "chunk_index"], "left"), "first-chunks")
+        out = ["doc_id", "page_number", "chunk_id", "text"]
+        others = chunks.filter(F.col("chunk_index") != 0).select(*out, F.lit(None).cast(vectors.schema["vector"].dataType).alias("vector"))
+        return others.unionByName(first.select(*out, "vector"))
 
     return shared(spark, _corpus_key(spark, sf, "hybrid corpus"), build)
 
