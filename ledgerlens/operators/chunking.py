@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..session import cut_lineage
 from .ordering import with_running_offset
 
 
@@ -37,7 +38,8 @@ def chunk_counts(pages: DataFrame, size: int = 800, overlap: float = 150) -> Dat
 
 def page_offsets(pages: DataFrame, size: int = 800, overlap: int = 150) -> DataFrame:
     """(doc_id, page_number, n_chunks, chunk_id_start, chunk_index_start)."""
-    counts = chunk_counts(pages, size, overlap)
+    # written first: the ranges are sampled from it, and the texts are not cut again for that
+    counts = cut_lineage(chunk_counts(pages, size, overlap), "chunk-counts")
     glob = with_running_offset(counts, ["doc_id", "page_number"], "n_chunks", "chunk_id_start")
     # a document's chunks are contiguous, so its first global id is a min
     # (partial aggregate, safe for a document holding many pages)

@@ -41,11 +41,17 @@ def _corpus_key(spark: SparkSession, sf: str, what: str) -> tuple:
     return (what, sf, PAGE_CHARS, SIZE, OVERLAP, files_version(t.documents, t.embeddings))
 
 
+def written_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_chunks`` without the starts, written once an application."""
+    return shared(spark, _corpus_key(spark, sf, "written chunks"), lambda: cut_lineage(
+        doc_chunks(spark, sf).select("doc_id", "page_number", "chunk_index", "chunk_id", "text"), "chunks"))
+
+
 def chunk_index(spark: SparkSession, sf: str) -> tuple[DataFrame, lexical.LexicalIndex]:
     """(chunk_id, text) of every chunk and the index over them, written once an
     application: every lexical query reads the same."""
     def build():
-        chunks = cut_lineage(doc_chunks(spark, sf).select("chunk_id", "text"), "chunks")
+        chunks = written_chunks(spark, sf).select("chunk_id", "text")
         return chunks, lexical.build_index(chunks)
 
     return shared(spark, _corpus_key(spark, sf, "chunks"), build)
@@ -59,7 +65,7 @@ def hybrid_corpus(spark: SparkSession, sf: str) -> DataFrame:
                                                       F.lit(0).cast("long").alias("chunk_index"),
                                                       F.col("embedding").alias("vector"))
         # only first chunks meet the vectors: the other texts are not shuffled for them
-        chunks = cut_lineage(doc_chunks(spark, sf).select("doc_id", "page_number", "chunk_index", "chunk_id", "text"), "chunks")
+        chunks = written_chunks(spark, sf)
         first = cut_lineage(chunks.filter(F.col("chunk_index") == 0).join(vectors, ["doc_id", "chunk_index"], "left"), "first-chunks")
         out = ["doc_id", "page_number", "chunk_id", "text"]
         others = chunks.filter(F.col("chunk_index") != 0).select(*out, F.lit(None).cast(vectors.schema["vector"].dataType).alias("vector"))

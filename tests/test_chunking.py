@@ -74,6 +74,14 @@ def test_matches_python_over_many_documents(spark):
         assert idx == list(range(len(idx)))
 
 
+def test_ranges_are_not_sampled_from_the_texts(spark, monkeypatch):
+    seen = []
+    offset = C.with_running_offset
+    monkeypatch.setattr(C, "with_running_offset", lambda df, *a: seen.append(df.columns + df.inputFiles()) or offset(df, *a))
+    assert len(_chunks(spark, ["A" * 1300, "", "b"])) == 3
+    assert seen[0][:3] == ["doc_id", "page_number", "n_chunks"] and len(seen[0]) > 3  # read from files, no longer cut from the texts
+
+
 def test_corpus_counts(spark):
     got = C.corpus_counts(_pages(spark, ["A" * 1300, ""]), 800, 150).first()
     assert got["pages"] == 2
