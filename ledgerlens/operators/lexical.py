@@ -52,13 +52,18 @@ RUN = 8
 QUESTION_BLOCK = 1024
 # So many (question, term, chunk) triples are held at once.
 PIECE = 1 << 21
+# White space of ``tokens`` (Unicode's White_Space) as UTF-8: single bytes, and the longer ones as numbers.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+WIDE_SPACES = {n: np.array([int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+                            "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" if len(c.encode()) == n]) for n in (2, 3)}
+WIDE_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 # Ranks compare scores rounded to six digits; twice that also covers the order of a sum.
 ROUNDING = 2e-6
 
 
 @dataclass
 class LexicalIndex:
-    blocks: DataFrame  # n, total, data (chunk_id, dl, terms [(term, tf)] of n chunks)   (materialised)
+    blocks: DataFrame  # n, total, ids, data (chunk_id, dl, terms [(term, tf)] of n chunks)   (materialised)
     raw_terms: DataFrame  # term, df, raw_idf       (materialised)
     chunk_id: S.DataType
     n_docs: int
@@ -80,7 +85,7 @@ class LexicalIndex:
     @cached_property
     def repeated(self) -> DataFrame | None:
         """The chunk ids that stand in several rows, or None: their rows' scores add up."""
-        again = cut_lineage(self.blocks.select("data").mapInArrow(_ids, S.StructType([S.StructField("chunk_id", self.chunk_id)]))
+        again = cut_lineage(self.blocks.select(F.explode("ids").alias("chunk_id"))
                             .groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("chunk_id"), "repeated")
         return None if again.isEmpty() else again
 
@@ -92,7 +97,7 @@ class LexicalIndex:
         rows = self.rows
         once = rows.join(self.repeated, rows["chunk_id"].eqNullSafe(self.repeated["chunk_id"]), "left_anti")
         listed = once.select("chunk_id", F.flatten(F.transform("terms", lambda t: F.array_repeat(t["term"], t["tf"].cast("int")))).alias("tokens"))
-        return cut_lineage(listed.mapInArrow(_pack, "n long, total long, data binary"), "index-alone")
+        return cut_lineage(listed.mapInArrow(_pack, _blocks_schema(self.chunk_id)), "index-alone")
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -128,12 +133,42 @@ def _rows_schema(chunk_id: S.DataType) -> S.StructType:
                          S.StructField("terms", S.ArrayType(entry))])
 
 
+def _blocks_schema(chunk_id: S.DataType) -> S.StructType:
+    return S.StructType([S.StructField("n", S.LongType()), S.StructField("total", S.LongType()),
+                         S.StructField("ids", S.ArrayType(chunk_id)), S.StructField("data", S.BinaryType())])
+
+
+def _words(texts: pa.Array) -> pa.ListArray:
+    """The words of lower-cased texts, cut as ``tokens`` cuts them."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    space = SPACE[data]
+    at = np.flatnonzero(WIDE_LEAD[data])
+    for n, wide in WIDE_SPACES.items():
+        at = at[at <= len(data) - n]
+        code = sum(data[at + i].astype(np.int64) << 8 * (n - 1 - i) for i in range(n))
+        space[at[np.isin(code, wide)][:, None] + np.arange(n)] = True
+    first = np.ones(len(data), bool)
+    first[1:] = space[:-1]
+    first[ends[ends < len(data)]] = True
+    first &= ~space
+    kept = data[~space]
+    starts = np.append(np.flatnonzero(first[~space]), len(kept)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(kept))
+    return pa.ListArray.from_arrays(np.searchsorted(np.flatnonzero(first), ends).astype(np.int32), words)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks (chunk_id, tokens) as blocks: their terms counted, sorted inside a chunk, coded by the block's own list."""
+    """Chunks (chunk_id, lower-cased text or its tokens) as blocks: their terms counted, sorted inside a chunk, coded by the block's own list."""
     for batch in batches:
         for at in range(0, batch.num_rows, CHUNK_BLOCK):
             part = batch.slice(at, CHUNK_BLOCK)
             listed = part.column(1)
+            if not pa.types.is_nested(listed.type):
+                listed = _words(listed)
             dl = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             words = pc.dictionary_encode(listed.flatten())
             by_term = pc.array_sort_indices(words.dictionary).to_numpy()
@@ -149,7 +184,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, held.schema) as out:
                 out.write_batch(held)
-            yield pa.record_batch({"n": [len(dl)], "total": [int(dl.sum())], "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            yield pa.record_batch({"n": [len(dl)], "total": [int(dl.sum())], "ids": held.column("chunk_id"),
+                                   "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
 def _block(data: bytes) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,11 +201,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
             yield _block(data.as_py())
 
 
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, *_ in _blocks(batches):
-        yield pa.record_batch({"chunk_id": ids})
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, df) summed over blocks, as many as have PIECE terms together."""
     held, size = [], 0
@@ -205,8 +236,9 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     A null or empty chunk counts in N and has no postings.
     """
     spark = chunks.sparkSession
-    listed = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("tokens"))
-    blocks = cut_lineage(listed.mapInArrow(_pack, "n long, total long, data binary"), "index-blocks")
+    chunk_id = chunks.schema[id_col].dataType
+    lowered = chunks.select(F.col(id_col).alias("chunk_id"), F.lower(text_col).alias("text"))
+    blocks = cut_lineage(lowered.mapInArrow(_pack, _blocks_schema(chunk_id)), "index-blocks")
     one = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first()
     n_docs, total = int(one["n"]), int(one["t"])
     buckets = num_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // BUCKET_TOKENS))
@@ -216,7 +248,7 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
         "terms")
     two = raw.agg(F.count(F.lit(1)).alias("v"), F.avg("raw_idf").alias("a")).first()
     avgdl = total / n_docs if n_docs else 0.0
-    return LexicalIndex(blocks, raw, chunks.schema[id_col].dataType, n_docs, total, avgdl, int(two["v"]),
+    return LexicalIndex(blocks, raw, chunk_id, n_docs, total, avgdl, int(two["v"]),
                         float(two["a"] or 0.0), buckets, epsilon)
 
 

@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.plans import q_text
 from ledgerlens.sources.pages import pages_from_documents
+from ledgerlens.functions.text import tokens
 from ledgerlens.operators import dense, fusion, lexical
 
 TEXTS = ["Revenue grew by 20% this year. Total ARR reached 1 million.",
@@ -195,6 +197,47 @@ def test_document_counts_are_summed_before_they_are_shuffled():
     assert sorted((r["term"], r["df"]) for b in out for r in b.to_pylist()) == [("a", 2), ("b", 1)]
 
 
+def test_words_are_cut_as_tokens_cut_them(spark):
+    spaces = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+    others = "aBß\x1c\x1f\u200b\u2011\u180e\ufeff\u4e2d\U0001f600\u0130"
+    rng = np.random.default_rng(3)
+    texts = [None, "", " ", spaces, others] + ["".join(rng.choice(list(spaces + others), rng.integers(14))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    want = df.select("i", F.lower("text").alias("low"), F.coalesce(tokens(F.col("text")), F.array()).alias("w")).orderBy("i").collect()
+    low = pa.array([r["low"] for r in want], pa.string())
+    assert lexical._words(low).to_pylist() == [r["w"] for r in want]
+    assert lexical._words(low.slice(100, 50)).to_pylist() == [r["w"] for r in want[100:150]]
+    assert lexical._words(low.slice(0, 2)).to_pylist() == [[], []] and lexical._words(low.slice(0, 0)).to_pylist() == []
+
+
+def test_index_reads_texts_and_not_token_lists(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "A b\u00a0a"), (2, None)], "chunk_id long, text string")
+    monkeypatch.setattr(lexical, "tokens", None)
+    index = lexical.build_index(chunks)
+    assert (index.n_docs, index.total_tokens) == (2, 3)
+    assert {r["term"]: r["df"] for r in index.terms.collect()} == {"a": 1, "b": 1}
+
+
+def test_repeated_ids_are_counted_without_the_blocks(spark, monkeypatch):
+    index = lexical.build_index(spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (None, "e")], "chunk_id long, text string"))
+    plans = []
+    cut = lexical.cut_lineage
+    monkeypatch.setattr(lexical, "cut_lineage", lambda df, name: plans.append(plan_of(df)) or cut(df, name))
+    assert {r["chunk_id"] for r in index.repeated.collect()} == {None, 2}
+    assert len(plans) == 1 and "MapInArrow" not in plans[0] and "data#" not in plans[0]
+
+
+def test_chunks_are_written_once_for_both_corpora(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(1, "a b " * 700), (2, "c"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, [1.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    cut = []
+    chunks_of = q_text.doc_chunks
+    monkeypatch.setattr(q_text, "doc_chunks", lambda *a: cut.append(1) or chunks_of(*a))
+    chunks, _ = q_text.chunk_index(spark, str(tmp_path))
+    corpus = q_text.hybrid_corpus(spark, str(tmp_path))
+    assert len(cut) == 1 and corpus.count() == chunks.count() > 2
+
+
 def test_dense_blocks_are_not_dealt_out(spark, monkeypatch):
     rng = np.random.default_rng(5)
     vecs = np.round(rng.normal(size=(300, 3)), 1)
