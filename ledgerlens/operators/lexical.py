@@ -50,8 +50,10 @@ BLOCK_SHIFT = 1
 CHUNK_BLOCK = 4096
 RUN = 8
 QUESTION_BLOCK = 1024
-# So many (question, term, chunk) triples are held at once.
-PIECE = 1 << 21
+# So many (question, term, chunk) triples are held at once: few enough for a core's cache.
+PIECE = 1 << 17
+# So many terms of blocks are held for one sum of their document counts.
+MERGED_TERMS = 1 << 21
 # White space of ``tokens`` (Unicode's White_Space) as UTF-8: single bytes, and the longer ones as numbers.
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 WIDE_SPACES = {n: np.array([int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -202,7 +204,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, df) summed over blocks, as many as have PIECE terms together."""
+    """(term, df) summed over blocks, as many as have MERGED_TERMS terms together."""
     held, size = [], 0
 
     def summed() -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, _, terms, _, code, _ in _blocks(batches):
         held.append(pa.table({"term": terms, "df": pa.array(np.bincount(code, minlength=len(terms)))}))
         size += len(terms)
-        if size >= PIECE:
+        if size >= MERGED_TERMS:
             yield from summed()
             held, size = [], 0
     if held:
