@@ -15,8 +15,9 @@ phrases; the dictionary holds the distinct ones.
    documents.
 2. Phrases of the kept triggers are dealt by trigger. A bucket builds its
    dictionary, sorts the dictionary's suffixes by their first ``length`` bytes
-   (windows are equal only within a bucket, as equal windows share the
-   trigger) and takes each distinct window's smallest document.
+   (windows are equal only within a bucket and as far before their trigger, as
+   equal windows share the trigger and its place, so suffixes are sorted one
+   place at a time) and takes each distinct window's smallest document.
 3. Through the parse, windows whose smallest document is not their own give
    spans to remove; a document's spans are merged over its text.
 
@@ -25,9 +26,12 @@ Hashes only propose; windows are compared byte by byte, so results are exact.
 Scale. What is shuffled are packed arrays: about 7 bytes a trigger (one byte in
 fourteen has one), and the phrases of repeated triggers. A text that cannot
 hold a repeated trigger never moves (a table of at most 2**20 flagged id hashes
-is broadcast). Buckets follow the number of input partitions. A trigger that
-many documents of one batch share is settled there and sends two entries, so a
-passage held by a third of all documents does not fill a bucket.
+is broadcast). Buckets follow the number of input partitions. A trigger is the
+least of its window, so the high bits of its hash are small: names and buckets
+are made of the other bits, which are even. A trigger that many documents of one
+slice share is settled there and sends two entries; a phrase that a smaller
+document of the slice holds too is settled there as a span. Settled rows go to
+any bucket, so a passage held by a third of all documents does not fill one.
 
 Edge cases: a null text is empty (no bytes, nothing removed); texts shorter
 than ``length`` bytes keep everything; rows of one id never remove each other
@@ -42,11 +46,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, n_input_partitions, write_table
+from .common import add_columns, n_input_partitions, trim_memory, write_table
 from .language_id import _joined
 
 LENGTH = 50
@@ -117,6 +122,11 @@ def slices(data: np.ndarray, offsets: np.ndarray):
         doc = end
 
 
+def _names(h: np.ndarray) -> np.ndarray:
+    """Trigger hashes without their 16 highest bits, which are small in the least of a window."""
+    return h << np.uint64(16)
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -126,13 +136,28 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)] if len(keys) else np.zeros(1, np.int64)
 
 
-_PARTS = "bucket int, settled boolean, docs binary, counts binary, high binary, low binary"
+def _any_bucket(names: np.ndarray, d: np.ndarray, buckets: int) -> int:
+    """A bucket for rows that fit into any."""
+    return int(_bucket(np.bitwise_xor.reduce((names ^ d.view(np.uint64)) * np.uint64(_MULT), keepdims=True), buckets)[0])
+
+
+def _packed_ids(d: np.ndarray) -> bytes:
+    """Differences of ordered ids, bytes of one place together: nearly all are zero."""
+    return np.diff(d, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked_ids(column) -> np.ndarray:
+    parts = [np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel()) for x in column.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+_PARTS = "bucket int, settled boolean, docs binary, high binary, low binary"
 
 
 def _trigger_parts(docs: DataFrame, buckets: int, length: int, trigger: int) -> DataFrame:
-    """Step 1, before the shuffle: distinct (document, trigger hash), packed by bucket."""
-    names = ["bucket", "settled", "docs", "counts", "high", "low"]
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 4]
+    """Step 1, before the shuffle: distinct (document, trigger name), packed by bucket."""
+    names = ["bucket", "settled", "docs", "high", "low"]
+    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 3]
 
     def run(batches):
         for batch in batches:
@@ -141,28 +166,25 @@ def _trigger_parts(docs: DataFrame, buckets: int, length: int, trigger: int) ->
                 h, _, _, _, doc = phrases(data, offsets, length, trigger)
                 if not len(h):
                     continue
-                d = ids[base + doc]
+                h, d = _names(h), ids[base + doc]
                 order = np.lexsort((d, h))
                 h, d = h[order], d[order]
                 fresh = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
                 h, d = h[fresh], d[fresh]
                 edge = _runs(h)
-                nth = np.arange(len(h)) - np.repeat(edge[:-1], np.diff(edge))
                 # two documents are proof enough; what the slice itself has settled only passes through
-                settled = nth >= 2
+                settled = np.arange(len(h)) - np.repeat(edge[:-1], np.diff(edge)) >= 2
                 bucket = _bucket(h, buckets)
-                rows = []
-                order = np.lexsort((d, bucket, settled))
-                for s in (False, True):
-                    part = order[settled[order] == s]
-                    cut = _runs(bucket[part])
-                    for a, b in zip(cut[:-1], cut[1:], strict=True):
-                        p = part[a:b]
-                        of = _runs(d[p])
-                        rows.append((int(bucket[p[0]]), s, d[p[of[:-1]]].astype("<i8").tobytes(), np.diff(of).astype("<u4").tobytes(),
-                                     (h[p] >> np.uint64(32)).astype("<u4").tobytes(), (h[p] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                bucket[settled] = -1
+                order = np.lexsort((d, bucket))
+                cut, rows = _runs(bucket[order]), []
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    p = order[a:b]
+                    done = bool(settled[p[0]])
+                    rows.append((_any_bucket(h[p], d[p], buckets) if done else int(bucket[p[0]]), done, _packed_ids(d[p]),
+                                 (h[p] >> np.uint64(32)).astype("<u4").tobytes(), (h[p] >> np.uint64(16)).astype("<u2").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        trim_memory()
 
     return docs.select("d", "text").mapInArrow(run, _PARTS)
 
@@ -171,12 +193,25 @@ def _bytes_of(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
+def _split_settled(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """Rows that ask, and rows that are settled."""
+    settled = table.column("settled")
+    return table.filter(pc.invert(settled)), table.filter(settled)
+
+
 def repeated_triggers(docs: DataFrame, buckets: int, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
-    """(d, h): the trigger hashes of each document that two or more documents have."""
+    """(d, h): the trigger names of each document that two or more documents have."""
+
+    def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        h = _bytes_of(table.column("high"), "<u4").astype(np.uint64)
+        h <<= np.uint64(16)
+        h |= _bytes_of(table.column("low"), "<u2")
+        h <<= np.uint64(16)
+        return _unpacked_ids(table.column("docs")), h.view(np.int64)
 
     def run(table: pa.Table) -> pa.Table:
-        d = np.repeat(_bytes_of(table.column("docs"), "<i8"), _bytes_of(table.column("counts"), "<u4"))
-        h = _bytes_of(table.column("high"), "<u4").astype(np.uint64) << np.uint64(32) | _bytes_of(table.column("low"), "<u4")
+        asked, settled = _split_settled(table)
+        d, h = unpacked(asked)
         order = np.argsort(h)
         d, h = d[order], h[order]
         edge = _runs(h)
@@ -185,15 +220,47 @@ def repeated_triggers(docs: DataFrame, buckets: int, length: int = LENGTH, trigg
         else:
             several = np.minimum.reduceat(d, edge[:-1]) != np.maximum.reduceat(d, edge[:-1])
             keep = np.repeat(several, np.diff(edge))
-        return pa.table({"d": d[keep], "h": h[keep].view(np.int64)})
+        out = pa.table({x: pa.chunked_array([pa.array(y[keep]), pa.array(z)]) for x, y, z in zip(("d", "h"), (d, h), unpacked(settled), strict=True)})
+        trim_memory()
+        return out
 
     return _trigger_parts(docs, buckets, length, trigger).groupBy("bucket").applyInArrow(run, "d long, h long")
 
 
+def _entries(extra: np.ndarray, shift: np.ndarray, body: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """One phrase of each kind, and the kind of each phrase."""
+    # padded to one width, with size and trigger place as part of the key
+    wide = int(extra.max()) + length
+    key = np.zeros((len(extra), wide + 2), np.uint8)
+    for column in range(wide):
+        has = np.flatnonzero(extra + length > column)
+        key[has, column] = body[begin[has] + column]
+    key[:, wide], key[:, wide + 1] = extra, shift
+    _, one, entry = np.unique(key.view(f"V{wide + 2}").ravel(), return_index=True, return_inverse=True)
+    return one, entry
+
+
+def _settled_phrases(names: np.ndarray, d: np.ndarray, extra: np.ndarray, shift: np.ndarray, body: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """Which phrases a document with a smaller id holds too, as a whole."""
+    out = np.zeros(len(names), bool)
+    order = np.argsort(names, kind="stable")
+    edge = _runs(names[order])
+    if not len(names):
+        return out
+    several = np.minimum.reduceat(d[order], edge[:-1]) != np.maximum.reduceat(d[order], edge[:-1])
+    p = order[np.repeat(several, np.diff(edge))]
+    if len(p):
+        one, entry = _entries(extra[p], shift[p], body, begin[p], length)
+        least = np.full(len(one), LAST, np.int64)
+        np.minimum.at(least, entry, d[p])
+        out[p] = least[entry] < d[p]
+    return out
+
+
 def _phrase_parts(docs: DataFrame, buckets: int, length: int, trigger: int) -> DataFrame:
-    """Step 2, before the shuffle: the phrases whose trigger is in ``hs``, packed by bucket."""
-    names = ["bucket", "docs", "keys", "counts", "start", "shift", "extra", "body"]
-    kinds = [pa.int32(), *[pa.binary()] * 7]
+    """Step 2, before the shuffle: the phrases whose trigger is in ``hs``, packed by bucket, and the spans that the slice has settled."""
+    names = ["bucket", "settled", "docs", "keys", "start", "end", "shift", "extra", "body"]
+    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 7]
 
     def run(batches):
         for batch in batches:
@@ -201,88 +268,104 @@ def _phrase_parts(docs: DataFrame, buckets: int, length: int, trigger: int) -> D
             known = batch.column("hs")
             for base, data, offsets in slices(*_joined(batch.column("text"))):
                 h, at, first, last, doc = phrases(data, offsets, length, trigger)
-                # a hash kept for one document of the slice is repeated, whichever document has it
+                h = _names(h)
+                # a name kept for one document of the slice is repeated, whichever document has it
                 wanted = np.flatnonzero(np.isin(h.view(np.int64), known.slice(base, len(offsets) - 1).flatten().to_numpy()))
-                bucket = _bucket(h[wanted], buckets)
+                h, at, first, last, doc = (x[wanted] for x in (h, at, first, last, doc))
+                d, k, extra, shift = ids[base + doc], keys[base + doc], last - first, at - first
+                start, end = first - offsets[doc], last + length - offsets[doc]
+                settled = _settled_phrases(h, d, extra, shift, data, first, length)
+                rows, p = [], np.flatnonzero(settled)
+                if len(p):
+                    # spans that touch become one; they are in order of document and place
+                    new = np.flatnonzero(np.r_[True, (doc[p[1:]] != doc[p[:-1]]) | (start[p[1:]] > end[p[:-1]])])
+                    to = p[np.r_[new[1:], len(p)] - 1]
+                    p = p[new]
+                    rows.append((_any_bucket(h[p], d[p], buckets), True, _packed_ids(d[p]), k[p].astype("<i8").tobytes(),
+                                 start[p].astype("<u4").tobytes(), end[to].astype("<u4").tobytes(), b"", b"", b""))
+                asked = np.flatnonzero(~settled)
+                bucket = _bucket(h[asked], buckets)
                 order = np.argsort(bucket, kind="stable")
-                bucket, order = bucket[order], wanted[order]
-                rows, cut, raw = [], _runs(bucket), data.tobytes()
+                bucket, order = bucket[order], asked[order]
+                cut, raw = _runs(bucket), data.tobytes()
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     p = order[a:b]
-                    of = _runs(doc[p])
-                    one = doc[p[of[:-1]]]
-                    rows.append((int(bucket[a]), ids[base + one].astype("<i8").tobytes(), keys[base + one].astype("<i8").tobytes(),
-                                 np.diff(of).astype("<u4").tobytes(), (first[p] - offsets[doc[p]]).astype("<u4").tobytes(),
-                                 (at[p] - first[p]).astype("<u1").tobytes(), (last[p] - first[p]).astype("<u1").tobytes(),
+                    rows.append((int(bucket[a]), False, _packed_ids(d[p]), k[p].astype("<i8").tobytes(), start[p].astype("<u4").tobytes(), b"",
+                                 shift[p].astype("<u1").tobytes(), extra[p].astype("<u1").tobytes(),
                                  zlib.compress(b"".join(raw[x:y + length] for x, y in zip(first[p].tolist(), last[p].tolist(), strict=True)), 1)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        trim_memory()
 
     return docs.select("d", "k", "text", "hs").mapInArrow(
-        run, "bucket int, docs binary, keys binary, counts binary, start binary, shift binary, extra binary, body binary")
-
-
-def _windows(body: np.ndarray, begin: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ``count`` windows of each phrase as fixed-width keys, and their phrase."""
-    of = np.repeat(np.arange(len(count)), count)
-    j = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    view = np.lib.stride_tricks.sliding_window_view(body, length)
-    return np.ascontiguousarray(view[begin[of] + j]).view(f"V{length}").ravel(), of
+        run, "bucket int, settled boolean, docs binary, keys binary, start binary, end binary, shift binary, extra binary, body binary")
 
 
 def _spans_of(d: np.ndarray, start: np.ndarray, shift: np.ndarray, extra: np.ndarray, body: np.ndarray,
               begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(phrase, start, end) of the removable runs of windows of some phrases."""
-    # the dictionary: distinct phrases, padded to one width, with size and trigger place as part of the key
-    wide = int(extra.max()) + length
-    key = np.zeros((len(extra), wide + 2), np.uint8)
-    cell = np.repeat(np.arange(len(extra)), extra + length)
-    column = np.arange(len(cell)) - np.repeat(np.cumsum(extra + length) - (extra + length), extra + length)
-    key[cell, column] = body[np.repeat(begin, extra + length) + column]
-    key[:, wide], key[:, wide + 1] = extra, shift
-    _, one, entry = np.unique(key.view(f"V{wide + 2}").ravel(), return_index=True, return_inverse=True)
+    # the dictionary: distinct phrases with their smallest documents
+    one, entry = _entries(extra, shift, body, begin, length)
     least = np.full(len(one), LAST, np.int64)
     np.minimum.at(least, entry, d)
-    # its suffixes in order of their first ``length`` bytes
-    windows, of = _windows(body, begin[one], extra[one] + 1, length)
-    _, same = np.unique(windows, return_inverse=True)
-    smallest = np.full(int(same.max()) + 1, LAST, np.int64)
-    np.minimum.at(smallest, same, least[of])
-    source = smallest[same]
-    window_at = np.cumsum(extra[one] + 1) - (extra[one] + 1)
-    # the parse: each occurrence looks up its phrase's windows
+    view = np.lib.stride_tricks.sliding_window_view(body, length)
     n = extra + 1
-    who = np.repeat(np.arange(len(n)), n)
-    j = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-    gone = source[window_at[entry[who]] + j] < d[who]
-    who, j = who[gone], j[gone]
-    new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (j[1:] != j[:-1] + 1)]) if len(who) else np.zeros(0, np.int64)
-    end = np.r_[new[1:], len(who)] - 1 if len(who) else new
-    return who[new], start[who[new]] + j[new], start[who[end]] + j[end] + length
+    base = np.cumsum(n) - n
+    gone = np.zeros(int(n.sum()), bool)
+    for back in range(int(shift.max()) + 1):
+        # its suffixes that begin so far before the trigger, in order of their first ``length`` bytes
+        j = shift[one] - back
+        has = np.flatnonzero((j >= 0) & (j <= extra[one]))
+        if not len(has):
+            continue
+        windows = np.ascontiguousarray(view[begin[one[has]] + j[has]]).view(f"V{length}").ravel()
+        _, same = np.unique(windows, return_inverse=True)
+        smallest = np.full(int(same.max()) + 1, LAST, np.int64)
+        np.minimum.at(smallest, same, least[has])
+        source = np.full(len(one), LAST, np.int64)
+        source[has] = smallest[same]
+        # the parse: each occurrence looks up its phrase's window
+        j = shift - back
+        own = np.flatnonzero((j >= 0) & (j <= extra))
+        gone[base[own] + j[own]] = source[entry[own]] < d[own]
+    before, after = np.r_[False, gone[:-1]], np.r_[gone[1:], False]
+    before[base] = False
+    after[base + n - 1] = False
+    new, end = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
+    who = np.searchsorted(base, new, "right") - 1
+    return who, start[who] + new - base[who], start[who] + end - base[who] + length
 
 
 def removable_spans(docs: DataFrame, buckets: int, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """(d, k, start, end): spans of windows whose smallest document is not their own."""
 
     def run(table: pa.Table) -> pa.Table:
-        per_doc = _bytes_of(table.column("counts"), "<u4")
-        d, k = (np.repeat(_bytes_of(table.column(x), "<i8"), per_doc) for x in ("docs", "keys"))
+        table, settled = _split_settled(table)
+        found = [(_unpacked_ids(settled.column("docs")), _bytes_of(settled.column("keys"), "<i8"),
+                  *(_bytes_of(settled.column(x), "<u4").astype(np.int64) for x in ("start", "end")))]
+        d, k = _unpacked_ids(table.column("docs")), _bytes_of(table.column("keys"), "<i8")
         start = _bytes_of(table.column("start"), "<u4").astype(np.int64)
-        shift, extra = _bytes_of(table.column("shift"), "u1"), _bytes_of(table.column("extra"), "u1").astype(np.int64)
+        shift, extra = (_bytes_of(table.column(x), "u1").astype(np.int64) for x in ("shift", "extra"))
         body = np.frombuffer(b"".join(map(zlib.decompress, table.column("body").to_pylist())), np.uint8)
-        begin = np.cumsum(extra + length) - (extra + length)
-        # phrases of one trigger stay together in parts of about PART bytes, one after the other
-        words = np.lib.stride_tricks.sliding_window_view(body, 8)[begin + shift + trigger // 2]
-        mixed = np.ascontiguousarray(words).view("<u8").ravel() * np.uint64(_MULT)
-        part = _bucket(mixed, -(-len(body) // PART))
-        found = []
-        order = np.argsort(part, kind="stable")
-        cut = _runs(part[order])
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            p = order[a:b]
-            who, first, last = _spans_of(d[p], start[p], shift[p], extra[p], body, begin[p], length)
-            found.append((d[p[who]], k[p[who]], first, last))
-        return pa.table({name: np.concatenate([x[i] for x in found]) for i, name in enumerate(("d", "k", "start", "end"))})
+        del table, settled
+        if len(d):
+            begin = np.cumsum(extra + length) - (extra + length)
+            # phrases of one trigger stay together in parts of about PART bytes, one after the other
+            wide = min(8, trigger)
+            words = np.zeros((len(d), 8), np.uint8)
+            words[:, :wide] = np.lib.stride_tricks.sliding_window_view(body, wide)[begin + shift + (trigger - wide) // 2]
+            mixed = words.view("<u8").ravel() * np.uint64(_MULT)
+            part = _bucket(mixed, -(-len(body) // PART))
+            order = np.argsort(part, kind="stable")
+            cut = _runs(part[order])
+            del words, mixed, part
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                p = order[a:b]
+                who, first, last = _spans_of(d[p], start[p], shift[p], extra[p], body, begin[p], length)
+                found.append((d[p[who]], k[p[who]], first, last))
+        out = pa.table({name: np.concatenate([x[i] for x in found]) for i, name in enumerate(("d", "k", "start", "end"))})
+        trim_memory()
+        return out
 
     return _phrase_parts(docs, buckets, length, trigger).groupBy("bucket").applyInArrow(run, "d long, k long, start long, end long")
 
@@ -331,7 +414,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     # at most FLAG_BUCKETS rows
     flags = F.broadcast(found.select(F.pmod(F.xxhash64("d"), F.lit(FLAG_BUCKETS)).alias("flag")).distinct())
     moved = rows.join(flags, "flag", "left_semi")
-    spans = write_table(removable_spans(moved.join(found, "d"), 8 * buckets, length, trigger)
+    spans = write_table(removable_spans(moved.join(found, "d"), 2 * buckets, length, trigger)
                         .groupBy("d", "k").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     still = rows.join(flags, "flag", "left_anti")
     kept = F.coalesce(F.col("text"), F.lit("")).cast("binary")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -436,6 +437,36 @@ def test_prefix_free(docs, rows, size, trigger):
     assert have == want
 
 
+def test_prefix_free_buckets_are_even(spark):
+    # random words give many triggers; one passage that all documents hold must not fill a bucket either
+    rng = random.Random(8)
+    passage = " ".join(f"passage{i}" for i in range(40))
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(400)) + passage for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, text string").coalesce(1)
+    sent = Counter()
+    for r in prefix_free._trigger_parts(docs, 64, 50, 24).filter("NOT settled").collect():
+        sent[r["bucket"]] += len(r["high"])
+    assert len(sent) == 64 and max(sent.values()) < 2 * sum(sent.values()) / 64
+    out = {r["doc_id"]: r["n_removed"] for r in prefix_free.dedup(docs.withColumnRenamed("d", "doc_id")).collect()}
+    # bytes beside the passage can be alike by chance
+    assert out.pop(0) == 0 and all(0 <= n - len(passage) <= 6 for n in out.values()) and len(out) == 299
+
+
+def test_prefix_free_spans_in_little_memory():
+    # one trigger in the middle of texts that differ around it: all phrases are in one part
+    rng, n = np.random.default_rng(8), 20_000
+    body = rng.integers(97, 123, (n, 76)).astype(np.uint8)
+    body[:, 26:50] = np.frombuffer(b"the trigger of everybody", np.uint8)
+    body[n // 2:, :50] = body[:n // 2, :50]  # the first window of the second half is found in the first
+    d, start = np.arange(n), np.zeros(n, np.int64)
+    tracemalloc.start()
+    who, first, last = prefix_free._spans_of(d, start, np.full(n, 26), np.full(n, 26), body.ravel(), 76 * d, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert who.tolist() == list(range(n // 2, n)) and set(first.tolist()) == {0} and min(last.tolist()) == 50
+    assert peak < 500 * n
+
+
 # -- empty tables and the pipeline ---------------------------------------------
 
 def test_empty_tables(spark, empty):
