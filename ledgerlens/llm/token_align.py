@@ -34,11 +34,12 @@ pieces cut between units; a unit is held in memory whole, with its distinct pair
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -46,10 +47,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import trim_memory, write_table
 from .packing import FAST, UNSAFE, Words
 
 BLOCK = 2 << 20
+#: Blocks a file: whoever reads or writes a file holds its rows at once.
+FILE_BLOCKS = 4
+#: Links that are counted at a time.
+LINKS = 1 << 18
 #: Characters of a text that are cut into units at a time, and units that are aligned at a time.
 PIECE = 1 << 20
 ALIGNED = 10_000
@@ -109,15 +114,13 @@ class Aligner:
     def __init__(self, spec_a: bytes, model_b: bytes):
         import tiktoken
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
         spec = json.loads(spec_a)
         alphabet = byte_alphabet()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
         words = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self.whole_a = Tokenizer.from_str(spec_a.decode())
-        self.whole_a.encode_special_tokens = True
+        self.spec_a = spec_a
         self.words = Words(words._encode_single_piece)
         self.bytes_a = [b""] * (max([*ranks.values(), *special.values()]) + 1)
         for w, i in ranks.items():
@@ -139,6 +142,15 @@ class Aligner:
         for i in range(top):
             self.digits[i, :self.width[i]] = np.frombuffer(str(i).encode(), np.uint8)
 
+    @cached_property
+    def whole_a(self):
+        """The tokenizer itself, loaded once a text needs it."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_str(self.spec_a.decode())
+        whole.encode_special_tokens = True
+        return whole
+
     def encode(self, units: list[str]) -> tuple[np.ndarray, ...]:
         """(A ids, A tokens of each unit, B ids, B tokens of each unit); B adds the leading space itself."""
         a = [array("I", self.whole_a.encode(u, add_special_tokens=False).ids).tobytes() if UNSAFE.search(u)
@@ -176,7 +188,7 @@ class Aligner:
         others = []
         # irregular groups: all pairs of small ones, distinct ids with their numbers in large ones
         small = np.flatnonzero(~one & (ga * gb <= 4096))
-        for part in np.array_split(small, max(1, int((ga * gb)[small].sum()) >> 20)):
+        for part in np.array_split(small, max(1, int((ga * gb)[small].sum()) // LINKS)):
             n = ga[part] * gb[part]
             nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             each = np.repeat(part, n)
@@ -233,15 +245,35 @@ class Aligner:
 @lru_cache(maxsize=1)
 def _aligner(key: str, spec_a: bytes, model_b: bytes) -> Aligner:
     """One per Python worker, which serves many tasks."""
-    return Aligner(spec_a, model_b)
+    out = Aligner(spec_a, model_b)
+    trim_memory()
+    return out
+
+
+def _forget_aligner() -> None:
+    """Workers are kept for later steps, which need no vocabularies."""
+    if _aligner.cache_info().currsize:
+        _aligner.cache_clear()
+        gc.collect()
+        trim_memory()
 
 
 _BLOCK = ("ids binary, known binary, totals binary, hashes binary, codes binary, n_codes binary, "
-          "same binary, same_times binary, n_same binary, pair_at binary, pair_times binary, n_pair_at binary, "
+          "same binary, same_times binary, n_same binary, pair_at binary, pair_times binary, n_pair_at binary, n_units binary, "
           "pairs binary, pair_docs binary, same_docs binary, same_doc_ids binary")
 _KINDS = dict(x.split(" ") for x in _BLOCK.split(", "))
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0).newbyteorder("<")).tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of ``_small``."""
+    return np.frombuffer(raw, f"<u{len(raw) // n if n else 1}").astype(np.int64)
+
+
 class Block:
     """Documents as numbers of their units, the units' links, and how many documents hold a pair."""
 
@@ -294,11 +326,11 @@ class Block:
         for flat, n, width in ((pair_at, n_pair, len(pairs)), (same_flat, n_same, len(self.aligner.bytes_a))):
             total, start = np.zeros(width, np.int64), np.cumsum(n) - n
             each = n[held_unit]
-            # whole documents of about a million links at a time
+            # whole documents of about LINKS links at a time
             upto = np.cumsum(each)
             lo = 0
             while lo < len(held):
-                hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + (1 << 20), "right"))
+                hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + LINKS, "right"))
                 hi = int(np.searchsorted(held_doc, held_doc[min(max(hi, lo + 1), len(held)) - 1], "right"))
                 m = each[lo:hi]
                 at = np.repeat(start[held_unit[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
@@ -310,8 +342,8 @@ class Block:
         values = {
             "ids": np.array([x or 0 for x in self.ids], np.int64), "known": np.array([x is not None for x in self.ids], np.uint8),
             "totals": sums, "hashes": b"".join(hashes), "codes": codes, "n_codes": n_codes.astype(np.uint32),
-            "same": same_flat.astype(np.uint32), "same_times": same_times, "n_same": n_same.astype(np.uint32),
-            "pair_at": pair_at.astype(np.uint32), "pair_times": pair_times, "n_pair_at": n_pair.astype(np.uint32),
+            "same": same_flat.astype(np.uint32), "same_times": _small(same_times), "n_same": _small(n_same),
+            "pair_at": pair_at.astype(np.uint32), "pair_times": _small(pair_times), "n_pair_at": _small(n_pair), "n_units": np.array([len(names)], np.int64),
             "pairs": pairs, "pair_docs": counts[0].astype(np.uint32), "same_docs": counts[1][same_ids].astype(np.uint32), "same_doc_ids": same_ids.astype(np.uint32)}
         return pa.RecordBatch.from_arrays([pa.array([values[c] if isinstance(values[c], bytes) else values[c].tobytes()], pa.binary()) for c in _KINDS], names=list(_KINDS))
 
@@ -332,6 +364,8 @@ def blocks(docs: DataFrame, files) -> DataFrame:
                     block = Block(aligner)
         if block.ids:
             yield block.row()
+        del block
+        trim_memory()
 
     return docs.mapInArrow(run, _BLOCK)
 
@@ -344,6 +378,7 @@ def pair_rows(packed: DataFrame) -> DataFrame:
     """(block, at, pair, n): the irregular pairs of each block and the documents that hold them."""
 
     def run(batches):
+        _forget_aligner()
         for batch in batches:
             for i, block in enumerate(batch.column("block").to_pylist()):
                 pairs = _of(batch, "pairs", "<i8", i)
@@ -358,6 +393,7 @@ def identity_counts(packed: DataFrame, size: int) -> np.ndarray:
     """How many documents link each A id to the B id of its bytes: a vector a task, summed."""
 
     def run(batches):
+        _forget_aligner()
         total = np.zeros(size, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -378,6 +414,7 @@ def _finished(vectors):
     """A block and the counts of its pairs to one row a document."""
 
     def run(block: pa.Table, counts: pa.Table) -> pa.Table:
+        _forget_aligner()
         cols = [np.zeros(0, np.int64) for _ in range(6)]
         ids, hashes = pa.nulls(0, pa.int64()), pa.nulls(0, pa.string())
         if block.num_rows:
@@ -386,10 +423,11 @@ def _finished(vectors):
             n = np.zeros(len(pairs), np.int64)
             n[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
             same, pair_at = _of(block, "same", "<u4"), _of(block, "pair_at", "<u4")
-            times = np.r_[_of(block, "same_times", "<i8"), _of(block, "pair_times", "<i8")]
+            times = np.r_[_numbers(block.column("same_times")[0].as_py(), len(same)), _numbers(block.column("pair_times")[0].as_py(), len(pair_at))]
             count = np.r_[ident[same], n[pair_at]]
             top = np.r_[ident[same] == best[same], (n == best[pairs >> 32])[pair_at]]
-            n_same, n_pair = _of(block, "n_same", "<u4"), _of(block, "n_pair_at", "<u4")
+            n_units = int(_of(block, "n_units", "<i8")[0])
+            n_same, n_pair = (_numbers(block.column(x)[0].as_py(), n_units) for x in ("n_same", "n_pair_at"))
             unit = np.r_[np.repeat(np.arange(len(n_same)), n_same), np.repeat(np.arange(len(n_pair)), n_pair)]
             codes, n_codes = _of(block, "codes", "<u4"), _of(block, "n_codes", "<u4").astype(np.int64)
             sums = []
@@ -416,7 +454,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     size = max([*json.loads(spec_a)["model"]["vocab"].values(), *[t["id"] for t in json.loads(spec_a)["added_tokens"]]]) + 1
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = blocks(read, context.broadcast((spec_a, model_b))).withColumn("block", F.monotonically_increasing_id())
-    packed = write_table(packed, "aligned-blocks")
+    packed = write_table(packed, "aligned-blocks", rows_per_file=FILE_BLOCKS)
     asked = pair_rows(packed)
     counts = write_table(asked.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     ident = identity_counts(packed, size)

@@ -1,5 +1,6 @@
 """Operators 11 to 13 against SQL, whole-text encodings and exact search."""
 
+import glob
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -8,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from tokenizers import Tokenizer
 
 from ledgerlens.llm import nn_descent, source_audit, token_align
 from ledgerlens.llm.queries import PIECES, SQL_SOURCES, TOKENIZER
+from ledgerlens.session import ensure_checkpoint_dir
 from ledgerlens.sources.tables import read_table
 
 from ..conftest import SF_CHECK
@@ -160,6 +163,36 @@ def test_alignment_of_an_empty_table(spark):
     assert aligned(spark.createDataFrame([], "doc_id long, text string")) == Counter()
 
 
+def test_small_numbers_come_back():
+    for top in (0, 1, 255, 256, 70_000, 2**33):
+        values = np.array([0, top, 3 % (top + 1)], np.int64)
+        assert token_align._numbers(token_align._small(values), 3).tolist() == values.tolist()
+    assert token_align._numbers(token_align._small(np.zeros(0, np.int64)), 0).tolist() == []
+
+
+def test_blocks_take_little_memory():
+    # a row passes through the JVM and two Python workers at its full size
+    rng = random.Random(4)
+    aligner = token_align.Aligner(*[open(public_tokenizers.path(x), "rb").read() for x in (TOKENIZER, PIECES)])
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 12))) for _ in range(20_000)]
+    block = token_align.Block(aligner)
+    for i in range(100):
+        block.add(i, " ".join(rng.choices(words, k=1000)))
+    assert block.row().nbytes < 2.5 * block.size
+
+
+def test_few_blocks_a_file(spark, monkeypatch):
+    monkeypatch.setattr(token_align, "BLOCK", 10)
+    df = spark.createDataFrame([(i, f"the {i} texts of one block each") for i in range(10)], "doc_id long, text string").coalesce(1)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/aligned-blocks-*"))
+    out = token_align.align(df, public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+    assert out.count() == 10
+    (made,) = set(glob.glob(f"{folder}/aligned-blocks-*")) - before
+    rows = [pq.read_metadata(x).num_rows for x in glob.glob(f"{made}/*.parquet")]
+    assert sum(rows) == 10 and max(rows) <= 4
+
+
 def test_units_join_to_the_text(monkeypatch):
     aligner = token_align.Aligner(*[open(public_tokenizers.path(x), "rb").read() for x in (TOKENIZER, PIECES)])
     for size in (1, 3, 1 << 20):
